@@ -5,18 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm.exact_dedup import exact_dedup
+from codeloom.llm.simhash import simhash_groups
+from codeloom.llm.token_counts import length_histogram, token_budgets
+from codeloom.llm.token_store import token_files
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_budgets(length_histogram(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 QUERIES = {
+    "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
+    "op9_simhash_groups": op9_simhash_groups,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
