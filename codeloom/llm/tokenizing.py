@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 import os
+import unicodedata
+from array import array
 
 import numpy as np
 
 #: The cache is emptied when it holds so many words; this bounds a worker's memory.
-MAX_CACHED = 400_000
+MAX_CACHED = 700_000
+#: ASCII marks that the pre-tokenizer keeps in one piece apart from letters; no apostrophe, which may join letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The printable stand-ins of byte-level tokenizers: printable Latin-1 for itself, others from U+0100 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class WordEncoder:
@@ -24,26 +35,33 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
         self.max_cached, self.cache = max_cached, {}
 
-    def _learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.cache]
+    def _ids(self, word: str) -> list[int]:
+        """Plain words, in lower case with marks behind, go straight to the tokenizer's model; others all the way."""
+        core = word.rstrip(MARKS)
+        if not core or core.isalpha() and core == core.lower() and unicodedata.is_normalized("NFC", core):
+            pieces = [p for p in (core, word[len(core) :]) if p]
+            return [t.id for p in pieces for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.alphabet))]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _learn(self, new: set[bytes], words: list[bytes]) -> None:
         if len(self.cache) + len(new) > self.max_cached:
             self.cache.clear()
-            new = list(words)
-        encode = self.tokenizer.encode
+            new = set(words)
         for w in new:
-            ids = encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
-            self.cache[w] = np.array(ids, self.dtype).tobytes()
+            self.cache[w] = array(self.code, self._ids(w.decode("utf-8", "replace"))).tobytes()
 
     def encode(self, text: bytes | None) -> bytes:
         """The ids as little-endian integers of ``self.dtype``; null counts as empty."""
-        words = (text or b"").split()
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            self._learn(set(words))
-            return b"".join(map(self.cache.__getitem__, words))
+        text = text or b""
+        # ASCII letters are lowered by the tokenizer too, but not in the name of a special token.
+        words = (text if b"<|" in text else text.lower()).split()
+        if new := set(words).difference(self.cache):
+            self._learn(new, words)
+        return b"".join(map(self.cache.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}

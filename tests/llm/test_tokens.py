@@ -88,3 +88,21 @@ def test_budgets_against_brute_force(spark, tokenizer):
         assert r.quantile == pytest.approx(sum(x <= r.n_tokens for x in lengths) / len(lengths))
     for limit in (0, 7, 33, 10**6):
         assert budget_at(budgets, limit)["tokens_truncated"] == sum(min(x, limit) for x in lengths)
+
+
+def test_every_document_of_a_table(tokenizer):
+    import pyarrow.parquet as pq
+
+    words = WordEncoder(PATH, max_cached=20_000)
+    for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist():
+        want = tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert np.frombuffer(words.encode(t.encode()), words.dtype).tolist() == want
+
+
+def test_pages_and_odd_characters(tokenizer):
+    import pyarrow.parquet as pq
+
+    odd = ["".join(chr(random.Random(k).randrange(1, 0x3000)) for _ in range(300)) for k in range(40)]
+    words = WordEncoder(PATH)
+    for t in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()[:60] + odd + ["é É", "a'S it's 'tis", "²½ x² ß ẞ ŉ"]:
+        assert np.frombuffer(words.encode(t.encode()), words.dtype).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
