@@ -91,3 +91,35 @@ def running_total(df: DataFrame, order: str, value: str, out: str, block: int =
     inside = Window.partitionBy("__block").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, -1)
     own = blocked.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return own.join(bases, "__block").withColumn(out, F.col(out) + F.col("__base")).drop("__block", "__base")
+
+
+BITMAP_BITS = 32768  # of one bitmap of Spark's bitmap functions
+FILTERS = 256  # bitmaps of a hash filter: 1 MB however many keys it holds
+
+
+def _bucket_and_bit(key: Column, filters: int) -> tuple[Column, Column]:
+    slot = F.pmod(key, F.lit(filters * BITMAP_BITS))
+    return F.floor(slot / BITMAP_BITS), F.pmod(slot, F.lit(BITMAP_BITS)).cast("int")
+
+
+def hash_filter(keys: DataFrame, key: Column, name: str = "bitmap", filters: int = FILTERS) -> DataFrame:
+    """A filter over hashed keys (longs): bucket and a bitmap, at most ``filters`` rows of 4 KB.
+
+    The size is fixed, so the filter may be broadcast for any number of keys; more keys only let
+    more strangers pass.
+    """
+    bucket, bit = _bucket_and_bit(key, filters)
+    slots = keys.select(bucket.alias("__bucket"), bit.alias("__bit"))
+    return slots.groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias(name))
+
+
+def with_filter(rows: DataFrame, key: Column, bitmaps: DataFrame, filters: int = FILTERS) -> DataFrame:
+    """rows with the bitmap columns of their key's bucket, for ``passes``."""
+    bucket, bit = _bucket_and_bit(key, filters)
+    return rows.withColumns({"__bucket": bucket, "__bit": bit}).join(F.broadcast(bitmaps), "__bucket", "left")
+
+
+def passes(name: str = "bitmap") -> Column:
+    """True where the row's key may be in the filter; never false for one that is."""
+    byte = f"cast(conv(hex(substring({name}, __bit div 8 + 1, 1)), 16, 10) as int)"
+    return F.coalesce(F.expr(f"({byte} >> (__bit % 8)) & 1 = 1"), F.lit(False))

@@ -13,11 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, shared_path, skew_join
+from codeloom.llm.common import FILTERS, hash_filter, materialize, passes, shared_path, skew_join, with_filter
 
 #: The characters that normalisation deletes: space and U+0009 to U+000D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
-BITMAP_BITS = 32768  # of one bitmap of Spark's bitmap functions
 
 
 def normalised(text: str | Column) -> Column:
@@ -35,9 +34,8 @@ def sha256_digest(text: Column) -> Column:
 class MergeIndex:
     """Digest -> the row that stays and the number of rows; see the module's docstring."""
 
-    def __init__(self, memtable_rows: int = 65536, fan_in: int = 64, filter_bits: int = 1 << 23, digest=sha256_digest):
-        self.memtable_rows, self.fan_in, self.digest = memtable_rows, fan_in, digest
-        self.filters = max(1, filter_bits // BITMAP_BITS)
+    def __init__(self, memtable_rows: int = 65536, fan_in: int = 64, filters: int = FILTERS, digest=sha256_digest):
+        self.memtable_rows, self.fan_in, self.filters, self.digest = memtable_rows, fan_in, filters, digest
 
     def rows(self, docs: DataFrame) -> DataFrame:
         """doc_id, norm, digest, and ``best``: an ordering key that is least for the row to stay."""
@@ -71,20 +69,11 @@ class MergeIndex:
             )
         return level.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
 
-    def _slots(self, rows: DataFrame) -> DataFrame:
-        slot = F.pmod(F.xxhash64("digest"), F.lit(self.filters * BITMAP_BITS))
-        return rows.withColumn("bucket", F.floor(slot / BITMAP_BITS)).withColumn("bit", F.pmod(slot, F.lit(BITMAP_BITS)))
-
-    def hit_filter(self, index: DataFrame) -> DataFrame:
-        """Bitmaps over the digests of more than one row: at most ``self.filters`` rows of 4 KB."""
-        hits = self._slots(index.filter("n > 1").select("digest"))
-        return hits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-
-    def maybe_hits(self, docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-        """Rows, with their texts, whose digest may be a hit; no hit is missed."""
-        found = "(cast(conv(hex(substring(bitmap, cast(bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(bit % 8 as int)) & 1 = 1"
-        joined = self._slots(self.rows(docs)).join(F.broadcast(bitmaps), "bucket")
-        return joined.filter(F.expr(found)).select("doc_id", "digest", "norm", "best")
+    def maybe_hits(self, docs: DataFrame, index: DataFrame) -> DataFrame:
+        """Rows, with their texts, whose digest may be that of several rows; no hit is missed."""
+        key = F.xxhash64("digest")
+        bitmaps = hash_filter(index.filter("n > 1"), key, filters=self.filters)
+        return with_filter(self.rows(docs), key, bitmaps, self.filters).filter(passes()).select("doc_id", "digest", "norm", "best")
 
 
 def exact_dedup(docs: DataFrame, index: MergeIndex | None = None) -> DataFrame:
@@ -105,7 +94,7 @@ def exact_dedup(docs: DataFrame, index: MergeIndex | None = None) -> DataFrame:
     total = rows.count()
     merged = materialize(index.compact(index.flush(rows, total), -(-total // index.memtable_rows)), "index")
 
-    hits = index.maybe_hits(docs, index.hit_filter(merged))
+    hits = index.maybe_hits(docs, merged)
     compared = hits.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
     clashes = materialize(compared.filter("least <> most").select("digest"), "clashes")
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.llm.decontaminate import contaminated
 from codeloom.llm.exact_dedup import exact_dedup
+from codeloom.llm.langid import identify_languages
 from codeloom.llm.secret_scan import secret_digest
 from codeloom.llm.sharding import kd_shards
 from codeloom.llm.simhash import simhash_groups
@@ -34,6 +36,14 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op7_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +60,8 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_kd_shards": op4_kd_shards,
+    "op6_language_codes": op6_language_codes,
+    "op7_benchmark_windows": op7_benchmark_windows,
     "op8_secret_spans": op8_secret_spans,
     "op9_simhash_groups": op9_simhash_groups,
     "op10_token_counts": op10_token_counts,

@@ -17,7 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITMAP_BITS = 32768
+from codeloom.llm.common import hash_filter, materialize, passes, with_filter
+
 MOST_STRINGS = 64  # of an exact set, and clauses of a query
 
 
@@ -167,18 +168,13 @@ def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     return found.filter("bits = all_bits").select("rule", "doc").distinct()
 
 
-def _slots(doc: Column, filters: int) -> tuple[Column, Column]:
-    slot = F.pmod(doc, F.lit(filters * BITMAP_BITS))
-    return F.floor(slot / BITMAP_BITS), F.pmod(slot, F.lit(BITMAP_BITS))
-
-
-def _bitmaps(found: DataFrame, rules: list[Rule], filters: int) -> DataFrame:
-    """bucket and one bitmap column for each rule; at most ``filters`` rows of 4 KB for each rule."""
-    bucket, bit = _slots(F.col("doc"), filters)
-    rows = found.select("rule", bucket.alias("bucket"), bit.alias("bit"))
-    rows = rows.groupBy("bucket", "rule").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    own = [F.max(F.when(F.col("rule") == k, F.col("bitmap"))).alias(f"m{k}") for k in range(len(rules))]
-    return rows.groupBy("bucket").agg(*own)
+def _bitmaps(found: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One hash filter for each rule, side by side: at most 4 KB for each rule and bucket."""
+    out = None
+    for k in range(len(rules)):
+        own = hash_filter(found.filter(F.col("rule") == k), F.col("doc"), f"m{k}")
+        out = own if out is None else out.join(own, "__bucket", "full")
+    return out
 
 
 def _spans(rule: Rule, order: int) -> Column:
@@ -215,24 +211,23 @@ def _tight(rule: Rule) -> Rule:
     return rule
 
 
-def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, filters: int = 256) -> DataFrame:
+def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """doc_id, text (null as empty) and spans: array of (start, ord, end), ord being the rule's position.
 
     Matches of a rule are leftmost and do not overlap each other; those of several rules may.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     indexed = [r for r in rules if trigram_query(r.pattern) != ANY]
-    bucket, bit = _slots(F.col("doc"), filters)
-    rows = docs.withColumn("doc", _key()).withColumns({"bucket": bucket, "bit": bit})
+    rows = docs
     if indexed:
-        rows = rows.join(F.broadcast(_bitmaps(candidates(docs, indexed), indexed, filters)), "bucket", "left")
+        found = materialize(candidates(docs, indexed), "candidates")
+        rows = with_filter(docs, _key(), _bitmaps(found, indexed))
     none = F.array().cast("array<struct<start:int,ord:int,end:int>>")
     parts = []
     for order, rule in enumerate(rules):
         tight = _tight(rule)
         if rule in indexed:
-            m = f"m{indexed.index(rule)}"
-            hit = F.expr(f"(cast(conv(hex(substring({m}, cast(bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(bit % 8 as int)) & 1 = 1")
+            hit = passes(f"m{indexed.index(rule)}")
         else:
             hit = F.col("text").rlike(tight.pattern)
         parts.append(F.when(hit, _spans(tight, order)).otherwise(none))
