@@ -145,7 +145,9 @@ def contaminated(
     own = F.lit(None).cast("array<long>")
     for k in sizes:
         own = F.when(F.col("size") == k, shingle_hashes("piece", k)).otherwise(own)
-    part = part.drop("word").withColumn("own", own).drop("piece").withColumn("own_fp", simhash("own"))
+    part = materialize(part.drop("word").withColumn("own", own).drop("piece"), "window_shingles")
+    # Written, or predicates on the fingerprint would be pushed below it and compute it again.
+    part = materialize(part.withColumn("own_fp", simhash("own")), "window_fingerprints")
 
     # Multi-index: an item's and a window's fingerprints within the radius agree in some block.
     blocks = radius + 1
