@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codeloom.llm.decontaminate import contaminated
 from codeloom.llm.exact_dedup import exact_dedup
 from codeloom.llm.langid import identify_languages
+from codeloom.llm.mixing import label_domains, mix_documents
 from codeloom.llm.secret_scan import secret_digest
 from codeloom.llm.sharding import kd_shards
 from codeloom.llm.simhash import simhash_groups
@@ -24,6 +25,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Weights, by tokens, of the domains that the table of labels names: good text is not thinned out.
+MIX_TARGETS = {"good": 0.93, "poor": 0.06, "toxic": 0.01}
+
+
+def op1_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mix_documents(docs, label_domains(_table(spark, sf_dir, "labels")), MIX_TARGETS)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -57,6 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_soft_mixture": op1_soft_mixture,
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_kd_shards": op4_kd_shards,
