@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm.decontaminate import contaminated
 from codeloom.llm.exact_dedup import exact_dedup
+from codeloom.llm.html_tree import extract_pages
 from codeloom.llm.langid import identify_languages
 from codeloom.llm.mixing import label_domains, mix_documents
 from codeloom.llm.secret_scan import secret_digest
@@ -46,6 +47,10 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op6_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_kd_shards": op4_kd_shards,
+    "op5_style_tree": op5_style_tree,
     "op6_language_codes": op6_language_codes,
     "op7_benchmark_windows": op7_benchmark_windows,
     "op8_secret_spans": op8_secret_spans,
