@@ -59,15 +59,16 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fp, the fingerprint's bits as a signed long, of every row."""
+    """doc_id, row (hash of doc_id and text) and fp, the fingerprint's bits as a signed long, of every row."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch["text"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("binary").alias("text")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), text)
+    return texts.mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def flip_masks(positions: range, most: int) -> list[int]:
@@ -182,6 +183,21 @@ def near_links(fps: DataFrame, distance: int = 4, hot_rows: int = 100_000, rows_
     return dealt.mapInArrow(lambda b: _links_of(b, distance, rows_at_once), "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, distance: int, shingle: int) -> DataFrame:
+    """doc_id, row, fp, and ``first``: (no id, doc_id, row) of the least row that links reach."""
+    rows = materialize(fingerprints(docs, shingle), "fingerprints")
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    nodes = materialize(rows.groupBy("fp").agg(F.min(name).alias("least"), F.count("*").alias("n")), "nodes")
+    links = materialize(near_links(nodes.select("fp"), distance), "near_links")
+    roots = components(links).select(F.col("node").alias("fp"), "root")
+    linked = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = materialize(linked, "linked")
+    discard(links)
+    firsts = linked.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("members"))
+    named = skew_join(linked, firsts, "root", "members", linked.count(), F.xxhash64("fp")).select("fp", "n", "first")
+    return skew_join(rows, named, "fp", "n", rows.count(), F.col("row")).select("doc_id", "row", "fp", "first")
+
+
 def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -194,15 +210,14 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Data
     - Rows that repeat a doc_id are separate documents of the same name.
     - An empty table gives no rows; other columns are ignored, whatever their names.
     """
-    rows = materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
-    links = materialize(near_links(nodes.select("fp"), distance), "near_links")
-    roots = components(links).select(F.col("node").alias("fp"), "root")
-    linked = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = materialize(linked, "linked")
-    names = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    named = skew_join(linked, names, "root", "members", linked.count(), F.xxhash64("fp"))
-    named = named.select("fp", "n", "component_id")
-    out = skew_join(rows, named, "fp", "n", rows.count(), F.xxhash64("doc_id"))
-    discard(links)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = _grouped(docs, distance, shingle)
+    printed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return rows.select("doc_id", printed.alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def keep_one_of_group(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
+    """Rows of docs, all columns: of each group of near-duplicates the one of smallest doc_id."""
+    rows = _grouped(docs, distance, shingle).filter("row = first.row AND doc_id <=> first.doc_id")
+    kept = rows.select(F.col("row").alias("__row")).distinct()
+    named = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    return named.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

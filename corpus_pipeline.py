@@ -1,8 +1,68 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline: five stages from raw documents to shards, each an operator of codeloom.llm.
 
-STAGES = []
+Every stage gets the session, the documents that the stage before kept and the tables' folder. All but
+the last return the columns of ``documents``; stages run over whole tables and whole texts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from codeloom.llm.common import materialize
+from codeloom.llm.decontaminate import clean_documents
+from codeloom.llm.langid import keep_identified
+from codeloom.llm.mixing import label_domains, take_mixed
+from codeloom.llm.queries import MIX_TARGETS
+from codeloom.llm.sharding import kd_shards
+from codeloom.llm.simhash import keep_one_of_group
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+SHARDS = 40
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: null texts and texts without a letter."""
+    return keep_identified(docs).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays."""
+    return keep_one_of_group(docs).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or thinned out so that domains have their target weights."""
+    labels = label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return take_mixed(docs, labels, MIX_TARGETS).select(*COLUMNS)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row."""
+    return kd_shards(docs, SHARDS)
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing", mixture),
+    ("sharding", shards),
+]
+
+#: Language codes, SimHash components, fitted rates and k-d cuts are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; what one keeps is written and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage_{k}")
+    return docs
