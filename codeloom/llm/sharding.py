@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import HOT_SHARE, discard, materialize, skew_join
+from codeloom.llm.common import materialize, skew_join
 
 OVERHEAD = 16  # bytes that a row counts besides its text
 DIGITS, STEPS = 10, 5  # bits of a coordinate that one refinement settles; refinements
 BINS = 1 << DIGITS
+POINTS_EACH = 100_000
 TIE_BITS = 25  # low bits of a coordinate, which order points of equal dimension
 
 
@@ -88,7 +89,10 @@ def _cuts(points: DataFrame, wanted: dict[int, float]) -> dict[int, int]:
 def kd_leaves(groups: DataFrame, shards: int) -> DataFrame:
     """group and shard: leaves of the tree over groups (columns group, weight, one_size, source, lang)."""
     dims = _dimensions()
-    points = materialize(groups.select("group", F.col("weight"), *[c.alias(n) for n, c in dims.items()]), "kd_points")
+    # Points are small rows that every level reads again: they lie in few files, POINTS_EACH to a file.
+    parts = max(1, -(-groups.count() // POINTS_EACH))
+    points = groups.select("group", F.col("weight"), *[c.alias(n) for n, c in dims.items()]).coalesce(parts)
+    points = materialize(points, "kd_points")
     total, heavy = points.agg(F.sum("weight")).first()[0] or 0, {}
     # A group over a shard's share cannot be cut: it is a leaf of its own. There are under ``shards`` of them.
     while total and len(heavy) < shards - 1:
@@ -125,7 +129,7 @@ def kd_leaves(groups: DataFrame, shards: int) -> DataFrame:
             fresh += 2
         side = F.when(at < _value(cuts, 0), _value(left, -1)).otherwise(_value(right, -1))
         rest = rest.withColumn("node", F.when(F.col("node").isin(list(open_)), side).otherwise(F.col("node")))
-        rest, before = materialize(rest, "kd_level"), rest
+        rest = materialize(rest, "kd_level")
         open_ = following
     done |= open_
     shard = {node: k + len(alone) for k, node in enumerate(sorted(done))}
