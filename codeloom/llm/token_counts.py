@@ -35,7 +35,8 @@ def token_budgets(histogram: DataFrame) -> DataFrame:
     docs_total, tokens_total, tokens_truncated (sum of min(length, L)), tokens_lost (cut off at L),
     quantile (share of documents of at most L tokens).
     """
-    base = materialize(histogram.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")), "histogram")
+    # As many rows as there are distinct lengths, so a few files hold them at any scale.
+    base = materialize(histogram.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).coalesce(8), "histogram")
     sums = running_total(base, "n_tokens", "n_docs", "docs_longer", descending=True)
     sums = running_total(sums, "n_tokens", "tokens", "tokens_longer", descending=True)
     docs_total, tokens_total = base.agg(F.sum("n_docs"), F.sum("tokens")).first()

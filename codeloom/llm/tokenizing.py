@@ -9,7 +9,7 @@ from array import array
 import numpy as np
 
 #: The cache is emptied when it holds so many words; this bounds a worker's memory.
-MAX_CACHED = 700_000
+MAX_CACHED = 450_000
 #: ASCII marks that the pre-tokenizer keeps in one piece apart from letters; no apostrophe, which may join letters.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
