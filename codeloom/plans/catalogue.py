@@ -2,5 +2,529 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.functions import exprs as X
+from codeloom.operators import deadcode, duplicates, graph, health, reach, visual
+from codeloom.plans.driver_graph import oracle, relation
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str = "", *needs: str, name: str = ""):
+    """Register a function as a query, with its oracle over the named relations."""
+
+    def register(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = oracle(sql, *needs) if needs else sql
+        return f
+
+    return register
+
+
+def _long(df: DataFrame) -> DataFrame:
+    """Integers as longs, as DuckDB counts."""
+    return df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes])
+
+
+class Graph:
+    """Relations of the driver graph and what is derived from them, each built when first used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        make = {
+            "edges": lambda: graph.edges(self.imports),
+            "sparse": lambda: graph.edges(self.sparse_imports),
+            "nodes": lambda: graph.file_nodes(self.files, self.imports),
+            "externals": lambda: graph.external_modules(self.imports),
+            "export_nodes": lambda: graph.export_nodes(self.exports),
+            "metrics": lambda: graph.node_metrics(self.nodes, self.edges, self.export_nodes, self.entries),
+            "reached": lambda: reach.reachable(self.edges, self.entries, self.externals),
+            "dead": lambda: self.nodes.select("path").join(self.reached.select(F.col("id").alias("path")), "path", "left_anti"),
+            "groups": lambda: duplicates.duplicate_groups(self.functions, 2, ignore_common=False),
+            "stats": lambda: deadcode.reach_stats(self.nodes, self.reached),
+            "dup_stats": lambda: duplicates.duplicate_stats(self.functions, self.groups, ignore_common=False),
+            "triples": lambda: graph.quads(self.files, self.imports, self.exports, self.functions, self.entries),
+        }.get(name, lambda: relation(self.spark, self.sf_dir, name))
+        made = make()
+        setattr(self, name, made)
+        return made
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+# Nodes and edges
+
+
+@query("SELECT src, dst FROM edges", "edges")
+def edges_distinct(spark, d):
+    return Graph(spark, d).edges
+
+
+@query("SELECT path FROM missing", "missing")
+def missing_targets(spark, d):
+    g = Graph(spark, d)
+    return graph.missing_files(g.imports, g.files)
+
+
+@query(
+    "SELECT dst IN (SELECT path FROM files) AS exists, count(*) AS n, count(DISTINCT dst) AS targets FROM imports WHERE NOT is_external GROUP BY 1",
+    "imports", "files",
+)
+def import_targets(spark, d):
+    g = Graph(spark, d)
+    return graph.resolved_targets(g.imports, g.files).groupBy("exists").agg(F.count("*").alias("n"), F.count_distinct("dst").alias("targets"))
+
+
+@query("SELECT id FROM externals", "externals")
+def external_modules(spark, d):
+    return Graph(spark, d).externals
+
+
+@query("SELECT src, count(*) AS out_degree FROM edges GROUP BY src", "edges")
+def out_degree(spark, d):
+    return Graph(spark, d).edges.groupBy("src").agg(F.count("*").alias("out_degree"))
+
+
+@query("SELECT dst, count(*) AS in_degree FROM edges GROUP BY dst", "edges")
+def in_degree(spark, d):
+    return Graph(spark, d).edges.groupBy("dst").agg(F.count("*").alias("in_degree"))
+
+
+@query("SELECT path, import_count, dependent_count, export_count, is_missing, is_entry_point FROM metrics", "metrics")
+def node_metrics(spark, d):
+    return Graph(spark, d).metrics.select("path", "import_count", "dependent_count", "export_count", "is_missing", "is_entry_point")
+
+
+_HUBS = """SELECT path, dependent_count, import_count, export_count, CASE WHEN dependent_count > 10 THEN 'Major' ELSE 'Medium' END AS tier
+           FROM metrics WHERE NOT is_missing AND dependent_count >= 5 ORDER BY dependent_count DESC, path LIMIT 20"""
+
+
+@query(_HUBS, "metrics")
+def hubs_topk(spark, d):
+    return graph.hubs(Graph(spark, d).metrics)
+
+
+@query(f"SELECT CAST(sum(dependent_count) AS BIGINT) AS impact, count(*) AS hubs FROM ({_HUBS})", "metrics")
+def hub_impact(spark, d):
+    return graph.hubs(Graph(spark, d).metrics).agg(F.sum("dependent_count").alias("impact"), F.count("*").alias("hubs"))
+
+
+@query(
+    """SELECT a.src AS a, a.dst AS b FROM sparse_edges a JOIN sparse_edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst""",
+    "sparse_edges",
+)
+def two_cycles(spark, d):
+    return graph.two_cycles(Graph(spark, d).sparse)
+
+
+@query("SELECT src, dst FROM edges WHERE src = 'nation:3' UNION ALL SELECT src, dst FROM edges WHERE dst = 'nation:3'", "edges")
+def neighbours(spark, d):
+    return Graph(spark, d).edges.filter((F.col("src") == "nation:3") | (F.col("dst") == "nation:3"))
+
+
+# Triples
+
+_STATS = """SELECT
+  (SELECT count(*) FROM nodes) + (SELECT count(*) FROM nodes WHERE size <> 0) + (SELECT count(*) FROM nodes WHERE loc <> 0)
+  + (SELECT count(*) FROM files) + (SELECT count(*) FROM missing) + 2 * (SELECT count(*) FROM externals)
+  + 4 * (SELECT count(*) FROM edges)
+  + (SELECT count(*) FROM (SELECT DISTINCT src, dst, line FROM imports WHERE line <> 0))
+  + (SELECT count(*) FROM (SELECT DISTINCT src, dst, type FROM imports))
+  + 2 * (SELECT count(*) FROM (SELECT DISTINCT src, name FROM exports))
+  + (SELECT count(*) FROM (SELECT DISTINCT src, name, export_type FROM exports)) + (SELECT count(*) FROM (SELECT DISTINCT src, name, line FROM exports WHERE line <> 0))
+  + 8 * (SELECT count(*) FROM functions) + 3 * (SELECT count(*) FROM functions WHERE class_name IS NOT NULL)
+  + (SELECT count(*) FROM functions WHERE line <> 0) + (SELECT count(*) FROM entries) AS total_triples,
+  (SELECT count(*) FROM nodes) AS files, (SELECT count(*) FROM externals) AS modules, (SELECT count(*) FROM functions) AS functions,
+  CAST(0 AS BIGINT) AS classes, (SELECT count(*) FROM edges) AS imports,
+  (SELECT count(*) FROM (SELECT DISTINCT src, name FROM exports)) AS exports, CAST(0 AS BIGINT) AS calls,
+  (SELECT count(*) FROM entries) AS entry_points, (SELECT count(*) FROM externals) AS external_modules"""
+
+
+@query(_STATS, "nodes", "files", "missing", "externals", "edges", "imports", "exports", "functions", "entries")
+def graph_stats(spark, d):
+    return graph.graph_stats(Graph(spark, d).triples)
+
+
+@query("SELECT src AS s, 'urn:codeloom:graph#imports' AS p, CASE WHEN dst LIKE '%:%' THEN dst ELSE 'urn:code:' || dst END AS o FROM edges", "edges")
+def quads_by_predicate(spark, d):
+    return graph.match(Graph(spark, d).triples, p=graph.NAMESPACES["graph"] + "imports").select("s", "p", "o")
+
+
+@query("SELECT CASE WHEN id LIKE '%:%' THEN id ELSE 'urn:code:' || id END AS id FROM externals", "externals")
+def modules_by_type(spark, d):
+    return graph.nodes_of_type(Graph(spark, d).triples, "module")
+
+
+@query(
+    """SELECT path AS node, CAST(size AS VARCHAR) AS size, CASE WHEN loc <> 0 THEN CAST(loc AS VARCHAR) END AS loc,
+              CASE WHEN is_missing THEN 'true' END AS is_missing FROM nodes WHERE path LIKE 'part:%' AND (size <> 0 OR is_missing)
+       """.replace("CAST(size AS VARCHAR) AS size", "CASE WHEN size <> 0 THEN CAST(size AS VARCHAR) END AS size"),
+    "nodes",
+)
+def metadata_pivot(spark, d):
+    rows = graph.metadata(Graph(spark, d).triples.filter(F.col("s").startswith("part:") & ~F.col("s").contains("#") & ~F.col("s").contains("-imports-")))
+    wide = rows.groupBy("node").pivot("property", ["size", "loc", "isMissing"]).agg(F.first("value"))
+    return wide.withColumnRenamed("isMissing", "is_missing")
+
+
+@query(
+    """SELECT '<' || src || '> <urn:codeloom:graph#imports> <' || CASE WHEN dst LIKE '%:%' THEN dst ELSE 'urn:code:' || dst END || '> .' AS value
+       FROM edges""",
+    "edges",
+)
+def ntriples(spark, d):
+    return graph.ntriples(graph.match(Graph(spark, d).triples, p=graph.NAMESPACES["graph"] + "imports"))
+
+
+@query(
+    """SELECT s || ' ' || cast(c AS VARCHAR) AS line FROM (
+         SELECT 'file' AS s, count(*) AS c FROM nodes UNION ALL SELECT 'external-module', count(*) FROM externals
+         UNION ALL SELECT 'edge', count(*) FROM edges UNION ALL SELECT 'entry', count(*) FROM entries)""",
+    "nodes", "externals", "edges", "entries",
+)
+def graph_summary(spark, d):
+    g = Graph(spark, d)
+    nodes, links = graph.property_graph(g.metrics, g.externals, g.edges)
+    counts = nodes.groupBy(F.col("type").alias("s")).agg(F.count("*").alias("c"))
+    counts = counts.unionByName(nodes.agg(F.lit("entry").alias("s"), F.count_if("is_entry_point").alias("c")))
+    counts = counts.unionByName(links.agg(F.lit("edge").alias("s"), F.count("*").alias("c")))
+    return counts.select(F.concat("s", F.lit(" "), F.col("c").cast("string")).alias("line"))
+
+
+@query(
+    """SELECT '{"id":"' || path || '","size":' || size || ',"dependent_count":' || dependent_count || '}' AS json FROM metrics WHERE path LIKE 'nation:%'""",
+    "metrics",
+)
+def json_nodes(spark, d):
+    kept = Graph(spark, d).metrics.filter(F.col("path").startswith("nation:"))
+    return kept.select(F.to_json(F.struct(F.col("path").alias("id"), "size", "dependent_count")).alias("json"))
+
+
+# Entry points, reachability, dead code
+
+
+@query("SELECT id FROM entries WHERE id IN (SELECT path FROM files)", "entries", "files")
+def entry_config(spark, d):
+    g = Graph(spark, d)
+    return deadcode.configured_entries(g.files, g.entries)
+
+
+_AUTO = """SELECT f.path AS id FROM files f WHERE f.path NOT IN (SELECT dst FROM sparse_edges)
+           AND (f.size % 2 = 0 OR f.path NOT IN (SELECT src FROM exports))"""
+
+
+@query(_AUTO, "files", "sparse_edges", "exports")
+def entry_auto(spark, d):
+    g = Graph(spark, d)
+    return deadcode.likely_entries(g.files, g.sparse, g.exports, looks=F.col("size") % 2 == 0)
+
+
+@query("SELECT path FROM files WHERE path NOT IN (SELECT dst FROM sparse_edges)", "files", "sparse_edges")
+def no_incoming(spark, d):
+    g = Graph(spark, d)
+    return deadcode.unimported(g.files, g.sparse).select("path")
+
+
+@query("SELECT id FROM reached", "reached")
+def reachable(spark, d):
+    return Graph(spark, d).reached.select("id")
+
+
+@query("SELECT path FROM nodes WHERE path NOT IN (SELECT id FROM reached)", "nodes", "reached")
+def dead_files(spark, d):
+    return Graph(spark, d).dead
+
+
+@query("SELECT path FROM nodes WHERE path NOT IN (SELECT id FROM reached)", "nodes", "reached")
+def isolated(spark, d):
+    return Graph(spark, d).dead
+
+
+@query("SELECT path FROM nodes WHERE path IN (SELECT id FROM reached)", "nodes", "reached")
+def reachable_files(spark, d):
+    g = Graph(spark, d)
+    return g.nodes.select("path").join(g.reached.select(F.col("id").alias("path")), "path", "left_semi")
+
+
+@query("SELECT DISTINCT src, name FROM exports WHERE src NOT IN (SELECT dst FROM sparse_edges WHERE src <> dst)", "exports", "sparse_edges")
+def unused_exports(spark, d):
+    g = Graph(spark, d)
+    return deadcode.unused_exports(g.export_nodes, g.sparse).select("src", "name")
+
+
+@query("SELECT total_files, reachable_files, dead_files, reachability FROM stats", "stats")
+def reach_stats(spark, d):
+    return Graph(spark, d).stats
+
+
+@query(
+    """SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM (
+         SELECT id, 0 AS depth FROM entries UNION ALL SELECT dst, 1 FROM edges JOIN entries ON src = id
+         UNION ALL SELECT b.dst, 2 FROM edges a JOIN entries ON a.src = id JOIN edges b ON a.dst = b.src
+         UNION ALL SELECT c.dst, 3 FROM edges a JOIN entries ON a.src = id JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src)
+       WHERE id NOT IN (SELECT id FROM externals) GROUP BY id""",
+    "entries", "edges", "externals",
+)
+def shortest_path_depth(spark, d):
+    return _long(Graph(spark, d).reached.select("id", "depth"))
+
+
+@query(
+    """SELECT dst AS id FROM edges WHERE src = 'orders:50' UNION SELECT b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = 'orders:50'
+       UNION SELECT c.dst FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src WHERE a.src = 'orders:50'""",
+    "edges",
+)
+def critical_path_set(spark, d):
+    start = spark.createDataFrame([("orders:50",)], "id string")
+    return reach.reachable(Graph(spark, d).edges, start).filter("depth > 0").select("id")
+
+
+# Functions and duplicates
+
+
+@query("SELECT bare, count FROM groups", "groups")
+def dup_groups(spark, d):
+    return Graph(spark, d).groups.select("bare", "count")
+
+
+@query("SELECT bare, count, category FROM groups", "groups")
+def dup_category(spark, d):
+    return Graph(spark, d).groups
+
+
+@query(
+    """SELECT n.bare, n.name, n.file || ':' || CASE WHEN n.line > 0 THEN CAST(n.line AS VARCHAR) ELSE '?' END AS location
+       FROM named n JOIN groups g USING (bare)""",
+    "named", "groups",
+)
+def dup_occurrences(spark, d):
+    g = Graph(spark, d)
+    return duplicates.duplicate_occurrences(g.functions, g.groups, ignore_common=False).select("bare", "name", "location")
+
+
+@query("SELECT total_functions, unique_names, duplicate_groups, total_duplicates FROM dup_stats", "dup_stats")
+def dup_stats(spark, d):
+    return Graph(spark, d).dup_stats.select("total_functions", "unique_names", "duplicate_groups", "total_duplicates")
+
+
+@query("SELECT cross_class, redundancy FROM dup_stats", "dup_stats")
+def redundancy(spark, d):
+    return Graph(spark, d).dup_stats.select("cross_class", "redundancy")
+
+
+@query(
+    """SELECT DISTINCT p_name, lower(p_name) IN ('constructor','render','init','initialize','setup','destroy','toString','valueOf','get','set',
+              'update','create','delete','handle','process','execute') AS common FROM (SELECT p_name FROM part UNION ALL SELECT 'Render' UNION ALL SELECT 'toString')"""
+)
+def common_name_filter(spark, d):
+    names = Graph(spark, d).table("part").select("p_name").union(spark.range(1).select(F.lit("Render"))).union(spark.range(1).select(F.lit("toString")))
+    return names.select("p_name", X.is_common_name("p_name").alias("common")).distinct()
+
+
+_SIMILAR = """SELECT a, b, (n - dist)::DOUBLE / n AS similarity FROM (
+  SELECT x.p_name AS a, y.p_name AS b, greatest(length(x.p_name), length(y.p_name)) AS n, levenshtein(x.p_name, y.p_name) AS dist
+  FROM (SELECT DISTINCT p_name FROM part) x JOIN (SELECT DISTINCT p_name FROM part) y ON x.p_name < y.p_name)
+  WHERE (n - dist)::DOUBLE / n >= 0.8 AND dist > 0"""
+
+
+@query(_SIMILAR)
+def similar_names(spark, d):
+    return duplicates.similar_names(Graph(spark, d).table("part").select(F.col("p_name").alias("name")))
+
+
+@query(
+    f"""SELECT a, b, 'x' || CAST(p_partkey AS VARCHAR) AS name FROM ({_SIMILAR}) s JOIN part p ON p.p_name IN (s.a, s.b) WHERE p.p_partkey % 50 = 0"""
+)
+def similar_occurrences(spark, d):
+    part = Graph(spark, d).table("part")
+    pairs = duplicates.similar_names(part.select(F.col("p_name").alias("name")))
+    rows = part.filter("p_partkey % 50 = 0").select(F.col("p_name").alias("name"), F.concat(F.lit("x"), "p_partkey").alias("file"), F.lit(0).alias("line"))
+    found = duplicates.similar_occurrences(rows, pairs, ignore_common=False)
+    return found.select("a", "b", F.regexp_replace("location", r":\?$", "").alias("name"))
+
+
+@query(
+    """SELECT count(*) AS total, count(*) FILTER (WHERE type = 'method') AS methods, count(*) FILTER (WHERE type <> 'method') AS regular,
+              count(*) FILTER (WHERE is_async) AS async_functions, count(*) FILTER (WHERE is_static) AS static_methods,
+              count(*) FILTER (WHERE is_generator) AS generators, count(*) FILTER (WHERE is_async) / count(*) * 100 AS async_percent FROM functions""",
+    "functions",
+)
+def function_stats(spark, d):
+    return duplicates.function_stats(Graph(spark, d).functions)
+
+
+@query("SELECT file, count(*) AS count FROM functions GROUP BY file ORDER BY count DESC, file LIMIT 10", "functions")
+def functions_per_file(spark, d):
+    return duplicates.functions_per_file(Graph(spark, d).functions)
+
+
+@query("SELECT file || '#' || name AS id, name, type, line FROM functions", "functions")
+def function_nodes(spark, d):
+    return _long(graph.function_nodes(Graph(spark, d).functions).select("id", "name", "type", "line")).withColumn("line", F.col("line").cast("int"))
+
+
+# Health
+
+
+_SCORES = {
+    "health_report": "greatest(0, CAST(floor(reachability * 0.7::DOUBLE + imports / files * 10 * 0.3::DOUBLE - redundancy * 10 + 0.5) AS BIGINT))",
+    "health_cli": "CAST(floor(reachability * 0.7::DOUBLE + imports / files * 10 * 0.3::DOUBLE + 0.5) AS BIGINT)",
+    "health_http": "greatest(0, CAST(floor(reachability * 0.7::DOUBLE + least(imports / files * 10, 30::DOUBLE) - redundancy * 10 + 0.5) AS BIGINT))",
+    "health_client": "CAST(floor(reachable_files / files * 70 + least(imports / files * 10, 30::DOUBLE) + 0.5) AS BIGINT)",
+}
+
+
+def _scored(spark, d):
+    g = Graph(spark, d)
+    links = g.edges.agg(F.count("*").alias("imports"))
+    row = g.stats.join(F.broadcast(links)).join(F.broadcast(g.dup_stats.select("redundancy", "duplicate_groups")))  # one row each
+    return health.scores(row.withColumnRenamed("total_files", "files"))
+
+
+def _health(name: str, sql: str) -> None:
+    QUERIES[name] = lambda spark, d: _scored(spark, d).select(name)
+    ORACLES[name] = oracle(f"SELECT {sql} AS {name} FROM scored", "scored")
+
+
+for _name, _sql in _SCORES.items():
+    _health(_name, _sql)
+
+
+@query(
+    f"""SELECT CASE WHEN h >= 80 THEN 'Excellent' WHEN h >= 60 THEN 'Good' WHEN h >= 40 THEN 'Fair' ELSE 'Poor' END AS label
+        FROM (SELECT {_SCORES["health_report"]} AS h FROM scored)""",
+    "scored",
+)
+def health_label(spark, d):
+    return _scored(spark, d).select("label")
+
+
+@query(
+    """SELECT connectivity + structure + quality AS health, connectivity, structure, quality FROM (
+         SELECT CAST(floor(connected / files * 50 + 0.5) AS BIGINT) AS connectivity,
+                least(CAST(floor((imports / files + exports / files) * 3 + 0.5) AS BIGINT), 30) AS structure, greatest(20 - missing * 5, 0) AS quality
+         FROM (SELECT count(*) AS files, sum(import_count) AS imports, sum(export_count) AS exports, count(*) FILTER (WHERE is_missing) AS missing,
+                      count(*) FILTER (WHERE dependent_count > 0 OR import_count > 0) AS connected FROM metrics))""",
+    "metrics",
+)
+def health_structure(spark, d):
+    return health.structure_score(Graph(spark, d).metrics).select("health", "connectivity", "structure", "quality")
+
+
+@query(
+    f"""SELECT NOT (total_files - s.reachable_files > 10 OR s.reachability < 70) AS report_passed, total_files = s.reachable_files AS dead_code_passed,
+              {_SCORES["health_cli"].replace("reachability", "x.reachability")} >= 50 AS health_passed, duplicate_groups = 0 AS duplicates_passed
+       FROM stats s, dup_stats, scored x""",
+    "stats", "dup_stats", "scored",
+)
+def exit_conditions(spark, d):
+    return health.passed(_scored(spark, d))
+
+
+# Pictures
+
+
+_VISUAL = """SELECT id, type, is_dead, radius, colour FROM (
+  SELECT path AS id, 'file' AS type, path NOT IN (SELECT id FROM reached) AS is_dead,
+         CASE WHEN is_missing THEN 14 WHEN size = 0 THEN 6 WHEN size < 1000 THEN 8 WHEN size < 5000 THEN 11 WHEN size < 10000 THEN 14
+              WHEN size < 25000 THEN 18 WHEN size < 50000 THEN 23 WHEN size < 100000 THEN 28 WHEN size < 200000 THEN 34 ELSE 40 END AS radius,
+         CASE WHEN parse_error THEN '#dc2626' WHEN path NOT IN (SELECT id FROM reached) THEN '#6b7280' WHEN size > 25000 AND dependent_count < 3 THEN '#f97316'
+              WHEN dependent_count > 10 THEN '#4ade80' WHEN dependent_count > 5 THEN '#86efac' WHEN dependent_count = 0 THEN '#60a5fa'
+              WHEN import_count > 10 THEN '#fb923c' WHEN import_count > 5 THEN '#fbbf24' ELSE '#4a9eff' END AS colour FROM metrics
+  UNION ALL SELECT id, 'external-module', false, 5, '#a78bfa' FROM externals)"""
+
+
+def _visual(spark, d):
+    g = Graph(spark, d)
+    nodes, links = graph.property_graph(g.metrics, g.externals, g.edges)
+    return visual.visual_nodes(nodes, g.dead), links
+
+
+@query(_VISUAL, "metrics", "externals", "reached")
+def visual_nodes(spark, d):
+    return _visual(spark, d)[0].select("id", "type", "is_dead", "radius", "colour")
+
+
+@query('SELECT e.src AS "from", e.dst AS "to" FROM edges e WHERE e.dst NOT IN (SELECT id FROM externals)', "edges", "externals")
+def visual_filter(spark, d):
+    return visual.visible(*_visual(spark, d), external=False)[1].select("from", "to")
+
+
+@query("SELECT path AS id FROM nodes WHERE path NOT IN (SELECT id FROM reached)", "nodes", "reached")
+def visual_dead_only(spark, d):
+    return visual.visible(*_visual(spark, d), dead_only=True)[0].select("id")
+
+
+@query("SELECT path AS id, contains(path, 'ier:1') AS matches FROM nodes", "nodes")
+def node_search(spark, d):
+    return visual.search(Graph(spark, d).nodes.select(F.col("path").alias("id")), "IER:1").select("id", "matches")
+
+
+# Text and sources
+
+
+@query(
+    r"""SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g') <> ''
+               AND NOT regexp_matches(regexp_replace(l, '^\s+', ''), '^(//|/\*|\*)'))) AS INTEGER) AS loc FROM documents"""
+)
+def loc_count(spark, d):
+    return Graph(spark, d).table("documents").select("doc_id", X.lines_of_code("text").alias("loc"))
+
+
+@query(
+    r"""SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g') <> ''
+               AND NOT regexp_matches(regexp_replace(l, '^\s+', ''), '^(//|/\*|\*)'))) AS INTEGER) AS loc FROM documents ORDER BY loc DESC, doc_id LIMIT 5"""
+)
+def largest_files(spark, d):
+    counted = Graph(spark, d).table("documents").select("doc_id", X.lines_of_code("text").alias("loc"))
+    return counted.filter("loc > 0").orderBy(F.desc("loc"), "doc_id").limit(5)
+
+
+_LINKS = """SELECT page_id, url, unnest(regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1)) AS source FROM pages"""
+
+
+@query(f"SELECT page_id, source, count(*) AS n FROM ({_LINKS}) GROUP BY page_id, source")
+def link_extract(spark, d):
+    links = Graph(spark, d).table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), F.lit(1))).alias("source"))
+    return links.groupBy("page_id", "source").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""SELECT source, source <> '' AND NOT regexp_matches(source, '^[./]') AS is_external, regexp_matches(source, '^[./]') AS is_relative
+        FROM (SELECT DISTINCT source FROM ({_LINKS}) UNION SELECT DISTINCT o_orderpriority FROM orders)"""
+)
+def import_classify(spark, d):
+    g = Graph(spark, d)
+    links = g.table("pages").select(F.explode(F.regexp_extract_all("html", F.lit('(?:href|src)="([^"]*)"'), F.lit(1))).alias("source"))
+    sources = links.union(g.table("orders").select("o_orderpriority")).distinct()
+    return sources.select("source", X.is_external("source").alias("is_external"), X.is_relative("source").alias("is_relative"))
+
+
+@query(
+    """SELECT x, CASE WHEN regexp_matches(x, '^(https?|file)://') THEN x WHEN x LIKE '/%' THEN 'file://' || x WHEN x LIKE '%:%' THEN x
+                 ELSE 'urn:code:' || replace(x, '/', ':') END AS id
+       FROM (SELECT DISTINCT url AS x FROM pages UNION SELECT DISTINCT p_brand FROM part UNION SELECT '/a/b.js' UNION SELECT '@a/b')"""
+)
+def node_id(spark, d):
+    g = Graph(spark, d)
+    fixed = spark.createDataFrame([("/a/b.js",), ("@a/b",)], "x string")
+    xs = g.table("pages").select(F.col("url").alias("x")).union(g.table("part").select("p_brand")).union(fixed).distinct()
+    return xs.select("x", X.node_id("x").alias("id"))
+
+
+@query(
+    r"""SELECT url AS path, regexp_extract(url, '[^/]+(\.[^./]*)$', 1) AS ext, regexp_extract(url, '[^/]+(\.[^./]*)$', 1) IN ('.js','.mjs','.cjs','.jsx') AS supported FROM pages"""
+)
+def scan_ext_filter(spark, d):
+    return Graph(spark, d).table("pages").select(F.col("url").alias("path"), X.extension("url").alias("ext"), X.is_source("url").alias("supported"))
