@@ -26,9 +26,12 @@ def domain_words(text: str) -> Column:
 
 
 def fit_domains(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior: float = 0.5
+    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, prior: float = 20_000.0
 ) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Domains, their log shares and log word weights (BUCKETS x domains).
+    """Domains, their log shares and log word weights (BUCKETS x domains), relative to all labelled text.
+
+    ``prior`` words of the average text are added to each domain, so that a domain of few labels does not
+    take its rare words for a sign.
 
     docs has doc_id and text, labels has doc_id and domain. The classifier is fitted on at most
     ``max_rows`` labels, those of least hash of doc_id, which bounds what is broadcast; null domains are not
@@ -42,7 +45,7 @@ def fit_domains(
     tokens = labelled.select("domain", F.explode(F.array_append(buckets, F.lit(-1))).alias("bucket"))
     counted = tokens.groupBy("domain", "bucket").count().collect()
     domains = sorted({r["domain"] for r in counted})
-    counts = np.full((BUCKETS, len(domains)), prior)
+    counts = np.zeros((BUCKETS, len(domains)))
     shares = np.zeros(len(domains))
     for r in counted:
         k = domains.index(r["domain"])
@@ -50,7 +53,9 @@ def fit_domains(
             shares[k] = r["count"]
         else:
             counts[r["bucket"], k] += r["count"]
-    return domains, np.log(shares / max(shares.sum(), 1)), np.log(counts / counts.sum(axis=0))
+    average = (counts.sum(axis=1) + 0.5) / (counts.sum() + 0.5 * BUCKETS)
+    weights = np.log((counts + prior * average[:, None]) / (counts.sum(axis=0) + prior)) - np.log(average)[:, None]
+    return domains, np.log(shares / max(shares.sum(), 1)), weights
 
 
 def _bucket(word: Column) -> Column:
@@ -62,8 +67,7 @@ def posteriors(docs: DataFrame, model, key: list[str]) -> DataFrame:
 
     A document without words has the domains' shares among labelled rows.
     """
-    domains, log_share, log_word = model
-    relative = log_word - log_word.mean(axis=1, keepdims=True)
+    domains, log_share, relative = model
     # The weights of a domain are one literal; a document's score sums those of its words' buckets.
     tables = [F.split(F.lit(",".join(f"{x:.5f}" for x in relative[:, k])), ",").cast("array<double>") for k in range(len(domains))]
     buckets = F.transform(F.filter(domain_words("text"), lambda w: w != ""), _bucket)
