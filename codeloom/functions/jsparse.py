@@ -314,22 +314,23 @@ class _Reader:
 
     def member_end(self, at: int, end: int) -> int:
         """Behind the member that begins at ``at``: a body ends it, or a semicolon, or a field's last line."""
-        first = at
         field_ = False
         while at < end:
-            if self.text(at) == ";":
+            mark = self.text(at)
+            if mark == ";":
                 return at + 1
-            if self.text(at) == "=":
-                field_ = True
+            field_ = field_ or mark == "="
             if at in self.ends:
-                block = self.text(at) == "{"
                 at = self.ends[at] + 1
-                if block and not field_:
+                if mark == "{" and not field_:
                     return at
-                continue
-            at += 1
-            if at < end and self.tokens[at].fresh and at > first:
-                if field_ and self.kind(at - 1) != "mark" and self.kind(at) != "mark" or not field_ and self.kind(at - 1) in ("word", "private") and self.text(at) not in ("(", "=", "{"):
+            else:
+                at += 1
+            if at < end and self.tokens[at].fresh:
+                whole = self.kind(at - 1) != "mark" or self.text(at - 1) in CLOSERS
+                if field_ and whole and self.kind(at) != "mark":
+                    return at
+                if not field_ and self.kind(at - 1) in ("word", "private") and self.text(at) not in ("(", "=", "{"):
                     return at
         return at
 

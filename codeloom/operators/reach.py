@@ -112,4 +112,4 @@ def preorder(edges: DataFrame, source: str) -> DataFrame:
         return pd.DataFrame({"position": range(len(order)), "id": order})
 
     marked = own.unionByName(spark.createDataFrame([(source, source, -1)], "src string, dst string, first_seq long"))
-    return marked.groupBy(F.lit(0)).applyInPandas(walk, "position long, id string")
+    return marked.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(walk, "position long, id string")

@@ -150,7 +150,9 @@ class TreeSource(DataSource):
 
 
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """Source files under root with their contents."""
+    """Source files under root with their contents; raises FileNotFoundError where root is no directory."""
+    if not os.path.isdir(root):
+        raise FileNotFoundError(f"no such directory: {root}")
     spark.dataSource.register(TreeSource)
     return spark.read.format("source_tree").option("ignore", "\n".join(ignore or [])).load(root)
 
