@@ -123,9 +123,14 @@ def fit_languages(docs: DataFrame, rows_each: int = 600, max_languages: int = 20
     """
     rows = learning_rows(docs.select("doc_id", "text", "lang"))
     counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    languages = [r.lang for r in counted.collect()]
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.filter(F.col("lang").isin(languages)).withColumn("k", F.row_number().over(first))
+    sizes = {r["lang"]: r["count"] for r in counted.collect()}
+    if not sizes:
+        return LanguageCoder.fit({}, [], **options)
+    # A share of each language by the hash, four times what is wanted, keeps the window's groups small at any scale.
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, 4 * rows_each / n) * (1 << 30)))])
+    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.element_at(share, F.col("lang"))
+    first = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    chosen = rows.filter(F.col("lang").isin(list(sizes))).filter(near).withColumn("k", F.row_number().over(first))
     chosen = chosen.filter(F.col("k") <= rows_each).select("lang", F.col("text").cast("binary").alias("text"))
 
     def count(batches):
