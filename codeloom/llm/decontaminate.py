@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import hash_filter, materialize, passes, with_filter
 
 BITS = 64
+LANE = 127  # what a counter may reach
 #: Items up to this many rows of shingles are broadcast; beyond, the join is shuffled.
 BROADCAST_SHINGLES = 200_000
 
@@ -40,14 +41,14 @@ def simhash(hashes: str) -> Column:
     """The SimHash of an array of hashes: a bit is set that is set in over half of them."""
     zero = F.transform(F.sequence(F.lit(0), F.lit(BITS // 8 - 1)), lambda _: F.lit(0).cast("long"))
     lanes = 0x0101010101010101
-    # Eight byte-wide counters to a long; arrays are taken 255 at a time so that no counter overflows.
+    # Eight byte-wide counters to a long; arrays are taken LANE at a time, so that the signed long never overflows.
     size = F.size(hashes)
     piece = lambda n: F.aggregate(
-        F.slice(hashes, n * 255 + 1, F.lit(255)),
+        F.slice(hashes, n * LANE + 1, F.lit(LANE)),
         zero,
         lambda acc, h: F.transform(acc, lambda a, i: a + F.call_function("shiftrightunsigned", h, i).bitwiseAND(lanes)),
     )
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(size / 255).cast("int") - 1, F.lit(0))), piece)
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(size / LANE).cast("int") - 1, F.lit(0))), piece)
 
     def bit(b: Column, counted: Column) -> Column:
         lane, shift = b % 8, F.floor(b / 8).cast("int") * 8
