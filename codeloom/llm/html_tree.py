@@ -194,7 +194,9 @@ def style_tree(pages: DataFrame, lean: int = 8) -> DataFrame:
             arrays = [pa.array(list(k), t) for k, t in zip(keys, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(seen.values()), pa.int64())], ["host", "path", "what", "feature", "k"])
 
-    found = pages.select(_host().alias("host"), "html").mapInArrow(rows, "host string, path long, what int, feature long, k long")
+    # Copies of a page on a host are one page: they say nothing about what its pages share.
+    single = pages.select(_host().alias("host"), "html", F.xxhash64("html").alias("h")).dropDuplicates(["host", "h"])
+    found = single.select("host", "html").mapInArrow(rows, "host string, path long, what int, feature long, k long")
     found = materialize(found.groupBy("host", "path", "what", "feature").agg(F.sum("k").alias("k")), "features")
     everywhere = found.groupBy("path", "what", "feature").agg(F.sum("k").alias("k")).withColumn("host", F.lit("*"))
     both = found.unionByName(everywhere)
@@ -276,6 +278,7 @@ def main_text(root: Node, importance: dict[int, float], least: float) -> str:
 
 #: So many low paths of all hosts together are broadcast; more are joined by host, hot hosts salted.
 BROADCAST_PATHS = 100_000
+FEWEST = 3  # pages of a host that must have an element before it may be cut for what they share
 
 
 def extract_pages(pages: DataFrame, least: float = 0.35, lean: int = 8) -> DataFrame:
@@ -288,7 +291,7 @@ def extract_pages(pages: DataFrame, least: float = 0.35, lean: int = 8) -> DataF
     """
     pages = pages.select("page_id", "url", "html")
     tree = style_tree(pages, lean)
-    low = tree.filter((F.col("importance") < least) & (F.col("host") != "*"))
+    low = tree.filter((F.col("importance") < least) & (F.col("pages") >= FEWEST) & (F.col("host") != "*"))
     low = low.groupBy("host").agg(
         F.collect_list(F.struct("path", "importance")).alias("low"), F.count("*").alias("paths"), F.max("pages").alias("pages")
     )
