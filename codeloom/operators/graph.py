@@ -110,67 +110,67 @@ def quads(
     Attributes that are null, zero or empty make no triple, except flags and parameter counts.
     """
     N = namespaces
+    kind = "struct<s:string,p:string,o:string,o_kind:string,o_dt:string>"
     iri = lambda ns, x: F.lit(N[ns] + x)
-
-    def link(df, s, p, o):
-        return df.select(s.alias("s"), p.alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), F.lit("").alias("o_dt"))
-
-    def literal(df, s, p, column, kind, present):
-        kept = df.filter(present)
-        return kept.select(s.alias("s"), p.alias("p"), F.col(column).cast("string").alias("o"), F.lit("literal").alias("o_kind"), F.lit(kind).alias("o_dt"))
-
-    nonzero = lambda c: F.coalesce(F.col(c) != 0, F.lit(False))
-    said = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     type_ = iri("rdf", "type")
-    path, src = X.node_id("path"), X.node_id("src")
-    nodes = file_nodes(files, imports)
-    parts = [
-        link(nodes, path, type_, iri("graph", "File")),
-        literal(nodes, path, iri("code", "size"), "size", "integer", nonzero("size")),
-        literal(nodes, path, iri("code", "loc"), "loc", "integer", nonzero("loc")),
-        literal(nodes.filter("NOT is_missing"), path, iri("graph", "parseError"), "parse_error", "boolean", F.col("parse_error").isNotNull()),
-        literal(nodes, path, iri("graph", "isMissing"), "is_missing", "boolean", F.col("is_missing")),
-    ]
-    modules = external_modules(imports).withColumn("is_external", F.lit(True))
-    parts += [
-        link(modules, X.node_id("id"), type_, iri("graph", "Module")),
-        literal(modules, X.node_id("id"), iri("graph", "isExternal"), "is_external", "boolean", F.lit(True)),
-    ]
-    dst = X.node_id("dst")
-    stated = imports.withColumn("edge", F.concat("src", F.lit("-imports-"), "dst"))
-    edge = X.node_id("edge")
-    parts += [
-        link(stated, src, iri("graph", "imports"), dst),
-        link(stated, edge, type_, iri("graph", "Import")),
-        link(stated, edge, iri("graph", "from"), src),
-        link(stated, edge, iri("graph", "to"), dst),
-        literal(stated, edge, iri("code", "line"), "line", "integer", nonzero("line")),
-        literal(stated, edge, iri("graph", "importType"), "type", "string", said("type")),
-    ]
-    named = exports.withColumn("export_id", F.concat("src", F.lit("#export:"), "name"))
+
+    def triple(s, p, o, o_kind="iri", o_dt=""):
+        return F.struct(s.alias("s"), p.alias("p"), o.cast("string").alias("o"), F.lit(o_kind).alias("o_kind"), F.lit(o_dt).alias("o_dt")).cast(kind)
+
+    def literal(s, p, column, o_dt, present):
+        return F.when(F.coalesce(present, F.lit(False)), triple(s, p, F.col(column), "literal", o_dt))
+
+    def emit(df, *triples):
+        """All triples of a row at once, so that a relation is read once."""
+        return df.select(F.explode(F.array_compact(F.array(*triples))).alias("t")).select("t.*")
+
+    nonzero = lambda c: F.col(c) != 0
+    said = lambda c: F.col(c) != ""
+    path, src, dst, edge = (X.node_id(c) for c in ("path", "src", "dst", "edge"))
+    error = [literal(path, iri("graph", "parseErrorMessage"), "parse_error_message", "string", said("parse_error_message"))]
+    out = emit(
+        files,
+        triple(path, type_, iri("graph", "File")),
+        literal(path, iri("code", "size"), "size", "integer", nonzero("size")),
+        literal(path, iri("code", "loc"), "loc", "integer", nonzero("loc")),
+        literal(path, iri("graph", "parseError"), "parse_error", "boolean", F.col("parse_error").isNotNull()),
+        *(error if "parse_error_message" in files.columns else []),
+    )
+    missing = missing_files(imports, files).withColumn("is_missing", F.lit(True))
+    out = out.unionByName(emit(missing, triple(path, type_, iri("graph", "File")), literal(path, iri("graph", "isMissing"), "is_missing", "boolean", F.lit(True))))
+    stated = imports.withColumns({"edge": F.concat("src", F.lit("-imports-"), "dst"), "outside": F.col("is_external")})
+    out = out.unionByName(emit(
+        stated,
+        F.when(F.col("outside"), triple(dst, type_, iri("graph", "Module"))),
+        literal(dst, iri("graph", "isExternal"), "outside", "boolean", F.col("outside")),
+        triple(src, iri("graph", "imports"), dst),
+        triple(edge, type_, iri("graph", "Import")),
+        triple(edge, iri("graph", "from"), src),
+        triple(edge, iri("graph", "to"), dst),
+        literal(edge, iri("code", "line"), "line", "integer", nonzero("line")),
+        literal(edge, iri("graph", "importType"), "type", "string", said("type")),
+    ))
     export = X.node_id("export_id")
-    parts += [
-        link(named, src, iri("graph", "exports"), export),
-        literal(named, export, iri("rdfs", "label"), "name", "string", said("name")),
-        literal(named, export, iri("graph", "exportType"), "export_type", "string", said("export_type")),
-        literal(named, export, iri("code", "line"), "line", "integer", nonzero("line")),
-    ]
-    ided = functions.withColumn("id", F.concat_ws("#", "file", "name"))
+    out = out.unionByName(emit(
+        exports.withColumn("export_id", F.concat("src", F.lit("#export:"), "name")),
+        triple(src, iri("graph", "exports"), export),
+        literal(export, iri("rdfs", "label"), "name", "string", said("name")),
+        literal(export, iri("graph", "exportType"), "export_type", "string", said("export_type")),
+        literal(export, iri("code", "line"), "line", "integer", nonzero("line")),
+    ))
     fid = X.node_id("id")
-    parts += [link(ided, fid, type_, iri("graph", "Function"))]
-    for column, ns, name in (
-        ("name", "rdfs", "label"), ("type", "graph", "functionType"), ("file", "graph", "file"), ("kind", "graph", "kind"),
-        ("class_name", "graph", "className"), ("method_name", "graph", "methodName"),
-    ):
-        parts.append(literal(ided, fid, iri(ns, name), column, "string", said(column)))
-    parts.append(literal(ided, fid, iri("code", "line"), "line", "integer", nonzero("line")))
-    for column, name, kind in (("params", "params", "integer"), ("is_async", "async", "boolean"), ("is_generator", "generator", "boolean"), ("is_static", "static", "boolean")):
-        parts.append(literal(ided, fid, iri("graph", name), column, kind, F.col(column).isNotNull()))
+    texts = (("name", "rdfs", "label"), ("type", "graph", "functionType"), ("file", "graph", "file"), ("kind", "graph", "kind"),
+             ("class_name", "graph", "className"), ("method_name", "graph", "methodName"))
+    flags = (("params", "params", "integer"), ("is_async", "async", "boolean"), ("is_generator", "generator", "boolean"), ("is_static", "static", "boolean"))
+    out = out.unionByName(emit(
+        functions.withColumn("id", F.concat_ws("#", "file", "name")),
+        triple(fid, type_, iri("graph", "Function")),
+        *[literal(fid, iri(ns, name), column, "string", said(column)) for column, ns, name in texts],
+        literal(fid, iri("code", "line"), "line", "integer", nonzero("line")),
+        *[literal(fid, iri("graph", name), column, o_dt, F.col(column).isNotNull()) for column, name, o_dt in flags],
+    ))
     marks = entries.withColumn("is_entry", F.lit(True))
-    parts.append(literal(marks, X.node_id("id"), iri("graph", "isEntryPoint"), "is_entry", "boolean", F.lit(True)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = out.unionByName(emit(marks, literal(X.node_id("id"), iri("graph", "isEntryPoint"), "is_entry", "boolean", F.lit(True))))
     return out.distinct()
 
 
