@@ -95,3 +95,37 @@ def test_long_path_is_one_component(spark):
     links = [(i, i + 1) for i in range(0, 200)] + [(1000, 1001)] + [(500, 500 + k) for k in range(1, 60)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(roots[i] == 0 for i in range(201)) and roots[1001] == roots[1000] == 1000 and roots[559] == 500
+
+
+def test_more_tables_find_more(spark):
+    from codeloom.llm.simhash import keep_one_of_group, majority_bits, remixed, shingle_hashes
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(200)) for _ in range(40)]
+    copies = []
+    for t in texts:
+        words = t.split()
+        words[rng.randrange(200)] = "changed"
+        copies.append(" ".join(words))
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts + copies + [None, "", "short"])], "doc_id long, text string, root int")
+    fps = [[majority_bits(remixed(shingle_hashes((t or "").encode(), 5), k)) for k in range(4)] for t in texts + copies + [None, "", "short"]]
+
+    def left(tables):
+        parent = list(range(len(fps)))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i in range(len(fps)):
+            for j in range(i):
+                if any((a ^ b).bit_count() <= 4 for a, b in zip(fps[i][:tables], fps[j][:tables])):
+                    a, b = sorted((find(i), find(j)))
+                    parent[b] = a
+        return {i for i in range(len(fps)) if find(i) == i}
+
+    for tables in (1, 4):
+        kept = keep_one_of_group(docs, tables=tables)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == left(tables)
+    assert len(left(4)) < len(left(1)) and set(range(40)) <= left(4)
