@@ -88,7 +88,7 @@ def benchmark_items(benchmark: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 20
+    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 28
 ) -> DataFrame:
     """One row per document and benchmark item with a window of the item in it:
     doc_id, item_id, start_word, n_words, similarity, hamming (of the most similar, first window).
