@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from codeloom.llm.components import components
-from codeloom.llm.simhash import bit_counts, fingerprint, near_links, simhash_groups
+from codeloom.llm.simhash import bit_counts, fingerprint, keep_one_of_group, near_links, simhash_groups
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -97,35 +97,61 @@ def test_long_path_is_one_component(spark):
     assert all(roots[i] == 0 for i in range(201)) and roots[1001] == roots[1000] == 1000 and roots[559] == 500
 
 
-def test_more_tables_find_more(spark):
-    from codeloom.llm.simhash import keep_one_of_group, majority_bits, remixed, shingle_hashes
+def slow_kept(rows, similarity, shingle=5):
+    """Ids of the least row of every group of texts linked by the similarity of their shingle sets, by brute force."""
+    sets = []
+    for _, text in rows:
+        words = SPACE.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set())
+    parent = list(range(len(rows)))
 
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            either = len(sets[i] | sets[j])
+            if not either or len(sets[i] & sets[j]) >= similarity * either:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), (True, 0)), (d is None, d or 0))
+    return sorted(least.values())
+
+
+def near_texts(rng, changes, words=300, texts=25):
+    """Texts, and copies with so many runs of changed words."""
+    rows = []
+    for _ in range(texts):
+        base = [rng.choice("abcdefgh") + str(rng.randrange(5000)) for _ in range(words)]
+        rows.append(" ".join(base))
+        for n in changes:
+            copy = list(base)
+            for at in rng.sample(range(words), n):
+                copy[at] = f"changed{rng.randrange(10**6)}"
+            rows.append(" ".join(copy))
+    return rows
+
+
+def test_groups_by_similarity_against_brute_force(spark):
     rng = random.Random(11)
-    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(200)) for _ in range(40)]
-    copies = []
-    for t in texts:
-        words = t.split()
-        words[rng.randrange(200)] = "changed"
-        copies.append(" ".join(words))
-    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts + copies + [None, "", "short"])], "doc_id long, text string, root int")
-    fps = [[majority_bits(remixed(shingle_hashes((t or "").encode(), 5), k)) for k in range(4)] for t in texts + copies + [None, "", "short"]]
-
-    def left(tables):
-        parent = list(range(len(fps)))
-
-        def find(i):
-            while parent[i] != i:
-                i = parent[i]
-            return i
-
-        for i in range(len(fps)):
-            for j in range(i):
-                if any((a ^ b).bit_count() <= 4 for a, b in zip(fps[i][:tables], fps[j][:tables])):
-                    a, b = sorted((find(i), find(j)))
-                    parent[b] = a
-        return {i for i in range(len(fps)) if find(i) == i}
-
-    for tables in (1, 4):
-        kept = keep_one_of_group(docs, tables=tables)
-        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == left(tables)
-    assert len(left(4)) < len(left(1)) and set(range(40)) <= left(4)
+    texts = near_texts(rng, (1, 4, 8, 20, 40)) + near_texts(rng, [2] * 60, texts=1)  # 60 copies are a dense group
+    odd = [None, "", " \n", "one", "One", "a b c d e", "a b c d e f", "same " * 30, "same " * 50, "long text " * 30000]
+    rows = list(enumerate(texts + odd)) + [(None, "one"), (3, texts[0]), (None, "no id at all, none"), (0, texts[0])]
+    docs = spark.createDataFrame([(i, t, 1, None) for i, t in rows], "doc_id long, text string, root int, node string")
+    kept = keep_one_of_group(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    assert got == slow_kept(rows, 0.8)
+    assert keep_one_of_group(docs.limit(0)).count() == 0
+
+
+def test_most_pairs_at_the_threshold_are_found(spark):
+    texts = near_texts(random.Random(5), [6], texts=120)  # similarities a little above 0.8
+    rows = list(enumerate(texts))
+    want = slow_kept(rows, 0.8)
+    got = [(False, r.doc_id) for r in keep_one_of_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert set(want) <= set(got)  # no text goes that should stay
+    assert len(got) - len(want) <= 0.1 * (len(rows) - len(want)) and len(want) < 0.8 * len(rows)
