@@ -129,16 +129,17 @@ def flip_masks(positions: range, most: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _ball_rows(fps: DataFrame, radius: int, hot_rows: int) -> DataFrame:
-    """key, base, left: base with up to ``left`` flips below the key's bits, and fp that emits them."""
+def _ball_rows(fps: DataFrame, radius: int, hot_rows: int, bits: int) -> DataFrame:
+    """key and fp: the variants of fp whose top bits are the key's; ``_unpacked`` tells the flips that are left."""
     top = F.array(*map(F.lit, flip_masks(range(64 - PREFIX, 64), radius)))
     first = fps.select("fp", F.explode(top).alias("mask")).select(
         "fp",
         F.col("fp").bitwiseXOR(F.col("mask")).alias("base"),
         (F.lit(radius) - F.bit_count("mask")).cast("int").alias("left"),
     )
-    first = first.withColumn("key", F.shiftrightunsigned("base", 64 - PREFIX).cast("long"))
-    # At most 2 ** PREFIX prefixes exist, which bounds what is broadcast here.
+    prefix = F.shiftrightunsigned("base", 64 - PREFIX).cast("long")
+    first = first.withColumn("key", prefix + F.col("fp").bitwiseAND((1 << (64 - bits)) - 1) * (1 << PREFIX))
+    # At most 2 ** PREFIX prefixes exist for each value of the lower bits, which bounds what is broadcast here.
     hot = first.groupBy("key").count().filter(F.col("count") > hot_rows).select("key", F.lit(True).alias("hot"))
     first = first.join(F.broadcast(hot), "key", "left")
     low = range(64 - 2 * PREFIX, 64 - PREFIX)
@@ -148,13 +149,19 @@ def _ball_rows(fps: DataFrame, radius: int, hot_rows: int) -> DataFrame:
     rows = first.withColumn("mask", F.explode(F.when(F.col("hot"), second).otherwise(F.array(F.lit(0).cast("long")))))
     base = F.col("base").bitwiseXOR(F.col("mask"))
     sub = F.shiftrightunsigned(base, 64 - 2 * PREFIX).bitwiseAND((1 << PREFIX) - 1).cast("long")
-    return rows.select(
-        (F.col("key") * (1 << (PREFIX + 1)) + F.when(F.col("hot"), sub + 1).otherwise(0)).alias("key"),
-        base.alias("base"),
-        (F.col("left") - F.bit_count("mask")).cast("int").alias("left"),
-        F.coalesce("hot", F.lit(False)).alias("hot"),
-        "fp",
-    )
+    return rows.select((F.col("key") * (1 << (PREFIX + 1)) + F.when(F.col("hot"), sub + 1).otherwise(0)).alias("key"), "fp")
+
+
+def _unpacked(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hot, base, left of rows: base is fp with the key's bits on top, below which up to ``left`` bits may be flipped."""
+    values, own = key.view(np.uint64), fp.view(np.uint64)
+    second = values & np.uint64((1 << (PREFIX + 1)) - 1)  # 0: the first level only; else the next bits and 1
+    hot = second > 0
+    top = ((values >> np.uint64(PREFIX + 1)) & np.uint64((1 << PREFIX) - 1)) << np.uint64(64 - PREFIX)
+    short = top | own & np.uint64((1 << (64 - PREFIX)) - 1)
+    long = top | (second - hot.astype(np.uint64)) << np.uint64(64 - 2 * PREFIX) | own & np.uint64((1 << (64 - 2 * PREFIX)) - 1)
+    base = np.where(hot, long, short)
+    return hot, base.view(np.int64), radius - np.bitwise_count(base ^ own).astype(np.int64)
 
 
 def meeting_links(fp: np.ndarray, base: np.ndarray, left: np.ndarray, low: range, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,11 +195,11 @@ def _links_of(batches: Iterator[pa.RecordBatch], reach: int, rows_at_once: int,
     held: list[pa.RecordBatch] = []
 
     def flush(table: pa.Table):
-        for hot in (False, True):
-            part = table.filter(pa.compute.equal(table["hot"], hot))
-            if part.num_rows:
-                cols = [part[c].to_numpy() for c in ("fp", "base", "left")]
-                a, b = meeting_links(*cols, range(64 - bits, 64 - PREFIX * (1 + hot)), reach)
+        key, fp = (table[c].to_numpy() for c in ("key", "fp"))
+        hot, base, left = _unpacked(key, fp, reach // 2)
+        for level, part in enumerate((~hot, hot), 1):
+            if part.any():
+                a, b = meeting_links(fp[part], base[part], left[part], range(64 - bits, 64 - PREFIX * level), reach)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
@@ -232,7 +239,7 @@ def near_links(
     """
     if distance % 2:
         raise ValueError("the ball has half the distance as its radius, so the distance is even")
-    rows = _ball_rows(fps, distance // 2, hot_rows)
+    rows = _ball_rows(fps, distance // 2, hot_rows, bits)
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(lambda b: _links_of(b, distance, rows_at_once, bits), "a long, b long").distinct()
@@ -336,15 +343,15 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Data
 
 
 def keep_one_of_group(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 4, bits: int = 36, tables: int = 8
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 2, bits: int = 30, tables: int = 20
 ) -> DataFrame:
     """Rows of docs, all columns: of each group of near-duplicates the one of smallest doc_id.
 
     Texts are linked whose sets of word shingles have at least this Jaccard similarity; links reach on
     from text to text. Linked texts are found where ``bits`` of their fingerprints differ in at most
-    ``distance`` in any of ``tables`` tables: by chance 97 of 100 pairs at a similarity of 0.8, 99.7 at 0.85.
-    Strangers meet by chance as well, in number with the square of the distinct texts: 36 bits suit some ten
-    million of them, and four bits and half as many tables again a corpus four times as large.
+    ``distance`` in any of ``tables`` tables: by chance 96 of 100 pairs at a similarity of 0.8, 99.6 at 0.85.
+    Strangers meet by chance as well, in number with the square of the distinct texts: 30 bits suit some ten
+    million of them; larger corpora take more bits and more tables.
 
     - Null, empty and blank texts have no shingles; they are copies of each other and of nothing else.
     - Texts of fewer words than a shingle are one shingle of all their words.
