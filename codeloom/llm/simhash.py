@@ -10,7 +10,8 @@ the least of them. Prefixes with many rows are dealt again by the next bits.
 One fingerprint of 64 bits misses most pairs of a shingle similarity near 0.8. Groups by similarity
 (``keep_one_of_group``) therefore meet by several shorter fingerprints of independent hashes, and what
 meets is a candidate only: pairs whose fingerprints differ too much as a whole go, and the others are
-verified by the exact Jaccard similarity of their shingle sets.
+verified by the exact Jaccard similarity of their shingle sets. There a leader does not stand for the rest: all
+that meet are compared with each other unless verified links join them already.
 """
 
 from __future__ import annotations
@@ -164,8 +165,8 @@ def _unpacked(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
     return hot, base.view(np.int64), radius - np.bitwise_count(base ^ own).astype(np.int64)
 
 
-def meeting_links(fp: np.ndarray, base: np.ndarray, left: np.ndarray, low: range, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Write out the variants of the rows, flips at ``low``, and link the fingerprints of equal ones to the least."""
+def _shared_variants(fp: np.ndarray, base: np.ndarray, left: np.ndarray, low: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Write out the variants of the rows, flips at ``low``: those of several fingerprints, sorted, whose they are, and the number of each."""
     variants, owners = [], []
     for flips in np.unique(left):
         rows = np.flatnonzero(left == flips)
@@ -178,20 +179,30 @@ def meeting_links(fp: np.ndarray, base: np.ndarray, left: np.ndarray, low: range
     fresh = np.concatenate(([True], variant[1:] != variant[:-1]))
     starts = np.flatnonzero(fresh)
     sizes = np.diff(np.append(starts, len(variant)))
-    many = np.flatnonzero(sizes > 1)
-    if not len(many):
-        return owner[:0], owner[:0]
     member = np.repeat(sizes > 1, sizes)
-    begins = np.concatenate(([0], np.cumsum(sizes[many])[:-1]))
-    least = np.repeat(np.minimum.reduceat(owner[member], begins), sizes[many])
-    pairs = np.unique(np.stack([least, owner[member]], axis=1), axis=0)
+    return variant[member], owner[member], sizes[sizes > 1]
+
+
+def meeting_links(fp: np.ndarray, base: np.ndarray, left: np.ndarray, low: range, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Write out the variants of the rows, flips at ``low``, and link the fingerprints of equal ones to the least."""
+    _, owner, sizes = _shared_variants(fp, base, left, low)
+    if not len(sizes):
+        return owner, owner
+    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    least = np.repeat(np.minimum.reduceat(owner, begins), sizes)
+    pairs = np.unique(np.stack([least, owner], axis=1), axis=0)
     a, b = pairs[pairs[:, 0] != pairs[:, 1]].T
     near = np.bitwise_count((a ^ b).view(np.uint64)) <= reach
     return a[near], b[near]
 
 
-def _links_of(batches: Iterator[pa.RecordBatch], reach: int, rows_at_once: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Links of a partition sorted by hot and key; whole keys are handled together."""
+def variant_members(fp: np.ndarray, base: np.ndarray, left: np.ndarray, low: range, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Variants that several fingerprints share, and each of those fingerprints."""
+    return _shared_variants(fp, base, left, low)[:2]
+
+
+def _links_of(batches: Iterator[pa.RecordBatch], reach: int, rows_at_once: int, bits: int, meet=meeting_links) -> Iterator[pa.RecordBatch]:
+    """What ``meet`` makes of a partition sorted by hot and key; whole keys are handled together."""
     held: list[pa.RecordBatch] = []
 
     def flush(table: pa.Table):
@@ -199,7 +210,7 @@ def _links_of(batches: Iterator[pa.RecordBatch], reach: int, rows_at_once: int,
         hot, base, left = _unpacked(key, fp, reach // 2)
         for level, part in enumerate((~hot, hot), 1):
             if part.any():
-                a, b = meeting_links(fp[part], base[part], left[part], range(64 - bits, 64 - PREFIX * level), reach)
+                a, b = meet(fp[part], base[part], left[part], range(64 - bits, 64 - PREFIX * level), reach)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
@@ -237,12 +248,16 @@ def near_links(
     of them are within the distance, so components are those of all links. Only the top ``bits`` (24 at
     least) may differ: values with different lower bits never meet.
     """
+    return _met(fps, distance, hot_rows, rows_at_once, bits, meeting_links).distinct()
+
+
+def _met(fps: DataFrame, distance: int, hot_rows: int, rows_at_once: int, bits: int, meet) -> DataFrame:
     if distance % 2:
         raise ValueError("the ball has half the distance as its radius, so the distance is even")
     rows = _ball_rows(fps, distance // 2, hot_rows, bits)
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(lambda b: _links_of(b, distance, rows_at_once, bits), "a long, b long").distinct()
+    return dealt.mapInArrow(lambda b: _links_of(b, distance, rows_at_once, bits, meet), "a long, b long")
 
 
 def _name() -> Column:
@@ -260,24 +275,22 @@ def _with_firsts(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFra
     return skew_join(rows, named, "node", "n", rows.count(), F.col("row"))
 
 
-def _candidates(nodes: DataFrame, bits: int, distance: int) -> DataFrame:
-    """Distinct pairs a < b of nodes that meet by the top ``bits`` of a fingerprint in some table.
-
-    A value of a table leads to one of its nodes, by an order of the table's own: a node meets other
-    leaders in every table, so a leader that proves too different costs one table only.
-    """
+def _meetings(nodes: DataFrame, bits: int, distance: int) -> DataFrame:
+    """key and node: nodes of one key meet by the top ``bits`` of a fingerprint in some table; every meeting is told."""
     # The table's number takes the place of the lower bits, so that tables never meet and one pass does for all.
     each = nodes.select("node", F.posexplode("fps").alias("table", "fp"))
     cut = F.col("fp").bitwiseAND(-1 << (64 - bits)).bitwiseOR(F.col("table").cast("long"))
-    each = each.select("node", cut.alias("fp"), F.xxhash64("node", "table").alias("order"))
-    leaders = each.groupBy("fp").agg(F.min_by("node", F.struct("order", "node")).alias("leader"), F.count("*").alias("n"))
-    leaders = materialize(leaders, "leaders")
-    near = near_links(leaders.select("fp"), distance, bits=bits)
-    a, b = (leaders.select(F.col("fp").alias(c), F.col("leader").alias(f"m{c}")) for c in "ab")
-    met = near.join(a, "a").join(b, "b").select(F.col("ma").alias("a"), F.col("mb").alias("b"))
-    shared = skew_join(each, leaders.filter("n > 1"), "fp", "n", each.count(), F.col("node")).filter("node <> leader")
-    both = met.unionByName(shared.select(F.col("leader").alias("a"), F.col("node").alias("b"))).filter("a <> b")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    each = each.select("node", cut.alias("fp"))
+    values = materialize(each.groupBy("fp").agg(F.count("*").alias("n")), "values")
+    shared = _met(values.select("fp"), distance, 100_000, 40_000, bits, variant_members)
+    # A value has few variants, so its keys are one row and only its nodes may be many.
+    keys = shared.groupBy(F.col("b").alias("fp")).agg(F.collect_set("a").alias("keys"))
+    own = F.when(F.col("n") > 1, F.array("fp")).otherwise(F.array().cast("array<long>"))
+    none = F.array().cast("array<long>")
+    keyed = values.join(keys, "fp", "left").select("fp", "n", F.array_union(F.coalesce("keys", none), own).alias("keys"))
+    keyed = materialize(keyed.filter(F.size("keys") > 0), "keys")
+    met = skew_join(each, keyed, "fp", "n", each.count(), F.col("node"))
+    return met.select(F.explode("keys").alias("key"), "node").distinct()
 
 
 def _attached(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -302,24 +315,78 @@ def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: f
     return materialize(met.filter(enough).select("a", "b"), "verified")
 
 
-def _similar_links(rows: DataFrame, nodes: DataFrame, similarity: float, distance: int, bits: int, tables: int) -> DataFrame:
-    """Verified links that connect the nodes as all verified candidates would."""
-    met = _attached(materialize(_candidates(nodes, bits, distance), "candidates"), nodes, "fps")
-    differ = F.aggregate(
-        F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda sum_, x: sum_ + x
+def _pairs(met: DataFrame, a: str, b: str) -> DataFrame:
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def _first_pairs(met: DataFrame) -> DataFrame:
+    """At most one pair a node: with the leader (least node) of its keys that it shares most keys with."""
+    leaders = met.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("m")).filter("m > 1")
+    led = skew_join(met, materialize(leaders, "leaders"), "key", "m", met.count(), F.col("node")).filter("node <> leader")
+    votes = led.groupBy("node", "leader").agg(F.count("*").alias("shared"))
+    best = votes.groupBy("node").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
+    return _pairs(best, "node", "leader")
+
+
+def _open_keys(met: DataFrame, told: DataFrame) -> tuple[DataFrame, int]:
+    """Meetings (key, node, root, size) of keys whose nodes are not all joined, with each key's greatest component
+    (main) and number of nodes (m); and the number of pairs of different components in them."""
+    met = materialize(met.join(told, "node"), "told_meetings")
+    each = met.groupBy("key", "root").agg(F.count("*").alias("c"))
+    keys = each.groupBy("key").agg(
+        F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")
     )
+    keys = materialize(keys.filter("roots > 1"), "open_keys")
+    pairs = keys.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()[0]
+    return skew_join(met, keys.select("key", "m", "main"), "key", "m", met.count(), F.col("node")), int(pairs or 0)
+
+
+def _similar_links(
+    rows: DataFrame, nodes: DataFrame, similarity: float, met: DataFrame, tables: int, at_once: int = 8
+) -> DataFrame:
+    """Verified links that connect the nodes as all pairs that meet and have the similarity would.
+
+    First every node is compared with one that it meets, which joins most of a group. Then all pairs that meet
+    and are not joined yet are compared; while these are over ``at_once`` a node and 200,000, a new leader of each key is
+    compared with all of its key instead and leaves the key.
+    """
     # A bit of two sets differs with a chance of their angle over pi; five standard deviations are allowed.
     chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = 64 * tables * chance + 5 * math.sqrt(64 * tables * chance * (1 - chance))
-    pairs = materialize(met.filter(differ <= most).select("a", "b"), "pairs")
-    # First every node with the least it meets, which joins most of a group; then what is not joined yet.
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = _verified(materialize(first, "first_pairs"), rows, nodes, similarity)
-    roots = materialize(components(links), "roots")
-    told = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    rest = _attached(pairs, materialize(told, "told"), "root").filter("root_a <> root_b").select("a", "b")
-    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    return materialize(links.unionByName(_verified(rest, rows, nodes, similarity)), "similar_links")
+    differ = F.aggregate(
+        F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda sum_, x: sum_ + x
+    )
+    number = nodes.count()
+    tried = materialize(_first_pairs(met), "first_pairs")
+    links, fresh, turn = None, tried, 0
+    while True:
+        near = materialize(_attached(fresh, nodes, "fps").filter(differ <= most).select("a", "b"), "pairs")
+        found = _verified(near, rows, nodes, similarity)
+        links = found if links is None else links.unionByName(found)
+        if turn < 0:
+            return materialize(links, "similar_links")
+        roots = materialize(components(links), "roots")
+        sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+        # Nodes that no link joins are their own components.
+        told = nodes.select("node").join(roots.join(sizes, "root"), "node", "left")
+        told = told.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+        opened, pairs = _open_keys(met, materialize(told, "told"))
+        opened = materialize(opened, "opened")
+        if pairs <= at_once * number + 200_000:
+            # Pairs of the greatest component of a key are joined: one node of every other pair is outside it.
+            few = opened.filter("root <> main").select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
+            fresh, turn = opened.join(few, "key").filter("root <> other_root"), -1
+            fresh = _pairs(fresh, "node", "other")
+        else:
+            turn += 1
+            order = F.struct("size", F.xxhash64("node", F.lit(turn)), "node")
+            leaders = opened.groupBy("key").agg(F.max_by("node", order).alias("leader"), F.max_by("root", order).alias("own"), F.first("m").alias("m"))
+            led = skew_join(opened.drop("m"), materialize(leaders, "leaders"), "key", "m", opened.count(), F.col("node"))
+            led = materialize(led.select("key", "node", "root", "leader", "own"), "led")
+            met = led.filter("node <> leader").select("key", "node")
+            fresh = _pairs(led.filter("root <> own"), "node", "leader")
+        fresh = materialize(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
+        tried = tried.unionByName(fresh)
 
 
 def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
@@ -361,7 +428,8 @@ def keep_one_of_group(
     rows = materialize(shingle_sets(docs, shingle, tables), "shingle_sets")
     nodes = rows.groupBy("node").agg(F.min(_name()).alias("least"), F.count("*").alias("n"), F.first("fps").alias("fps"))
     nodes = materialize(nodes, "nodes")
-    links = _similar_links(rows, nodes, similarity, distance, bits, tables)
+    met = materialize(_meetings(nodes, bits, distance), "meetings")
+    links = _similar_links(rows, nodes, similarity, met, tables)
     named = _with_firsts(rows.select("doc_id", "row", "node"), nodes.drop("fps"), links)
     kept = named.filter("row = first.row AND doc_id <=> first.doc_id").select(F.col("row").alias("__row")).distinct()
     named = docs.withColumn("__row", F.xxhash64("doc_id", "text"))

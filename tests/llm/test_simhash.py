@@ -4,9 +4,10 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from codeloom.llm.components import components
-from codeloom.llm.simhash import bit_counts, fingerprint, keep_one_of_group, near_links, simhash_groups
+from codeloom.llm.simhash import _name, _similar_links, bit_counts, fingerprint, keep_one_of_group, majority_bits, near_links, remixed, shingle_hashes, shingle_sets, simhash_groups
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -155,3 +156,54 @@ def test_most_pairs_at_the_threshold_are_found(spark):
     got = [(False, r.doc_id) for r in keep_one_of_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert set(want) <= set(got)  # no text goes that should stay
     assert len(got) - len(want) <= 0.1 * (len(rows) - len(want)) and len(want) < 0.8 * len(rows)
+
+
+def test_all_that_meet_are_compared(spark):
+    """A node in the same key as nearer ones is not lost because the key's leader is a stranger to it."""
+    base = [f"w{k}" for k in range(120)]
+    copy = [*base[:60], "other", *base[61:]]
+    stranger = [f"v{k}" for k in range(120)]
+    rows = [(k, " ".join(t)) for k, t in enumerate((stranger, base, copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = shingle_sets(docs, 5, 20)
+    nodes = sets.groupBy("node").agg(F.min(_name()).alias("least"), F.count("*").alias("n"), F.first("fps").alias("fps")).cache()
+    ids = {r.least.doc_id: r.node for r in nodes.collect()}
+    for leader in range(3):  # all texts meet in one key; whoever leads it, base and copy are linked
+        order = {ids[leader]: -3, ids[(leader + 1) % 3]: -2, ids[(leader + 2) % 3]: -1}
+        named = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+        renamed = nodes.withColumn("node", named[F.col("node")])
+        met = renamed.select(F.lit(7).cast("long").alias("key"), "node")
+        renamed_sets = sets.withColumn("node", named[F.col("node")])
+        links = _similar_links(renamed_sets, renamed, 0.8, met, 20).collect()
+        assert {(r.a, r.b) for r in links} == {tuple(sorted((order[ids[1]], order[ids[2]])))}
+
+
+def test_hub_of_many_near_copies(spark):
+    """2000 copies near one text, most of them too different from each other."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(2000):
+        copy = list(base)
+        for at in rng.sample(range(300), 5):
+            copy[at] = f"c{k}x{at}"
+        texts.append(" ".join(copy))
+    texts.append(" ".join(base))
+    sets = [np.unique(shingle_hashes(t.encode(), 5)) for t in texts]
+    fps = np.array([[majority_bits(remixed(h, table)) for table in range(20)] for h in sets], np.uint64)
+    links = []  # all pairs that meet in 30 bits of a table and have the similarity
+    for j in range(1, len(sets)):
+        near = (np.bitwise_count((fps[:j] ^ fps[j]) >> np.uint64(34)) <= 2).any(axis=1)
+        for i in np.flatnonzero(near):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                links.append((int(i), j))
+    least = list(range(len(sets)))
+    for _ in range(len(sets)):
+        was = list(least)
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+        if was == least:
+            break
+    kept = keep_one_of_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
