@@ -32,6 +32,7 @@ from codeloom.llm.components import components
 PREFIX = 12  # bits of either level of prefixes
 SEED = 42
 CHUNK = 1 << 16  # shingles counted at a time
+SMALL = 64  # shingles up to which a set's near ones are found by shared shingles: the bits of so few do not follow the angle
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -290,7 +291,30 @@ def _meetings(nodes: DataFrame, bits: int, distance: int) -> DataFrame:
     keyed = values.join(keys, "fp", "left").select("fp", "n", F.array_union(F.coalesce("keys", none), own).alias("keys"))
     keyed = materialize(keyed.filter(F.size("keys") > 0), "keys")
     met = skew_join(each, keyed, "fp", "n", each.count(), F.col("node"))
-    return met.select(F.explode("keys").alias("key"), "node").distinct()
+    return met.select(F.explode("keys").alias("key"), "node")
+
+
+def _small(size: Column, similarity: float) -> Column:
+    """Sets of at most SMALL shingles, and all that can have the similarity to one of those."""
+    return size <= math.floor(SMALL / similarity + 1e-9)
+
+
+def _shingle_meetings(rows: DataFrame, similarity: float) -> DataFrame:
+    """key and node: small sets meet by a shingle; each two of the similarity do.
+
+    With shingles in one order for all, two sets of n and more shingles that share similarity * n of them also
+    share one of the first n - similarity * n + 1. Rare shingles come first, so that strangers seldom meet.
+    """
+    small = rows.filter((F.size("set") > 0) & _small(F.size("set"), similarity)).groupBy("node").agg(F.first("set").alias("set"))
+    small = materialize(small, "small_sets")
+    each = small.select("node", F.explode("set").alias("shingle"))
+    found = materialize(each.groupBy("shingle").agg(F.count("*").alias("sets")), "shingles")
+    ranked = skew_join(each, found, "shingle", "sets", each.count(), F.col("node"))
+    ordered = ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("set"))
+    size = F.size("set")
+    first = size - F.ceil(size * F.lit(similarity) - 1e-9).cast("int") + 1
+    prefix = ordered.select("node", F.explode(F.slice("set", F.lit(1), first)).alias("s")).filter("s.sets > 1")
+    return prefix.select(F.xxhash64(F.lit("shingle"), "s.shingle").alias("key"), "node")
 
 
 def _attached(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -350,17 +374,20 @@ def _similar_links(
     and are not joined yet are compared; while these are over ``at_once`` a node and 200,000, a new leader of each key is
     compared with all of its key instead and leaves the key.
     """
-    # A bit of two sets differs with a chance of their angle over pi; five standard deviations are allowed.
+    # A bit of two large sets differs with a chance of their angle over pi; five standard deviations are allowed.
+    # The bits of small ones may differ more, so these are all verified.
     chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = 64 * tables * chance + 5 * math.sqrt(64 * tables * chance * (1 - chance))
     differ = F.aggregate(
-        F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda sum_, x: sum_ + x
+        F.zip_with("sketch_a.fps", "sketch_b.fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda sum_, x: sum_ + x
     )
+    small = _small(F.col("sketch_a.size"), similarity) & _small(F.col("sketch_b.size"), similarity)
+    sketches = nodes.select("node", F.struct("fps", "size").alias("sketch"))
     number = nodes.count()
     tried = materialize(_first_pairs(met), "first_pairs")
     links, fresh, turn = None, tried, 0
     while True:
-        near = materialize(_attached(fresh, nodes, "fps").filter(differ <= most).select("a", "b"), "pairs")
+        near = materialize(_attached(fresh, sketches, "sketch").filter(small | (differ <= most)).select("a", "b"), "pairs")
         found = _verified(near, rows, nodes, similarity)
         links = found if links is None else links.unionByName(found)
         if turn < 0:
@@ -416,7 +443,8 @@ def keep_one_of_group(
 
     Texts are linked whose sets of word shingles have at least this Jaccard similarity; links reach on
     from text to text. Linked texts are found where ``bits`` of their fingerprints differ in at most
-    ``distance`` in any of ``tables`` tables: by chance 96 of 100 pairs at a similarity of 0.8, 99.6 at 0.85.
+    ``distance`` in any of ``tables`` tables: by chance 96 of 100 pairs at a similarity of 0.8, 99.6 at 0.85. Sets of
+    up to SMALL shingles and those near them are found by shared shingles as well, without exception.
     Strangers meet by chance as well, in number with the square of the distinct texts: 30 bits suit some ten
     million of them; larger corpora take more bits and more tables.
 
@@ -426,11 +454,12 @@ def keep_one_of_group(
     - An empty table gives no rows; other columns are kept, whatever their names.
     """
     rows = materialize(shingle_sets(docs, shingle, tables), "shingle_sets")
-    nodes = rows.groupBy("node").agg(F.min(_name()).alias("least"), F.count("*").alias("n"), F.first("fps").alias("fps"))
+    nodes = rows.groupBy("node").agg(F.min(_name()).alias("least"), F.count("*").alias("n"), F.first("fps").alias("fps"), F.first(F.size("set")).alias("size"))
     nodes = materialize(nodes, "nodes")
-    met = materialize(_meetings(nodes, bits, distance), "meetings")
+    met = _meetings(nodes, bits, distance).unionByName(_shingle_meetings(rows, similarity)).distinct()
+    met = materialize(met, "meetings")
     links = _similar_links(rows, nodes, similarity, met, tables)
-    named = _with_firsts(rows.select("doc_id", "row", "node"), nodes.drop("fps"), links)
+    named = _with_firsts(rows.select("doc_id", "row", "node"), nodes.drop("fps", "size"), links)
     kept = named.filter("row = first.row AND doc_id <=> first.doc_id").select(F.col("row").alias("__row")).distinct()
     named = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     return named.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

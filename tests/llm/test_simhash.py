@@ -166,7 +166,7 @@ def test_all_that_meet_are_compared(spark):
     rows = [(k, " ".join(t)) for k, t in enumerate((stranger, base, copy))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets = shingle_sets(docs, 5, 20)
-    nodes = sets.groupBy("node").agg(F.min(_name()).alias("least"), F.count("*").alias("n"), F.first("fps").alias("fps")).cache()
+    nodes = sets.groupBy("node").agg(F.min(_name()).alias("least"), F.count("*").alias("n"), F.first("fps").alias("fps"), F.first(F.size("set")).alias("size")).cache()
     ids = {r.least.doc_id: r.node for r in nodes.collect()}
     for leader in range(3):  # all texts meet in one key; whoever leads it, base and copy are linked
         order = {ids[leader]: -3, ids[(leader + 1) % 3]: -2, ids[(leader + 2) % 3]: -1}
@@ -207,3 +207,15 @@ def test_hub_of_many_near_copies(spark):
             break
     kept = keep_one_of_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
+
+
+def test_pairs_of_short_texts_are_all_found(spark):
+    rng = random.Random(9)
+    texts = []
+    for words, less in [(9, 1)] * 150 + [(19, 3)] * 50 + [(68, 12)] * 20 + [(84, 16)] * 20:  # similarities of 0.8 and a little above
+        text = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        texts += [" ".join(text), " ".join(text[:-less])]
+    rows = list(enumerate(texts))
+    want = slow_kept(rows, 0.8)
+    got = [(False, r.doc_id) for r in keep_one_of_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == want and len(want) == len(rows) // 2
