@@ -220,7 +220,7 @@ def main_text(root: Node, importance: dict[int, float], least: float) -> str:
     """Blocks of the page that are left, one a line, after cutting unimportant branches.
 
     An element without fixed importance goes when it and everything below it are worth less than
-    ``least``. Where the page has main elements (article, main), only what is in them is left.
+    ``least``, inside main elements (article, main) too. Where the page has main elements, only what is in them is left.
     """
     has_main = False
     todo = [root]
@@ -262,8 +262,7 @@ def main_text(root: Node, importance: dict[int, float], least: float) -> str:
             if item.tag == "br":
                 line.append(" ")
                 continue
-            protected = inside and has_main or item.fixed == 1.0
-            if item.fixed == 0.0 or not protected and item is not root and value[id(item)] < least:
+            if item.fixed == 0.0 or item is not root and value[id(item)] < least:
                 if item.tag in BLOCK:
                     end_block()
                 continue

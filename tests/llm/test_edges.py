@@ -140,6 +140,17 @@ def test_trees_cut_what_pages_share(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_trees_cut_what_articles_share(spark):
+    """Boilerplate without a telling class goes inside article and main as well; what differs stays."""
+    pages = []
+    for k in range(30):
+        tag = ("article", "main")[k // 15]
+        inner = f"<h1>Title {k}</h1><div><span>Read this on our site</span></div><p>Story {k} tells {k * k}.</p><section><p>Part {k}</p><b>Pass it on</b></section>"
+        pages.append((k, f"http://{tag}.example/p/{k}", f"<html><body><{tag}>{inner}</{tag}></body></html>"))
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {k}\nStory {k} tells {k * k}.\nPart {k}" for k in range(30))
+
+
 def test_joined_hosts_give_the_same(spark, monkeypatch):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     want = {(r.page_id, r.text) for r in extract_pages(pages).collect()}
