@@ -354,6 +354,15 @@ def similar_occurrences(spark, d):
     return found.select("a", "b", F.regexp_replace("location", r":\?$", "").alias("name"))
 
 
+@query(f"""SELECT a, b, 'x' || CAST(p_partkey AS VARCHAR) AS name FROM ({_SIMILAR}) s JOIN part p ON p.p_name IN (s.a, s.b)""")
+def similar_occurrences_all(spark, d):
+    part = Graph(spark, d).table("part")
+    pairs = duplicates.similar_names(part.select(F.col("p_name").alias("name")))
+    rows = part.select(F.col("p_name").alias("name"), F.concat(F.lit("x"), "p_partkey").alias("file"), F.lit(0).alias("line"))
+    found = duplicates.similar_occurrences(rows, pairs, ignore_common=False)
+    return found.select("a", "b", F.regexp_replace("location", r":\?$", "").alias("name"))
+
+
 @query(
     """SELECT count(*) AS total, count(*) FILTER (WHERE type = 'method') AS methods, count(*) FILTER (WHERE type <> 'method') AS regular,
               count(*) FILTER (WHERE is_async) AS async_functions, count(*) FILTER (WHERE is_static) AS static_methods,

@@ -32,3 +32,10 @@ def test_query(spark, duck, name):
     rel = duck.sql(catalogue.ORACLES[name])
     assert sorted(found.columns) == sorted(rel.columns)
     assert canonical(found.columns, [tuple(r) for r in found.collect()]) == canonical(rel.columns, rel.fetchall())
+
+
+def test_similar_occurrences_of_all_rows(spark, duck):
+    """Every row of a name with a similar one is told, whatever its key."""
+    found = {r.name for r in catalogue.QUERIES["similar_occurrences_all"](spark, SF).select("name").distinct().collect()}
+    told = duck.sql(f"SELECT DISTINCT 'x' || p_partkey FROM part WHERE p_name IN (SELECT unnest([a, b]) FROM ({catalogue._SIMILAR}))").fetchall()
+    assert found == {name for (name,) in told}
