@@ -211,6 +211,77 @@ def json_nodes(spark, d):
     return kept.select(F.to_json(F.struct(F.col("path").alias("id"), "size", "dependent_count")).alias("json"))
 
 
+# The same of all nodes and triples
+
+
+@query("""SELECT '{"id":"' || path || '","size":' || size || ',"dependent_count":' || dependent_count || '}' AS json FROM metrics""", "metrics")
+def json_nodes_all(spark, d):
+    return Graph(spark, d).metrics.select(F.to_json(F.struct(F.col("path").alias("id"), "size", "dependent_count")).alias("json"))
+
+
+def _triples_sql() -> str:
+    """All distinct triples, as ``graph.quads`` makes them."""
+    N = graph.NAMESPACES
+    node = lambda x: f"CASE WHEN {x} LIKE '%:%' THEN {x} ELSE 'urn:code:' || {x} END"
+
+    def iri(table, s, p, o, where="true"):
+        return f"SELECT {s} AS s, '{p}' AS p, {o} AS o, 'iri' AS kind, '' AS dt FROM {table} WHERE {where}"
+
+    def literal(table, s, p, column, dt, where):
+        return f"SELECT {s}, '{p}', CAST({column} AS VARCHAR), 'literal', '{dt}' FROM {table} WHERE {where}"
+
+    type_, label, line = N["rdf"] + "type", N["rdfs"] + "label", N["code"] + "line"
+    g = lambda x: N["graph"] + x
+    class_ = lambda x: f"'{g(x)}'"
+    path, src, dst = node("path"), node("src"), node("dst")
+    edge, export, fid = node("(src || '-imports-' || dst)"), node("(src || '#export:' || name)"), node("(file || '#' || name)")
+    texts = ((label, "name"), (g("functionType"), "type"), (g("file"), "file"), (g("kind"), "kind"), (g("className"), "class_name"), (g("methodName"), "method_name"))
+    flags = (("params", "params", "integer"), ("async", "is_async", "boolean"), ("generator", "is_generator", "boolean"), ("static", "is_static", "boolean"))
+    parts = [
+        iri("nodes", path, type_, class_("File")),
+        literal("files", path, N["code"] + "size", "size", "integer", "size <> 0"),
+        literal("files", path, N["code"] + "loc", "loc", "integer", "loc <> 0"),
+        literal("files", path, g("parseError"), "parse_error", "boolean", "parse_error IS NOT NULL"),
+        literal("missing", path, g("isMissing"), "true", "boolean", "true"),
+        iri("externals", node("id"), type_, class_("Module")),
+        literal("externals", node("id"), g("isExternal"), "true", "boolean", "true"),
+        iri("edges", src, g("imports"), dst),
+        iri("edges", edge, type_, class_("Import")),
+        iri("edges", edge, g("from"), src),
+        iri("edges", edge, g("to"), dst),
+        literal("imports", edge, line, "line", "integer", "line <> 0"),
+        literal("imports", edge, g("importType"), "type", "string", "type <> ''"),
+        iri("exports", src, g("exports"), export),
+        literal("exports", export, label, "name", "string", "name <> ''"),
+        literal("exports", export, g("exportType"), "export_type", "string", "export_type <> ''"),
+        literal("exports", export, line, "line", "integer", "line <> 0"),
+        iri("functions", fid, type_, class_("Function")),
+        *[literal("functions", fid, p, column, "string", f"{column} <> ''") for p, column in texts],
+        literal("functions", fid, line, "line", "integer", "line <> 0"),
+        *[literal("functions", fid, g(p), column, dt, f"{column} IS NOT NULL") for p, column, dt in flags],
+        literal("entries", node("id"), g("isEntryPoint"), "true", "boolean", "true"),
+    ]
+    return f"(SELECT DISTINCT * FROM ({' UNION ALL '.join(parts)}))"
+
+
+_TRIPLES = _triples_sql()
+_RELATIONS = ("nodes", "files", "missing", "externals", "edges", "imports", "exports", "functions", "entries")
+
+
+@query(f"SELECT s AS node, regexp_extract(p, '[^#/]*$') AS property, max(o) AS value FROM {_TRIPLES} GROUP BY ALL", *_RELATIONS)
+def metadata_all(spark, d):
+    return graph.metadata(Graph(spark, d).triples)
+
+
+@query(
+    f"""SELECT '<' || s || '> <' || p || '> ' || CASE WHEN kind = 'iri' THEN '<' || o || '>' WHEN dt = 'string' THEN '"' || o || '"'
+               ELSE '"' || o || '"^^<http://www.w3.org/2001/XMLSchema#' || dt || '>' END || ' .' AS value FROM {_TRIPLES}""",
+    *_RELATIONS,
+)
+def ntriples_all(spark, d):
+    return graph.ntriples(Graph(spark, d).triples)
+
+
 # Entry points, reachability, dead code
 
 

@@ -39,3 +39,11 @@ def test_similar_occurrences_of_all_rows(spark, duck):
     found = {r.name for r in catalogue.QUERIES["similar_occurrences_all"](spark, SF).select("name").distinct().collect()}
     told = duck.sql(f"SELECT DISTINCT 'x' || p_partkey FROM part WHERE p_name IN (SELECT unnest([a, b]) FROM ({catalogue._SIMILAR}))").fetchall()
     assert found == {name for (name,) in told}
+
+
+def test_exports_of_all_nodes_and_triples(spark):
+    """As many rows as nodes and triples, none left out by prefix or predicate."""
+    g = catalogue.Graph(spark, SF)
+    assert catalogue.QUERIES["json_nodes_all"](spark, SF).count() == g.nodes.count()
+    assert catalogue.QUERIES["ntriples_all"](spark, SF).count() == g.triples.count()
+    assert catalogue.QUERIES["metadata_all"](spark, SF).select("node").distinct().count() == g.triples.select("s").distinct().count()
