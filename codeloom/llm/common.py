@@ -2,52 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from codeloom.tables import Scratch, discard, shared_path
+from codeloom.tables import written as materialize
+
+__all__ = ["Scratch", "discard", "hash_filter", "materialize", "passes", "running_total", "shared_path", "skew_join", "with_filter"]
+
 #: A key is hot when it holds more than one in HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 #: Below this many rows a key is never salted.
 HOT_FLOOR = 2000
 
-_own_root: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not _own_root:
-        _own_root.append("file://" + tempfile.mkdtemp(prefix="codeloom-"))
-    return _own_root[0]
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/codeloom/{uuid.uuid4().hex}/{name}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, lost executors cost nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of materialized tables that no plan reads any more."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
 
 def skew_join(
     rows: DataFrame,
