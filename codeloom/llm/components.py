@@ -17,25 +17,25 @@ def _both(links: DataFrame) -> DataFrame:
     return links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 60, write=materialize) -> DataFrame:
     """node and root (the least node of its component) for every node in links (columns a, b: longs).
 
     Each round links every node's greater neighbours, then every node's neighbours that are not
     greater, to the least of them. It ends when all links lead to roots; a path halves each round.
     """
     now = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = materialize(now, "links")
+    now = write(now, "links")
     for _ in range(max_rounds):
         total = now.count()
         # Large star: at every node, link greater neighbours to the least neighbour.
         joined = skew_join(_both(now), _least(_both(now)), "u", "n", 2 * total, F.xxhash64("v"))
         large = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large_star")
+        large = write(large, "large_star")
         # Small star: at every node, link itself and its lesser neighbours to the least of them.
         joined = skew_join(large, _least(large), "u", "n", total, F.xxhash64("v"))
         lesser = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = joined.select("u", F.col("m").alias("v"))
-        small = materialize(lesser.unionByName(own).distinct(), "small_star")
+        small = write(lesser.unionByName(own).distinct(), "small_star")
         moved = small.join(now, ["u", "v"], "left_anti").limit(1).count() or small.count() != total
         discard(now, large)
         now = small

@@ -6,17 +6,10 @@ are shuffled in factored form: a row stands for all variants of one fingerprint
 PREFIX bits, with the number of flips left for the other bits. Rows meet by prefix, and
 the receiving task writes out the variants, sorts them and links the fingerprints that meet to
 the least of them. Prefixes with many rows are dealt again by the next bits.
-
-One fingerprint of 64 bits misses most pairs of a shingle similarity near 0.8. Groups by similarity
-(``keep_one_of_group``) therefore meet by several shorter fingerprints of independent hashes, and what
-meets is a candidate only: pairs whose fingerprints differ too much as a whole go, and the others are
-verified by the exact Jaccard similarity of their shingle sets. There a leader does not stand for the rest: all
-that meet are compared with each other unless verified links join them already.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,19 +25,18 @@ from codeloom.llm.components import components
 PREFIX = 12  # bits of either level of prefixes
 SEED = 42
 CHUNK = 1 << 16  # shingles counted at a time
-SMALL = 64  # shingles up to which a set's near ones are found by shared shingles: the bits of so few do not follow the angle
 LANES = np.uint64(0x0101010101010101)
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """For each of the 64 bits, in how many hashes it is set; eight byte-wide counters to a word."""
-    out = np.zeros(64, np.int64)
-    for first in range(0, len(hashes), CHUNK):
-        part = hashes[first : first + CHUNK]
-        groups = np.arange(0, len(part), 255)  # a counter holds 255 at most
+    """For each row of hashes and each of the 64 bits, in how many hashes it is set; eight byte-wide counters to a word."""
+    out = np.zeros((len(hashes), 64), np.int64)
+    for first in range(0, hashes.shape[1], CHUNK):
+        part = hashes[:, first : first + CHUNK]
+        groups = np.arange(0, part.shape[1], 255)  # a counter holds 255 at most
         for shift in range(8):
-            packed = np.add.reduceat((part >> np.uint64(shift)) & LANES, groups)
-            out[shift::8] += packed.view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+            packed = np.add.reduceat((part >> np.uint64(shift)) & LANES, groups, axis=1)
+            out[:, shift::8] += packed.view(np.uint8).reshape(len(hashes), -1, 8).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -64,24 +56,24 @@ def shingle_hashes(text: bytes | None, shingle: int = 4, seed: int = SEED) -> np
     return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, count)
 
 
-def remixed(hashes: np.ndarray, table: int) -> np.ndarray:
-    """Other hashes of the same shingles, for a further table; table 0 has them as they are."""
-    if not table:
-        return hashes
-    x = hashes + np.uint64(table * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+def remixed(hashes: np.ndarray, rows: int) -> np.ndarray:
+    """Independent hashes of the same shingles, so many rows; the first has them as they are."""
+    steps = np.array([row * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for row in range(1, rows)], np.uint64)
+    x = hashes + steps[:, None]
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return np.concatenate([hashes[None, :], x ^ (x >> np.uint64(31))])
 
 
-def majority_bits(hashes: np.ndarray) -> int:
-    """The fingerprint: a bit is 1 that is set in over half of the hashes."""
-    return sum(1 << int(b) for b in np.flatnonzero(2 * bit_counts(hashes) > len(hashes)))
+def majority_bits(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of each row of hashes: a bit is 1 that is set in over half of them."""
+    most = 2 * bit_counts(hashes) > hashes.shape[1]
+    return np.packbits(most, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = SEED) -> int:
     """SimHash of the word shingles of a UTF-8 text, as an unsigned 64-bit integer."""
-    return majority_bits(shingle_hashes(text, shingle, seed))
+    return int(majority_bits(shingle_hashes(text, shingle, seed)[None, :])[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -92,39 +84,15 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fps = np.fromiter((fingerprint(t, shingle) for t in batch["text"].to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(fps.view(np.int64))], ["doc_id", "row", "fp"])
 
-    return _named_texts(docs).mapInArrow(run, "doc_id long, row long, fp long")
+    return named_texts(docs).mapInArrow(run, "doc_id long, row long, fp long")
 
 
-def _named_texts(docs: DataFrame) -> DataFrame:
+def named_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, row (hash of doc_id and text) and text as bytes."""
     text = F.col("text").cast("binary").alias("text")
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), text)
 
 
-def shingle_sets(docs: DataFrame, shingle: int, tables: int) -> DataFrame:
-    """doc_id, row, node (hash of the set of shingles), fps (fingerprints of the set, a table each), set (32 bits of each hash)."""
-
-    def run(batches):
-        for batch in batches:
-            fps = np.zeros((batch.num_rows, tables), np.uint64)
-            nodes, sets = np.zeros(batch.num_rows, np.uint64), []
-            for k, text in enumerate(batch["text"].to_pylist()):
-                hashes = np.unique(shingle_hashes(text, shingle))
-                nodes[k] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
-                fps[k] = [majority_bits(remixed(hashes, table)) for table in range(tables)]
-                sets.append(np.unique(hashes.astype(np.uint32)).view(np.int32))
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            columns = [
-                batch["doc_id"],
-                batch["row"],
-                pa.array(nodes.view(np.int64)),
-                pa.ListArray.from_arrays(np.arange(0, fps.size + 1, tables, dtype=np.int32), pa.array(fps.view(np.int64).ravel())),
-                pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *sets]))),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "node", "fps", "set"])
-
-    return _named_texts(docs).mapInArrow(run, "doc_id long, row long, node long, fps array<long>, set array<int>")
-
-
 def flip_masks(positions: range, most: int) -> list[int]:
     """All values with at most ``most`` bits set among the positions, as signed 64-bit integers."""
     masks = [sum(1 << p for p in chosen) for k in range(most + 1) for chosen in combinations(positions, k)]
@@ -214,16 +182,19 @@ def _links_of(batches: Iterator[pa.RecordBatch], reach: int, rows_at_once: int,
                 a, b = meet(fp[part], base[part], left[part], range(64 - bits, 64 - PREFIX * level), reach)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    rows, wait = 0, rows_at_once
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= rows_at_once:
+        rows += batch.num_rows
+        if rows >= wait:
             table = pa.Table.from_batches(held)
             key = table["key"].to_numpy()
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            if cut:
-                for first, last in _pieces(key[:cut], rows_at_once):
-                    yield from flush(table.slice(first, last - first))
-                held = table.slice(cut).to_batches()
+            for first, last in _pieces(key[:cut], rows_at_once):
+                yield from flush(table.slice(first, last - first))
+            held = table.slice(cut).to_batches()
+            rows -= cut
+            wait = max(rows_at_once, 2 * rows)  # a long key is not looked through at every batch
     if held:
         table = pa.Table.from_batches(held)
         for first, last in _pieces(table["key"].to_numpy(), rows_at_once):
@@ -249,10 +220,11 @@ def near_links(
     of them are within the distance, so components are those of all links. Only the top ``bits`` (24 at
     least) may differ: values with different lower bits never meet.
     """
-    return _met(fps, distance, hot_rows, rows_at_once, bits, meeting_links).distinct()
+    return met_in_balls(fps, distance, hot_rows, rows_at_once, bits, meeting_links).distinct()
 
 
-def _met(fps: DataFrame, distance: int, hot_rows: int, rows_at_once: int, bits: int, meet) -> DataFrame:
+def met_in_balls(fps: DataFrame, distance: int, hot_rows: int, rows_at_once: int, bits: int, meet) -> DataFrame:
+    """What ``meet`` makes of the fingerprints of each variant, as columns a and b."""
     if distance % 2:
         raise ValueError("the ball has half the distance as its radius, so the distance is even")
     rows = _ball_rows(fps, distance // 2, hot_rows, bits)
@@ -261,12 +233,12 @@ def _met(fps: DataFrame, distance: int, hot_rows: int, rows_at_once: int, bits:
     return dealt.mapInArrow(lambda b: _links_of(b, distance, rows_at_once, bits, meet), "a long, b long")
 
 
-def _name() -> Column:
+def row_name() -> Column:
     """A row's name; a group's least name is its first row."""
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
 
 
-def _with_firsts(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+def with_firsts(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """rows with ``first``: the least name that links reach. nodes: node, least (name) and n (number) of its rows."""
     roots = components(links)
     linked = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -276,146 +248,6 @@ def _with_firsts(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFra
     return skew_join(rows, named, "node", "n", rows.count(), F.col("row"))
 
 
-def _meetings(nodes: DataFrame, bits: int, distance: int) -> DataFrame:
-    """key and node: nodes of one key meet by the top ``bits`` of a fingerprint in some table; every meeting is told."""
-    # The table's number takes the place of the lower bits, so that tables never meet and one pass does for all.
-    each = nodes.select("node", F.posexplode("fps").alias("table", "fp"))
-    cut = F.col("fp").bitwiseAND(-1 << (64 - bits)).bitwiseOR(F.col("table").cast("long"))
-    each = each.select("node", cut.alias("fp"))
-    values = materialize(each.groupBy("fp").agg(F.count("*").alias("n")), "values")
-    shared = _met(values.select("fp"), distance, 100_000, 40_000, bits, variant_members)
-    # A value has few variants, so its keys are one row and only its nodes may be many.
-    keys = shared.groupBy(F.col("b").alias("fp")).agg(F.collect_set("a").alias("keys"))
-    own = F.when(F.col("n") > 1, F.array("fp")).otherwise(F.array().cast("array<long>"))
-    none = F.array().cast("array<long>")
-    keyed = values.join(keys, "fp", "left").select("fp", "n", F.array_union(F.coalesce("keys", none), own).alias("keys"))
-    keyed = materialize(keyed.filter(F.size("keys") > 0), "keys")
-    met = skew_join(each, keyed, "fp", "n", each.count(), F.col("node"))
-    return met.select(F.explode("keys").alias("key"), "node")
-
-
-def _small(size: Column, similarity: float) -> Column:
-    """Sets of at most SMALL shingles, and all that can have the similarity to one of those."""
-    return size <= math.floor(SMALL / similarity + 1e-9)
-
-
-def _shingle_meetings(rows: DataFrame, similarity: float) -> DataFrame:
-    """key and node: small sets meet by a shingle; each two of the similarity do.
-
-    With shingles in one order for all, two sets of n and more shingles that share similarity * n of them also
-    share one of the first n - similarity * n + 1. Rare shingles come first, so that strangers seldom meet.
-    """
-    small = rows.filter((F.size("set") > 0) & _small(F.size("set"), similarity)).groupBy("node").agg(F.first("set").alias("set"))
-    small = materialize(small, "small_sets")
-    each = small.select("node", F.explode("set").alias("shingle"))
-    found = materialize(each.groupBy("shingle").agg(F.count("*").alias("sets")), "shingles")
-    ranked = skew_join(each, found, "shingle", "sets", each.count(), F.col("node"))
-    ordered = ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("set"))
-    size = F.size("set")
-    first = size - F.ceil(size * F.lit(similarity) - 1e-9).cast("int") + 1
-    prefix = ordered.select("node", F.explode(F.slice("set", F.lit(1), first)).alias("s")).filter("s.sets > 1")
-    return prefix.select(F.xxhash64(F.lit("shingle"), "s.shingle").alias("key"), "node")
-
-
-def _attached(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    """pairs with the value of both ends, as value_a and value_b; ends of many pairs are salted."""
-    total, met = pairs.count(), pairs
-    for end, other in ("ab", "ba"):
-        counts = pairs.groupBy(end).agg(F.count("*").alias(f"n_{end}"))
-        side = counts.join(table.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}")), end)
-        met = skew_join(met, side, end, f"n_{end}", total, F.xxhash64(other)).drop(f"n_{end}")
-    return met
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have at least this Jaccard similarity."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    # One row stands for a node: that of its least name.
-    chosen = nodes.join(ends, "node").select("node", F.col("least.row").alias("row"))
-    sets = rows.select("row", "node", "set").join(chosen, ["row", "node"]).groupBy("node").agg(F.first("set").alias("set"))
-    met = _attached(pairs, materialize(sets, "sets"), "set")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    enough = both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both) - 1e-9
-    return materialize(met.filter(enough).select("a", "b"), "verified")
-
-
-def _pairs(met: DataFrame, a: str, b: str) -> DataFrame:
-    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-
-def _first_pairs(met: DataFrame) -> DataFrame:
-    """At most one pair a node: with the leader (least node) of its keys that it shares most keys with."""
-    leaders = met.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("m")).filter("m > 1")
-    led = skew_join(met, materialize(leaders, "leaders"), "key", "m", met.count(), F.col("node")).filter("node <> leader")
-    votes = led.groupBy("node", "leader").agg(F.count("*").alias("shared"))
-    best = votes.groupBy("node").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
-    return _pairs(best, "node", "leader")
-
-
-def _open_keys(met: DataFrame, told: DataFrame) -> tuple[DataFrame, int]:
-    """Meetings (key, node, root, size) of keys whose nodes are not all joined, with each key's greatest component
-    (main) and number of nodes (m); and the number of pairs of different components in them."""
-    met = materialize(met.join(told, "node"), "told_meetings")
-    each = met.groupBy("key", "root").agg(F.count("*").alias("c"))
-    keys = each.groupBy("key").agg(
-        F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")
-    )
-    keys = materialize(keys.filter("roots > 1"), "open_keys")
-    pairs = keys.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()[0]
-    return skew_join(met, keys.select("key", "m", "main"), "key", "m", met.count(), F.col("node")), int(pairs or 0)
-
-
-def _similar_links(
-    rows: DataFrame, nodes: DataFrame, similarity: float, met: DataFrame, tables: int, at_once: int = 8
-) -> DataFrame:
-    """Verified links that connect the nodes as all pairs that meet and have the similarity would.
-
-    First every node is compared with one that it meets, which joins most of a group. Then all pairs that meet
-    and are not joined yet are compared; while these are over ``at_once`` a node and 200,000, a new leader of each key is
-    compared with all of its key instead and leaves the key.
-    """
-    # A bit of two large sets differs with a chance of their angle over pi; five standard deviations are allowed.
-    # The bits of small ones may differ more, so these are all verified.
-    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = 64 * tables * chance + 5 * math.sqrt(64 * tables * chance * (1 - chance))
-    differ = F.aggregate(
-        F.zip_with("sketch_a.fps", "sketch_b.fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda sum_, x: sum_ + x
-    )
-    small = _small(F.col("sketch_a.size"), similarity) & _small(F.col("sketch_b.size"), similarity)
-    sketches = nodes.select("node", F.struct("fps", "size").alias("sketch"))
-    number = nodes.count()
-    tried = materialize(_first_pairs(met), "first_pairs")
-    links, fresh, turn = None, tried, 0
-    while True:
-        near = materialize(_attached(fresh, sketches, "sketch").filter(small | (differ <= most)).select("a", "b"), "pairs")
-        found = _verified(near, rows, nodes, similarity)
-        links = found if links is None else links.unionByName(found)
-        if turn < 0:
-            return materialize(links, "similar_links")
-        roots = materialize(components(links), "roots")
-        sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-        # Nodes that no link joins are their own components.
-        told = nodes.select("node").join(roots.join(sizes, "root"), "node", "left")
-        told = told.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
-        opened, pairs = _open_keys(met, materialize(told, "told"))
-        opened = materialize(opened, "opened")
-        if pairs <= at_once * number + 200_000:
-            # Pairs of the greatest component of a key are joined: one node of every other pair is outside it.
-            few = opened.filter("root <> main").select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            fresh, turn = opened.join(few, "key").filter("root <> other_root"), -1
-            fresh = _pairs(fresh, "node", "other")
-        else:
-            turn += 1
-            order = F.struct("size", F.xxhash64("node", F.lit(turn)), "node")
-            leaders = opened.groupBy("key").agg(F.max_by("node", order).alias("leader"), F.max_by("root", order).alias("own"), F.first("m").alias("m"))
-            led = skew_join(opened.drop("m"), materialize(leaders, "leaders"), "key", "m", opened.count(), F.col("node"))
-            led = materialize(led.select("key", "node", "root", "leader", "own"), "led")
-            met = led.filter("node <> leader").select("key", "node")
-            fresh = _pairs(led.filter("root <> own"), "node", "leader")
-        fresh = materialize(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
-        tried = tried.unionByName(fresh)
-
-
 def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -429,37 +261,8 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Data
     - An empty table gives no rows; other columns are ignored, whatever their names.
     """
     rows = materialize(fingerprints(docs, shingle).withColumnRenamed("fp", "node"), "fingerprints")
-    nodes = materialize(rows.groupBy("node").agg(F.min(_name()).alias("least"), F.count("*").alias("n")), "nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min(row_name()).alias("least"), F.count("*").alias("n")), "nodes")
     links = materialize(near_links(nodes.select(F.col("node").alias("fp")), distance), "near_links")
-    rows = _with_firsts(rows, nodes, links)
+    rows = with_firsts(rows, nodes, links)
     printed = F.lower(F.lpad(F.hex("node"), 16, "0"))
     return rows.select("doc_id", printed.alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
-
-
-def keep_one_of_group(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = 2, bits: int = 30, tables: int = 20
-) -> DataFrame:
-    """Rows of docs, all columns: of each group of near-duplicates the one of smallest doc_id.
-
-    Texts are linked whose sets of word shingles have at least this Jaccard similarity; links reach on
-    from text to text. Linked texts are found where ``bits`` of their fingerprints differ in at most
-    ``distance`` in any of ``tables`` tables: by chance 96 of 100 pairs at a similarity of 0.8, 99.6 at 0.85. Sets of
-    up to SMALL shingles and those near them are found by shared shingles as well, without exception.
-    Strangers meet by chance as well, in number with the square of the distinct texts: 30 bits suit some ten
-    million of them; larger corpora take more bits and more tables.
-
-    - Null, empty and blank texts have no shingles; they are copies of each other and of nothing else.
-    - Texts of fewer words than a shingle are one shingle of all their words.
-    - A null doc_id comes after all others; rows that repeat doc_id and text stay once.
-    - An empty table gives no rows; other columns are kept, whatever their names.
-    """
-    rows = materialize(shingle_sets(docs, shingle, tables), "shingle_sets")
-    nodes = rows.groupBy("node").agg(F.min(_name()).alias("least"), F.count("*").alias("n"), F.first("fps").alias("fps"), F.first(F.size("set")).alias("size"))
-    nodes = materialize(nodes, "nodes")
-    met = _meetings(nodes, bits, distance).unionByName(_shingle_meetings(rows, similarity)).distinct()
-    met = materialize(met, "meetings")
-    links = _similar_links(rows, nodes, similarity, met, tables)
-    named = _with_firsts(rows.select("doc_id", "row", "node"), nodes.drop("fps", "size"), links)
-    kept = named.filter("row = first.row AND doc_id <=> first.doc_id").select(F.col("row").alias("__row")).distinct()
-    named = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    return named.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

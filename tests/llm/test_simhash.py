@@ -4,10 +4,9 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from codeloom.llm.components import components
-from codeloom.llm.simhash import _name, _similar_links, bit_counts, fingerprint, keep_one_of_group, majority_bits, near_links, remixed, shingle_hashes, shingle_sets, simhash_groups
+from codeloom.llm.simhash import bit_counts, fingerprint, near_links, simhash_groups
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -54,7 +53,7 @@ def test_fingerprint_against_slow_one():
 
 def test_bit_counts_over_chunks():
     h = np.random.default_rng(0).integers(0, 1 << 63, 70_000, dtype=np.uint64)
-    assert bit_counts(h).tolist() == [int((h >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
+    assert bit_counts(np.stack([h, ~h]))[0].tolist() == [int((h >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
 
 
 @pytest.mark.parametrize("hot_rows", [100_000, 3])
@@ -96,126 +95,3 @@ def test_long_path_is_one_component(spark):
     links = [(i, i + 1) for i in range(0, 200)] + [(1000, 1001)] + [(500, 500 + k) for k in range(1, 60)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(roots[i] == 0 for i in range(201)) and roots[1001] == roots[1000] == 1000 and roots[559] == 500
-
-
-def slow_kept(rows, similarity, shingle=5):
-    """Ids of the least row of every group of texts linked by the similarity of their shingle sets, by brute force."""
-    sets = []
-    for _, text in rows:
-        words = SPACE.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-        sets.append({" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set())
-    parent = list(range(len(rows)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            either = len(sets[i] | sets[j])
-            if not either or len(sets[i] & sets[j]) >= similarity * either:
-                parent[find(i)] = find(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        least[find(i)] = min(least.get(find(i), (True, 0)), (d is None, d or 0))
-    return sorted(least.values())
-
-
-def near_texts(rng, changes, words=300, texts=25):
-    """Texts, and copies with so many runs of changed words."""
-    rows = []
-    for _ in range(texts):
-        base = [rng.choice("abcdefgh") + str(rng.randrange(5000)) for _ in range(words)]
-        rows.append(" ".join(base))
-        for n in changes:
-            copy = list(base)
-            for at in rng.sample(range(words), n):
-                copy[at] = f"changed{rng.randrange(10**6)}"
-            rows.append(" ".join(copy))
-    return rows
-
-
-def test_groups_by_similarity_against_brute_force(spark):
-    rng = random.Random(11)
-    texts = near_texts(rng, (1, 4, 8, 20, 40)) + near_texts(rng, [2] * 60, texts=1)  # 60 copies are a dense group
-    odd = [None, "", " \n", "one", "One", "a b c d e", "a b c d e f", "same " * 30, "same " * 50, "long text " * 30000]
-    rows = list(enumerate(texts + odd)) + [(None, "one"), (3, texts[0]), (None, "no id at all, none"), (0, texts[0])]
-    docs = spark.createDataFrame([(i, t, 1, None) for i, t in rows], "doc_id long, text string, root int, node string")
-    kept = keep_one_of_group(docs)
-    assert kept.columns == docs.columns
-    got = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
-    assert got == slow_kept(rows, 0.8)
-    assert keep_one_of_group(docs.limit(0)).count() == 0
-
-
-def test_most_pairs_at_the_threshold_are_found(spark):
-    texts = near_texts(random.Random(5), [6], texts=120)  # similarities a little above 0.8
-    rows = list(enumerate(texts))
-    want = slow_kept(rows, 0.8)
-    got = [(False, r.doc_id) for r in keep_one_of_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert set(want) <= set(got)  # no text goes that should stay
-    assert len(got) - len(want) <= 0.1 * (len(rows) - len(want)) and len(want) < 0.8 * len(rows)
-
-
-def test_all_that_meet_are_compared(spark):
-    """A node in the same key as nearer ones is not lost because the key's leader is a stranger to it."""
-    base = [f"w{k}" for k in range(120)]
-    copy = [*base[:60], "other", *base[61:]]
-    stranger = [f"v{k}" for k in range(120)]
-    rows = [(k, " ".join(t)) for k, t in enumerate((stranger, base, copy))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = shingle_sets(docs, 5, 20)
-    nodes = sets.groupBy("node").agg(F.min(_name()).alias("least"), F.count("*").alias("n"), F.first("fps").alias("fps"), F.first(F.size("set")).alias("size")).cache()
-    ids = {r.least.doc_id: r.node for r in nodes.collect()}
-    for leader in range(3):  # all texts meet in one key; whoever leads it, base and copy are linked
-        order = {ids[leader]: -3, ids[(leader + 1) % 3]: -2, ids[(leader + 2) % 3]: -1}
-        named = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-        renamed = nodes.withColumn("node", named[F.col("node")])
-        met = renamed.select(F.lit(7).cast("long").alias("key"), "node")
-        renamed_sets = sets.withColumn("node", named[F.col("node")])
-        links = _similar_links(renamed_sets, renamed, 0.8, met, 20).collect()
-        assert {(r.a, r.b) for r in links} == {tuple(sorted((order[ids[1]], order[ids[2]])))}
-
-
-def test_hub_of_many_near_copies(spark):
-    """2000 copies near one text, most of them too different from each other."""
-    rng = random.Random(3)
-    base = [f"w{k}" for k in range(300)]
-    texts = []
-    for k in range(2000):
-        copy = list(base)
-        for at in rng.sample(range(300), 5):
-            copy[at] = f"c{k}x{at}"
-        texts.append(" ".join(copy))
-    texts.append(" ".join(base))
-    sets = [np.unique(shingle_hashes(t.encode(), 5)) for t in texts]
-    fps = np.array([[majority_bits(remixed(h, table)) for table in range(20)] for h in sets], np.uint64)
-    links = []  # all pairs that meet in 30 bits of a table and have the similarity
-    for j in range(1, len(sets)):
-        near = (np.bitwise_count((fps[:j] ^ fps[j]) >> np.uint64(34)) <= 2).any(axis=1)
-        for i in np.flatnonzero(near):
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
-                links.append((int(i), j))
-    least = list(range(len(sets)))
-    for _ in range(len(sets)):
-        was = list(least)
-        for i, j in links:
-            least[i] = least[j] = min(least[i], least[j])
-        if was == least:
-            break
-    kept = keep_one_of_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
-
-
-def test_pairs_of_short_texts_are_all_found(spark):
-    rng = random.Random(9)
-    texts = []
-    for words, less in [(9, 1)] * 150 + [(19, 3)] * 50 + [(68, 12)] * 20 + [(84, 16)] * 20:  # similarities of 0.8 and a little above
-        text = [f"w{rng.randrange(10**6)}" for _ in range(words)]
-        texts += [" ".join(text), " ".join(text[:-less])]
-    rows = list(enumerate(texts))
-    want = slow_kept(rows, 0.8)
-    got = [(False, r.doc_id) for r in keep_one_of_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert sorted(got) == want and len(want) == len(rows) // 2
