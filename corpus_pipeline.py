@@ -12,9 +12,9 @@ from codeloom.llm.common import materialize
 from codeloom.llm.decontaminate import clean_documents
 from codeloom.llm.langid import keep_identified
 from codeloom.llm.mixing import label_domains, take_mixed
+from codeloom.llm.near_groups import keep_one_of_group
 from codeloom.llm.queries import MIX_TARGETS
 from codeloom.llm.sharding import kd_shards
-from codeloom.llm.simhash import keep_one_of_group
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHARDS = 40
