@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from codeloom.tables import Scratch, discard, shared_path
 from codeloom.tables import written as materialize
 
-__all__ = ["Scratch", "discard", "hash_filter", "materialize", "passes", "running_total", "shared_path", "skew_join", "with_filter"]
+__all__ = ["Scratch", "discard", "hash_filter", "keep_rows", "materialize", "passes", "running_total", "shared_path", "skew_join", "with_filter"]
 
 #: A key is hot when it holds more than one in HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
@@ -91,3 +91,22 @@ def passes(name: str = "bitmap") -> Column:
     """True where the row's key may be in the filter; never false for one that is."""
     byte = f"cast(conv(hex(substring({name}, __bit div 8 + 1, 1)), 16, 10) as int)"
     return F.coalesce(F.expr(f"({byte} >> (__bit % 8)) & 1 = 1"), F.lit(False))
+
+
+def keep_rows(docs: DataFrame, rows: DataFrame, named: bool) -> DataFrame:
+    """The rows of docs, all columns, whose hash of doc_id and text is among the distinct ``rows`` (column row), or is not.
+
+    A fixed-size filter lets rows that surely are not named pass by without being moved. Rows that repeat are salted.
+    Columns are packed meanwhile, so that no name of theirs can clash.
+    """
+    packed = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.struct("*").alias("doc"))
+    key = F.col("row")
+    packed = with_filter(packed, key, hash_filter(rows, key))
+    near = packed.filter(passes()).select("row", "doc")
+    counts = near.groupBy("row").agg(F.count("*").alias("n"))
+    named_rows = counts.join(rows, "row").withColumn("named", F.lit(True))
+    total = docs.count()
+    joined = skew_join(near, named_rows, "row", "n", total, F.monotonically_increasing_id(), "left")
+    if named:
+        return joined.filter("named").select("doc.*")
+    return packed.filter(~passes()).select("doc.*").unionByName(joined.filter("named IS NULL").select("doc.*"))

@@ -1,27 +1,30 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
 Documents and items are sequences of words (runs of letters and digits, lower case) and of hashed
-word shingles. A window of an item's length is a candidate where its SimHash lies within a radius of
-the item's; blocks of bits, one more than the radius, have at least one block equal in any such pair
-and serve as the index. Candidates are verified by the weighted Jaccard similarity of their
+word shingles. Windows of an item's number of words are fingerprinted and looked up in a multi-index of all items'
+fingerprints: these are cut into blocks of bits, and every item stands under each value of a block that differs from its own in at most
+radius / blocks bits. Two fingerprints within the radius agree with one of these values in some block, so the
+index finds all of them. What it finds is verified by the weighted Jaccard similarity of the
 shingles, each weighted by how often it occurs.
 
-Only windows that can reach the similarity t are fingerprinted: at least t * n of their shingles must
-be among the item's n, so windows with fewer are passed over. That loses nothing; a window
-without any shared shingle has similarity 0.
+Windows that cannot reach the similarity t with any item are not fingerprinted: of an item's n shingles at least t * n must be in
+the window, so a window goes that holds fewer shingles of all items of this number of words together. Which items these may be is
+not told to the index. Windows of equal shingles are one entry, however many documents hold them.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import hash_filter, materialize, passes, with_filter
+from codeloom.llm.common import Scratch, hash_filter, keep_rows, materialize, passes, skew_join, with_filter
 
 BITS = 64
 LANE = 127  # what a counter may reach
-#: Items up to this many rows of shingles are broadcast; beyond, the join is shuffled.
-BROADCAST_SHINGLES = 200_000
+#: Up to so many distinct shingles of items, and rows of their index, are broadcast; beyond, joins are shuffled and hot keys salted.
+BROADCAST_ROWS = 500_000
 
 
 def words(text: str) -> Column:
@@ -63,108 +66,154 @@ def simhash(hashes: str) -> Column:
     return F.get(bound, F.lit(0))
 
 
-def _blocks(fp: str, blocks: int) -> Column:
-    """(block, value) of each of ``blocks`` runs of bits that make up the fingerprint."""
+def _edges(blocks: int) -> list[tuple[int, int]]:
+    """First bit and end of each of ``blocks`` runs of bits that make up a fingerprint."""
     edges = [BITS * k // blocks for k in range(blocks + 1)]
-    each = [
-        F.struct(
-            F.lit(k).alias("block"),
-            F.shiftrightunsigned(F.col(fp), a).bitwiseAND((1 << (b - a)) - 1 if b - a < 64 else -1).alias("value"),
-        )
-        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))
-    ]
-    return F.array(*each)
+    return list(zip(edges, edges[1:], strict=False))
 
 
-def benchmark_items(benchmark: DataFrame, shingle: int = 5) -> DataFrame:
-    """item_id, size (words of a shingle), n_words, hashes and fp of each distinct item text with words."""
-    kept = benchmark.select("item_id", words("text").alias("word")).filter(F.size("word") > 0)
-    size = F.least(F.size("word"), F.lit(shingle))
+def _block(fp: Column, first: int, end: int) -> Column:
+    return F.shiftrightunsigned(fp, first).bitwiseAND((1 << (end - first)) - 1 if end - first < BITS else -1)
+
+
+def _flips(width: int, most: int) -> Column:
+    """All values of ``width`` bits with at most ``most`` of them set."""
+    return F.array(*[F.lit(sum(1 << p for p in chosen)).cast("long") for k in range(most + 1) for chosen in combinations(range(width), k)])
+
+
+def block_index(items: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """item, fp, n_words and key (number of words, block, value) of every value of a block within radius // blocks bits of the item's."""
+    parts = None
+    for k, (first, end) in enumerate(_edges(blocks)):
+        value = _block(F.col("fp"), first, end).bitwiseXOR(F.col("flip"))
+        rows = items.select("item", "fp", "n_words", F.explode(_flips(end - first, radius // blocks)).alias("flip"))
+        rows = rows.select("item", "fp", F.xxhash64("n_words", F.lit(k), value).alias("key"), F.lit(k).alias("block"))
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts
+
+
+def near_items(windows: DataFrame, items: DataFrame, radius: int, blocks: int, scratch: Scratch) -> DataFrame:
+    """content, item and hamming of all windows (content, n_words, own_fp) and items (item, n_words, fp) of as many words
+    whose fingerprints differ in at most ``radius`` bits."""
+    index = scratch.write(block_index(items, radius, blocks), "index")
+    keys = F.array(*[F.xxhash64("n_words", F.lit(k), _block(F.col("own_fp"), *e)) for k, e in enumerate(_edges(blocks))])
+    rows = windows.select("content", "own_fp", F.explode(keys).alias("key"))
+    differ = F.col("fp").bitwiseXOR(F.col("own_fp"))
+    # A pair meets in every block that is near enough; the first of them counts.
+    meets = [F.when(F.bit_count(_block(differ, *e)) <= radius // blocks, F.lit(k)) for k, e in enumerate(_edges(blocks))]
+    near = (F.bit_count(differ) <= radius) & (F.coalesce(*meets) == F.col("block"))
+    if index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        index = F.broadcast(index)
+    rows, index = rows.alias("w"), index.alias("i")
+    met = rows.join(index, (F.col("w.key") == F.col("i.key")) & near)
+    return met.select("content", "item", F.bit_count(differ).cast("int").alias("hamming"))
+
+
+def _shingled(word: str, n_words: Column, shingle: int) -> Column:
+    """Hashes of the shingles of words: of ``shingle`` of them, or of all where the item has fewer."""
     hashes = F.lit(None).cast("array<long>")
     for k in range(1, shingle + 1):
-        hashes = F.when(F.col("size") == k, shingle_hashes("word", k)).otherwise(hashes)
-    items = kept.withColumn("size", size).withColumn("hashes", hashes)
-    return items.select("item_id", "size", F.size("word").alias("n_words"), "hashes", simhash("hashes").alias("fp"))
+        hashes = F.when(F.least(n_words, F.lit(shingle)) == k, shingle_hashes(word, k)).otherwise(hashes)
+    return hashes
+
+
+def benchmark_items(benchmark: DataFrame, shingle: int = 5) -> DataFrame:
+    """item (hash of id and shingles), item_id, n_words, hashes and fp of each item text with words."""
+    kept = benchmark.select("item_id", words("text").alias("word")).filter(F.size("word") > 0)
+    items = kept.withColumn("n_words", F.size("word"))
+    items = items.withColumn("hashes", _shingled("word", F.col("n_words"), shingle)).select("item_id", "n_words", "hashes", simhash("hashes").alias("fp"))
+    return items.withColumn("item", F.xxhash64("item_id", "n_words", "hashes")).dropDuplicates(["item"])
+
+
+def _promising(keyed: DataFrame, items: DataFrame, similarity: float, shingle: int, scratch: Scratch) -> DataFrame:
+    """doc, doc_id, n_words, start: windows of an item's number of words with enough shingles of items of that number."""
+    size = F.least("n_words", F.lit(shingle))
+    each = items.select("n_words", size.alias("size"), F.explode("hashes").alias("hash"))
+    lookup = scratch.write(each.groupBy("hash", "size").agg(F.collect_set("n_words").alias("lengths")), "item_shingles")
+    sizes = sorted(r[0] for r in lookup.select("size").distinct().collect())  # at most ``shingle`` values
+    small = lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = None
+    for k in sizes:
+        places = keyed.select("doc_id", "doc", F.posexplode(shingle_hashes("word", k)).alias("at", "hash"))
+        own = lookup.filter(F.col("size") == k).select("hash", "lengths")
+        if small:
+            hits = places.join(F.broadcast(own), "hash")
+        else:
+            places = with_filter(places, F.col("hash"), hash_filter(own, F.col("hash"))).filter(passes())
+            places = scratch.write(places.select("doc_id", "doc", "at", "hash"), "places")
+            counted = places.groupBy("hash").agg(F.count("*").alias("places")).join(own, "hash")
+            hits = skew_join(places, scratch.write(counted, "counted"), "hash", "places", places.count(), F.xxhash64("doc", "at"))
+        hits = hits.select("doc_id", "doc", "at", F.explode("lengths").alias("n_words"))
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy("doc", "n_words").agg(F.min("doc_id").alias("doc_id"), F.collect_set("at").alias("hits"))
+    n = F.col("n_words") - size + 1
+    found = found.withColumns({"n": n, "needed": F.ceil(n * F.lit(similarity) - 1e-9).cast("int")})
+    found = found.filter(F.size("hits") >= F.col("needed")).withColumn("hits", F.array_sort("hits"))
+    # Starts of windows of n shingles that hold the needed number of hits: from the place of a hit i + needed - 1
+    # less n - 1 up to that of hit i.
+    runs = F.transform(
+        F.sequence(F.lit(0), F.size("hits") - F.col("needed")),
+        lambda i: F.struct(
+            F.greatest(F.get("hits", i + F.col("needed") - 1) - F.col("n") + 1, F.lit(0)).alias("first"),
+            F.get("hits", i).alias("last"),
+        ),
+    )
+    starts = F.flatten(F.transform(F.filter(runs, lambda r: r["first"] <= r["last"]), lambda r: F.sequence(r["first"], r["last"])))
+    return found.select("doc", "doc_id", "n_words", F.explode(F.array_distinct(starts)).alias("start"))
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 28
+    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 19, blocks: int = 5
 ) -> DataFrame:
     """One row per document and benchmark item with a window of the item in it:
     doc_id, item_id, start_word, n_words, similarity, hamming (of the most similar, first window).
 
+    The index finds every fingerprint within ``radius`` bits. At a similarity of exactly 0.8 some 9.7 bits differ on
+    average, with a standard deviation of 2.9, so a radius of 19 is missed by about one such pair in a thousand.
+
     - Items of fewer than ``shingle`` words are one shingle of all their words.
+    - A document shorter than the item is one window as a whole.
     - Null and wordless texts and items match nothing; a null doc_id or item_id is kept as such.
     - Rows that repeat a doc_id give one row for each item that any of them holds.
     - Empty tables give no rows; other columns are ignored, whatever their names.
     """
-    items = materialize(benchmark_items(benchmark, shingle), "items")
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``shingle`` values
-    item_rows = items.withColumn("item", F.xxhash64("item_id", "hashes"))
-    lookup = item_rows.select("item", "size", F.size("hashes").alias("n"), F.explode(F.array_distinct("hashes")).alias("hash"))
-    small = lookup.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
-    near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), words("text").alias("word"))
-    found = None
-    for size in sizes:
-        places = keyed.select("doc_id", "doc", F.posexplode(shingle_hashes("word", size)).alias("at", "hash"))
-        hits = places.join(near(lookup.filter(F.col("size") == size).drop("size")), "hash")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    scratch = Scratch(docs.sparkSession)
+    items = scratch.write(benchmark_items(benchmark, shingle), "items")
+    if items.isEmpty():
+        scratch.clear()
         none = "doc_id long, item_id long, start_word int, n_words int, similarity double, hamming int"
         return docs.sparkSession.createDataFrame([], none)
-    # Occurrences of an item's shingles, document by document; most documents have none.
-    found = found.groupBy("doc", "item").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.collect_set(F.struct("at", "hash")).alias("hits")
-    )
-    needed = F.ceil(F.col("n") * F.lit(similarity) - 1e-9).cast("int")
-    found = found.withColumn("needed", needed).filter(F.size("hits") >= F.col("needed"))
-    found = found.withColumn("hits", F.array_sort("hits"))
-    # Starts of windows of n shingles that hold the needed number of hits: from the place of a hit i + needed - 1
-    # less n - 1 up to that of hit i.
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size("hits") - F.col("needed")),
-        lambda i: F.struct(
-            F.greatest(F.get("hits", i + F.col("needed") - 1)["at"] - F.col("n") + 1, F.lit(0)).alias("first"),
-            F.get("hits", i)["at"].alias("last"),
-        ),
-    )
-    starts = F.flatten(F.transform(F.filter(runs, lambda r: r["first"] <= r["last"]), lambda r: F.sequence(r["first"], r["last"])))
-    windows = found.withColumn("start", F.explode(F.array_distinct(starts))).select("doc", "doc_id", "item", "n", "start")
-    windows = materialize(windows, "windows")
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), words("text").alias("word"))
+    windows = scratch.write(_promising(keyed, items, similarity, shingle, scratch), "windows")
 
     # The windows' own shingles: documents with windows are read again, others are not needed.
     texts = with_filter(keyed, F.col("doc"), hash_filter(windows, F.col("doc"))).filter(passes())
-    texts = texts.select("doc", "word").dropDuplicates(["doc"])
-    spans = windows.join(item_rows.select("item", "item_id", "size", "n_words", "hashes", "fp"), "item").join(
-        texts.select("doc", "word"), "doc"
-    )
+    spans = windows.join(texts.select("doc", "word").dropDuplicates(["doc"]), "doc")
     # A window is moved back into the document, and is the whole document where that is shorter than the item.
     last = F.greatest(F.size("word") - F.col("n_words"), F.lit(0))
-    part = spans.withColumn("start", F.least("start", last)).withColumn("piece", F.slice("word", F.col("start") + 1, F.col("n_words")))
-    own = F.lit(None).cast("array<long>")
-    for k in sizes:
-        own = F.when(F.col("size") == k, shingle_hashes("piece", k)).otherwise(own)
-    part = materialize(part.drop("word").withColumn("own", own).drop("piece"), "window_shingles")
+    spans = spans.withColumn("start", F.least("start", last)).withColumn("piece", F.slice("word", F.col("start") + 1, F.col("n_words")))
+    spans = spans.select("doc_id", "n_words", "start", _shingled("piece", F.col("n_words"), shingle).alias("own"))
+    spans = scratch.write(spans.withColumn("content", F.xxhash64("n_words", "own")), "spans")
+    contents = spans.groupBy("content").agg(F.first("n_words").alias("n_words"), F.first("own").alias("own"), F.count("*").alias("copies"))
     # Written, or predicates on the fingerprint would be pushed below it and compute it again.
-    part = materialize(part.withColumn("own_fp", simhash("own")), "window_fingerprints")
-
-    # Multi-index: an item's and a window's fingerprints within the radius agree in some block.
-    blocks = radius + 1
-    left = part.select("doc_id", "item", "item_id", "start", "n_words", "own", "hashes", "own_fp", F.explode(_blocks("own_fp", blocks)).alias("b"))
-    right = item_rows.select("item", "fp", F.explode(_blocks("fp", blocks)).alias("b"))
-    met = left.join(near(right), ["item", "b"]).withColumn("differ", F.col("own_fp").bitwiseXOR(F.col("fp")))
-    met = met.withColumn("hamming", F.bit_count("differ")).filter(F.col("hamming") <= radius)
-    # A pair meets in every block in which it agrees; the first of them counts.
-    met = met.withColumn("zeros", _blocks("differ", blocks))
-    met = met.filter(F.col("b.block") == F.filter("zeros", lambda z: z["value"] == 0)[0]["block"])
-    scored = met.withColumn("similarity", weighted_jaccard("own", "hashes")).filter(F.col("similarity") >= similarity)
-    best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words", "hamming")).alias("best")
-    return scored.groupBy("doc_id", "item_id").agg(best).select(
+    contents = scratch.write(scratch.write(contents, "contents").withColumn("own_fp", simhash("own")), "fingerprints")
+
+    met = near_items(contents, items, radius, blocks, scratch)
+    rows = items.select("item", "item_id", "hashes")
+    scored = met.join(contents.select("content", "own", "copies"), "content").join(rows, "item")
+    scored = scored.withColumn("similarity", weighted_jaccard("own", "hashes")).filter(F.col("similarity") >= similarity)
+    told = F.collect_list(F.struct("item_id", "similarity", "hamming")).alias("told")
+    scored = scratch.write(scored.groupBy("content").agg(told, F.first("copies").alias("copies")), "scored")
+    places = skew_join(spans.drop("own"), scored, "content", "copies", spans.count(), F.xxhash64("doc_id", "start"))
+    places = places.select("doc_id", "start", "n_words", F.explode("told").alias("t"))
+    best = F.min(F.struct((-F.col("t.similarity")).alias("s"), "start", "n_words", "t.hamming")).alias("best")
+    out = places.groupBy("doc_id", "t.item_id").agg(best).select(
         "doc_id", "item_id", F.col("best.start").alias("start_word"), F.col("best.n_words").alias("n_words"),
-        (-F.col("best.s")).alias("similarity"), F.col("best.hamming").cast("int").alias("hamming"),
+        (-F.col("best.s")).alias("similarity"), F.col("best.hamming").alias("hamming"),
     )
+    out = materialize(out, "contaminated")
+    scratch.clear()
+    return out
 
 
 def weighted_jaccard(a: str, b: str) -> Column:
@@ -180,8 +229,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns, without those that hold a benchmark item.
 
     Rows are told apart by a hash of doc_id and text, so a null doc_id is judged by its own text,
-    and repeated rows go or stay together.
+    and repeated rows go or stay together. Null and wordless texts stay. Empty tables give no rows, or take none away.
+    Other columns are kept, whatever their names.
     """
     leaks = contaminated(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, **how)
-    leaks = leaks.select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.withColumn("__doc", F.xxhash64("doc_id", "text")).join(leaks, "__doc", "left_anti").drop("__doc")
+    return keep_rows(docs, leaks.select(F.col("doc_id").alias("row")).distinct(), named=False)

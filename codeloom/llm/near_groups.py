@@ -1,18 +1,20 @@
 """Groups of near-duplicates by verified similarity, found by ball hashing.
 
 One SimHash of 64 bits misses most pairs of a shingle similarity near 0.8. Texts therefore meet by several
-shorter fingerprints of independent hashes, each with its ball of variants; sets of few shingles, whose bits do not
-follow the angle, meet by shared shingles too. What meets is a candidate and is told as memberships (key, node),
-never as the pairs of a key. Every node is compared with one that it meets; that joins most of a group. Keys that still
-hold several components are open, and their nodes are compared through a prefix index:
+shorter fingerprints of independent hashes, each with its ball of variants. What meets is a candidate and is told as memberships (key, node),
+never as the pairs of a large key. Every node is compared with one that it meets; that joins most of a group. Of keys with few nodes
+the pairs of different components are compared then. Larger keys that still
+hold several components are open. Their nodes, and all sets of few shingles, whose bits do not follow the angle, are
+compared through a prefix index:
 
-- A shingle that no other open node has is shared with none of them. What a node shares at most is known from the rest,
+- A shingle that no other of these nodes has is shared with none of them. What a node shares at most is known from the rest,
   so a copy of which too much was changed lies in few lists or in none.
 - Lists are kept for each pair of size classes, and a pair is compared only where the shingles from here on suffice.
 - The most central node of each list (fewest shingles of its own) is compared with all of its list and leaves it, again
   and again, until the pairs of different components that are left are few for each node or stay as many; then all of these
   are compared that the bounds let pass.
 
+Before sets are fetched, pairs go whose fingerprints differ in so many bits of all tables as only strangers' do.
 Links are verified by the exact Jaccard similarity of whole sets of 64-bit shingle hashes. A node is such a set, named by
 a 64-bit hash of it: two different sets have the same name with a chance of 2 ** -64.
 """
@@ -32,39 +34,36 @@ from codeloom.llm.components import components
 from codeloom.llm.simhash import SEED, majority_bits, met_in_balls, named_texts, remixed, row_name, shingle_hashes, variant_members
 
 SMALL = 64  # sets of at most so many shingles are found by shared shingles
-RATIO = 1.05  # of the sizes of a size class
+FEW = 8  # nodes of a key whose pairs are told
+RATIO = 1.1  # of the sizes of a size class
 SLACK = 1e-9  # against rounding of bounds on whole numbers
 
 
-def shingle_sketches(docs: DataFrame, shingle: int, tables: int, bits: int, small: int) -> DataFrame:
-    """doc_id, row, node (hash of the set of shingles), size (of the set), values (a fingerprint's ``bits`` on top and the
-    table's number below, for each table) and set (the hashes, of sets up to ``small``; else null)."""
-    slices = 64 // bits  # tables that one hash serves
-    number = np.arange(tables)
-    shifts = (number % slices * bits).astype(np.uint64)
+def shingle_sketches(docs: DataFrame, shingle: int, rows: int, small: int) -> DataFrame:
+    """doc_id, row, node (hash of the set of shingles), size (of the set), sketch (64-bit fingerprints of so many
+    independent hashes) and set (the hashes, of sets up to ``small``; else null)."""
 
     def run(batches):
         for batch in batches:
-            values = np.zeros((batch.num_rows, tables), np.uint64)
+            sketches = np.zeros((batch.num_rows, rows), np.uint64)
             nodes, sizes, sets = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32), []
             for k, text in enumerate(batch["text"].to_pylist()):
                 hashes = np.unique(shingle_hashes(text, shingle))
                 nodes[k], sizes[k] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED), len(hashes)
                 if len(hashes):
-                    values[k] = majority_bits(remixed(hashes, -(-tables // slices)))[number // slices] >> shifts
+                    sketches[k] = majority_bits(remixed(hashes, rows))
                 sets.append(hashes.view(np.int64) if len(hashes) <= small else None)
-            values = values << np.uint64(64 - bits) | number.astype(np.uint64)
             columns = [
                 batch["doc_id"],
                 batch["row"],
                 pa.array(nodes.view(np.int64)),
                 pa.array(sizes),
-                pa.ListArray.from_arrays(np.arange(0, values.size + 1, tables, dtype=np.int32), pa.array(values.view(np.int64).ravel())),
+                pa.ListArray.from_arrays(np.arange(0, sketches.size + 1, rows, dtype=np.int32), pa.array(sketches.view(np.int64).ravel())),
                 pa.array(sets, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "node", "size", "values", "set"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "node", "size", "sketch", "set"])
 
-    schema = "doc_id long, row long, node long, size int, values array<long>, set array<long>"
+    schema = "doc_id long, row long, node long, size int, sketch array<long>, set array<long>"
     return named_texts(docs).mapInArrow(run, schema)
 
 
@@ -84,10 +83,12 @@ def sets_of(docs: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
     return texts.join(chosen, "row").select("node", "text").mapInArrow(run, "node long, set array<long>")
 
 
-def _meetings(nodes: DataFrame, bits: int, distance: int, scratch: Scratch) -> DataFrame:
+def _meetings(nodes: DataFrame, bits: int, tables: int, distance: int, scratch: Scratch) -> DataFrame:
     """key, node and n: nodes of one key meet by the top ``bits`` of a fingerprint in some table; every meeting is told."""
     # The table's number takes the place of the lower bits, so that tables never meet and one pass does for all.
-    each = nodes.select("node", "n", F.explode("values").alias("fp"))
+    of_hash = 64 // bits
+    cut = lambda t: F.shiftleft(F.shiftrightunsigned(F.get("sketch", F.lit(t // of_hash)), t % of_hash * bits), 64 - bits).bitwiseOR(t)
+    each = nodes.select("node", "n", F.explode(F.array(*map(cut, range(tables)))).alias("fp"))
     values = scratch.write(each.groupBy("fp").agg(F.count("*").alias("nodes")), "values")
     shared = met_in_balls(values.select("fp"), distance, 100_000, 40_000, bits, variant_members)
     # A value has few variants, so its keys are one row and only its nodes may be many.
@@ -105,7 +106,7 @@ def _needed(similarity: float, a: Column, b: Column) -> Column:
     return F.ceil((a + b) * F.lit(similarity / (1 + similarity)) - SLACK)
 
 
-def prefix_rows(sets: DataFrame, similarity: float, ratio: float, scratch: Scratch) -> DataFrame:
+def prefix_rows(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """key, node, n, side, cross, size, left, central: lists in which each two of the similarity meet, as told below.
 
     With shingles in one order for all, two sets that share k shingles share one of the first size - k + 1 of either. Rare
@@ -118,10 +119,10 @@ def prefix_rows(sets: DataFrame, similarity: float, ratio: float, scratch: Scrat
     ranked = skew_join(each, found, "shingle", "df", each.count(), F.col("node"))
     shared = ranked.groupBy("node").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
     size, own = F.col("size"), F.size("shared")
-    grade = lambda x: F.floor(F.log(x.cast("double")) / math.log(ratio) + SLACK).cast("int")
+    grade = lambda x: F.floor(F.log(x.cast("double")) / math.log(RATIO) + SLACK).cast("int")
     least, most = F.ceil(size * similarity - SLACK), F.floor(size / similarity + SLACK)
     graded = shared.withColumns({"own": grade(size), "other": F.explode(F.sequence(grade(least), grade(most)))})
-    smallest = F.greatest(F.ceil(F.pow(F.lit(ratio), "other") * (1 - 1e-6)), least)
+    smallest = F.greatest(F.ceil(F.pow(F.lit(RATIO), "other") * (1 - 1e-6)), least)
     first = size - _needed(similarity, size, smallest) + 1 - (size - own)
     placed = graded.filter(first > 0).select("node", "n", "size", "own", "other", (own / size).alias("central"), F.size("shared").alias("shares"), F.posexplode(F.slice("shared", F.lit(1), first.cast("int"))).alias("at", "s"))
     return placed.select(
@@ -165,13 +166,40 @@ def _pairs(met: DataFrame, a: str, b: str) -> DataFrame:
 def _first_pairs(met: DataFrame, scratch: Scratch) -> DataFrame:
     """At most one pair a node: with that leader of its keys (most rows, then least) which it shares most keys with."""
     order = F.struct("n", F.bitwise_not("node"))
-    leaders = met.groupBy("key").agg(F.max_by(F.struct("node", "n"), order).alias("leader"), F.count("*").alias("m")).filter("m > 1")
-    led = skew_join(met.drop("n"), scratch.write(leaders, "leaders"), "key", "m", met.count(), F.col("node")).filter("node <> leader.node")
+    leaders = met.groupBy("key").agg(F.max_by(F.struct("node", "n"), order).alias("leader"), F.first("m").alias("m"))
+    led = skew_join(met.drop("n", "m"), scratch.write(leaders, "leaders"), "key", "m", met.count(), F.col("node")).filter("node <> leader.node")
     votes = led.groupBy("node", "leader").agg(F.count("*").alias("shared"))
     best = votes.groupBy("node").agg(F.max_by("leader.node", F.struct("shared", "leader.n", "leader.node")).alias("leader"))
     return _pairs(best, "node", "leader")
 
 
+def _few_pairs(met: DataFrame, rooted: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs of different components of keys with few nodes, without pairs of two members of the prefix index."""
+    told = rooted.select("node", "root").join(members.select("node", F.lit(True).alias("member")), "node", "left")
+    listed = F.collect_list(F.struct("node", "root", F.col("member").isNotNull().alias("member"))).alias("nodes")
+    keys = met.filter(F.col("m") <= FEW).select("key", "node").join(told, "node").groupBy("key").agg(listed)
+    pairs = keys.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b"))
+    pairs = pairs.filter("a.node < b.node AND a.root <> b.root AND NOT (a.member AND b.member)")
+    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def _sieved(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs without those of strangers, told by the bits of all tables.
+
+    A bit of two large sets differs with a chance of their angle over pi, one of strangers with 1/2. The cut is halfway between
+    the chances at the similarity and at strangers: ten and more standard deviations from either. Small sets may
+    differ in more bits, so pairs of two of them all stay.
+    """
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    differ = F.aggregate(
+        F.zip_with("sketch_a.sketch", "sketch_b.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
+    )
+    few = F.lit(math.floor(SMALL / similarity + SLACK))
+    small = (F.col("sketch_a.size") <= few) & (F.col("sketch_b.size") <= few)
+    told = _attached(pairs, nodes.select("node", F.struct("sketch", "size").alias("sketch")), "sketch")
+    return told.filter(small | (differ <= F.size("sketch_a.sketch") * (64 * (chance + 0.5) / 2))).select("a", "b")
+
+
 def _rooted(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """nodes with the root of the component that links make."""
     roots = components(links, write=scratch.write)
@@ -204,21 +232,31 @@ def similar_links(
     docs: DataFrame, nodes: DataFrame, met: DataFrame, similarity: float, shingle: int, scratch: Scratch, at_once: int = 8
 ) -> DataFrame:
     """Verified links that connect the nodes as all pairs that meet (key, node, n) and have the similarity would."""
-    pairs = scratch.write(_first_pairs(met, scratch), "first_pairs")
-    candidates = met.select("node").distinct()
-    chosen = nodes.join(candidates, "node").select("node", "n", F.col("least.row").alias("row"))
-    chosen = scratch.write(chosen, "chosen")
-    sets = scratch.write(sets_of(docs, chosen.select("node", "row"), shingle), "sets")
-    links = scratch.write(verified(pairs, sets, similarity), "links")
-    tried = pairs
-    rooted = _rooted(chosen.select("node"), links, scratch)
-    whole = met.select("key", "node", F.lit(False).alias("side"), F.lit(False).alias("cross"))
-    opened, left = _open(whole, rooted, scratch)
-    if not left:
-        return links
-    members = scratch.write(opened.select("node").distinct().join(chosen.select("node", "n"), "node"), "members")
+    counts = scratch.write(met.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key_sizes")
+    met = scratch.write(skew_join(met, counts, "key", "m", met.count(), F.col("node")), "met_of_keys")
+    places = nodes.filter("set IS NULL").select("node", F.col("least.row").alias("row"))
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    tried = scratch.write(_first_pairs(met, scratch), "first_pairs")
+    near = scratch.write(_sieved(tried, nodes, similarity), "first_near")
+    chosen = scratch.write(places.join(ends(near), "node"), "chosen")
+    small = nodes.filter("set IS NOT NULL")
+    sets = small.select("node", "set").unionByName(scratch.write(sets_of(docs, chosen, shingle), "sets"))
+    links = scratch.write(verified(near, sets, similarity), "links")
+
+    rooted = _rooted(met.select("node").distinct(), links, scratch)
+    whole = met.filter(F.col("m") > FEW).select("key", "node", F.lit(False).alias("side"), F.lit(False).alias("cross"))
+    opened, _ = _open(whole, rooted, scratch)
+    members = opened.select("node").unionByName(small.filter("size > 0").select("node")).distinct()
+    members = scratch.write(members.join(nodes.select("node", "n"), "node"), "members")
+    fresh = scratch.write(_few_pairs(met, rooted, members).join(tried, ["a", "b"], "left_anti"), "few_pairs")
+    near = scratch.write(_sieved(fresh, nodes, similarity), "few_near")
+    more = ends(near).unionByName(members.select("node")).distinct().join(chosen, "node", "left_anti")
+    sets = sets.unionByName(scratch.write(sets_of(docs, scratch.write(places.join(more, "node"), "more"), shingle), "more_sets"))
+    links = links.unionByName(scratch.write(verified(near, sets, similarity), "few_links"))
+    tried = tried.unionByName(fresh)
     number = members.count()
-    lists = _pruned(prefix_rows(members.join(sets, "node"), similarity, RATIO, scratch), similarity, scratch)
+    lists = _pruned(prefix_rows(members.join(sets, "node"), similarity, scratch), similarity, scratch)
     lists = scratch.write(lists, "lists")
     turn, before = 0, math.inf
     while True:
@@ -258,8 +296,7 @@ def keep_one_of_group(
     Texts are linked whose sets of word shingles have at least this Jaccard similarity; links reach on
     from text to text. Linked texts are found where ``bits`` of their fingerprints differ in at most
     ``distance`` in any of ``tables`` tables: by chance 96 of 100 pairs at a similarity of 0.8, 99.6 at 0.85. Sets of
-    up to SMALL shingles and those near them are found by shared shingles as well, without exception.
-    Strangers meet by chance as well, in number with the square of the distinct texts: 30 bits suit some ten
+    up to SMALL shingles and those near them are found by shared shingles as well, without exception. Strangers meet by chance as well, in number with the square of the distinct texts: 30 bits suit some ten
     million of them; larger corpora take more bits and more tables.
 
     - Null, empty and blank texts have no shingles; they are copies of each other and of nothing else.
@@ -269,12 +306,10 @@ def keep_one_of_group(
     """
     scratch = Scratch(docs.sparkSession)
     small = math.floor(SMALL / similarity + SLACK)
-    rows = scratch.write(shingle_sketches(docs, shingle, tables, bits, small), "sketches")
-    first = [F.first(c).alias(c) for c in ("values", "set")]
+    rows = scratch.write(shingle_sketches(docs, shingle, -(-tables // (64 // bits)), small), "sketches")
+    first = [F.first(c).alias(c) for c in ("sketch", "size", "set")]
     nodes = scratch.write(rows.groupBy("node").agg(F.min(row_name()).alias("least"), F.count("*").alias("n"), *first), "nodes")
-    few = nodes.filter(F.size("set") > 0).select("node", "n", "set")
-    shingled = prefix_rows(few, similarity, 1.25, scratch).select("key", "node", "n")
-    met = scratch.write(_meetings(nodes, bits, distance, scratch).unionByName(shingled).distinct(), "meetings")
+    met = scratch.write(_meetings(nodes, bits, tables, distance, scratch).distinct(), "meetings")
     links = similar_links(docs, nodes, met, similarity, shingle, scratch)
     rooted = nodes.select("node", "least").join(components(links, write=scratch.write), "node", "left")
     firsts = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("first"))

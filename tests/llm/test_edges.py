@@ -120,12 +120,12 @@ three<br>four &lt;x&gt; &copy; &#233;<p>Five<script>var a="</p>";</script> six</
 
 
 def test_main_text():
-    text = main_text(parse(PAGE), {}, 0.35)
+    text = main_text(parse(PAGE), {}, set())
     assert text == "Title & more\nOne two three four <x> © é\nFive six\na\nb"
-    assert main_text(parse(None), {}, 0.35) == main_text(parse(""), {}, 0.35) == ""
-    assert main_text(parse("<article>cut &am"), {}, 0.35) == "cut &am" and main_text(parse("<article><p>a</p><p cla"), {}, 0.35) == "a"
-    assert main_text(parse("a < b <!-- c --> d"), {}, 0.35) == "a < b d" and main_text(parse("<p>" * 3000 + "deep"), {}, 0.35) == "deep"
-    assert main_text(parse("<div>" * 5000 + "deep"), {}, 0.35) == "deep"
+    assert main_text(parse(None), {}, set()) == main_text(parse(""), {}, set()) == ""
+    assert main_text(parse("<article>cut &am"), {}, set()) == "cut &am" and main_text(parse("<article><p>a</p><p cla"), {}, set()) == "a"
+    assert main_text(parse("a < b <!-- c --> d"), {}, set()) == "a < b d" and main_text(parse("<p>" * 3000 + "deep"), {}, set()) == "deep"
+    assert main_text(parse("<div>" * 5000 + "deep"), {}, set()) == "deep"
 
 
 def test_trees_cut_what_pages_share(spark):
@@ -154,7 +154,7 @@ def test_trees_cut_what_articles_share(spark):
 def test_joined_hosts_give_the_same(spark, monkeypatch):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     want = {(r.page_id, r.text) for r in extract_pages(pages).collect()}
-    monkeypatch.setattr(html_tree, "BROADCAST_PATHS", 0)
+    monkeypatch.setattr(html_tree, "BROADCAST_ROWS", 0)
     assert {(r.page_id, r.text) for r in extract_pages(pages).collect()} == want
 
     def plain(page):

@@ -4,6 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from codeloom.llm import near_groups
 from codeloom.llm.common import Scratch
 from codeloom.llm.near_groups import _comparable, keep_one_of_group, prefix_rows, shingle_sketches, similar_links
 from codeloom.llm.simhash import row_name, shingle_hashes
@@ -71,20 +72,21 @@ def test_most_pairs_at_the_threshold_are_found(spark):
     assert len(got) - len(want) <= 0.1 * (len(rows) - len(want)) and len(want) < 0.8 * len(rows)
 
 
-def test_all_that_meet_are_compared(spark):
+def test_all_that_meet_are_compared(spark, monkeypatch):
     """A node in the same key as nearer ones is not lost because the key's leader is a stranger to it."""
     base = [f"w{k}" for k in range(120)]
     copy = [*base[:60], "other", *base[61:]]
     stranger = [f"v{k}" for k in range(120)]
     rows = [(k, " ".join(t)) for k, t in enumerate((stranger, base, copy))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    nodes = shingle_sketches(docs, 5, 20, 30, 80).groupBy("node").agg(F.min(row_name()).alias("least"), F.count("*").alias("n"))
+    nodes = shingle_sketches(docs, 5, 10, 80).groupBy("node").agg(F.min(row_name()).alias("least"), F.count("*").alias("n"), F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.first("set").alias("set"))
     ids = {r.least.doc_id: r.node for r in nodes.collect()}
     for leader in range(3):  # all texts meet in one key; whoever leads it, base and copy are linked
         led = nodes.withColumn("n", F.when(F.col("node") == ids[leader], 9).otherwise(F.col("n")))
         met = led.select(F.lit(7).cast("long").alias("key"), "node", "n")
-        for at_once in (0, 8):
-            links = similar_links(docs, led, met, 0.8, 5, Scratch(spark), at_once).collect()
+        for few in (0, 8) if leader == 0 else (8,):  # through the prefix index, and pair by pair
+            monkeypatch.setattr(near_groups, "FEW", few)
+            links = similar_links(docs, led, met, 0.8, 5, Scratch(spark)).collect()
             assert {frozenset((r.a, r.b)) for r in links} == {frozenset((ids[1], ids[2]))}
 
 
@@ -98,12 +100,10 @@ def test_prefix_lists_hold_all_similar_pairs(spark):
             sets.append(sorted({*part, *rng.sample(range(3000, 9000), rng.randrange(len(base) // 5 + 1))}))
     want = {(i, j) for j in range(len(sets)) for i in range(j) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
     df = spark.createDataFrame([(k, 1, s) for k, s in enumerate(sets)], "node long, n long, set array<long>")
-    for ratio in (1.05, 1.25):
-        rows = prefix_rows(df, 0.8, ratio, Scratch(spark)).cache()
-        rooted = rows.withColumn("root", F.col("node"))
-        a, b = rooted.alias("a"), rooted.alias("b")
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & _comparable(0.8, "a", "b") & (F.col("a.node") < F.col("b.node")))
-        assert want <= {(r.x, r.y) for r in met.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).collect()}
+    rooted = prefix_rows(df, 0.8, Scratch(spark)).withColumn("root", F.col("node")).cache()
+    a, b = rooted.alias("a"), rooted.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & _comparable(0.8, "a", "b") & (F.col("a.node") < F.col("b.node")))
+    assert want <= {(r.x, r.y) for r in met.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).collect()}
     assert len(want) > 50
 
 
