@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -56,6 +57,12 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, folder)
 
 
+def rows_of(df: DataFrame) -> int:
+    """The number of rows, which a table of ``Scratch`` knows without looking."""
+    known = getattr(df, "written_rows", None)
+    return df.count() if known is None else known
+
+
 class Scratch:
     """Written tables of one computation, deleted together at its end."""
 
@@ -63,9 +70,12 @@ class Scratch:
         self.spark, self.folder = spark, shared_path(spark, "scratch")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        """df written and read back; rows are counted on the way, for ``rows_of``."""
+        path, counted = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}", Observation()
+        df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.written_rows = counted.get["rows"]
+        return out
 
     def clear(self) -> None:
         _delete(self.spark, self.folder)
