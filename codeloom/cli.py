@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import argparse
-import json
+import logging
+import logging.handlers
 import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from codeloom.operators.duplicates import similar_names
+from codeloom.plans import replies
 from codeloom.plans.analyze import Analysis
 from codeloom.sources.config import Config
 
@@ -29,10 +29,23 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int, default=20)
     p.add_argument("--include-common", action="store_true")
     p.add_argument("--similar", type=float, help="also list names at least this similar")
+    p.add_argument("--log", help="file that messages are appended to")
     p.add_argument("--dynamic", action="store_true", help="count import() expressions")
     return p
 
 
+def log_to(file: str | None, most_bytes: int = 10_000_000, kept: int = 5) -> None:
+    """Messages go to standard error and, if named, to a file that begins anew at so many bytes; older ones are kept."""
+    log = logging.getLogger("codeloom")
+    log.setLevel(logging.INFO)
+    handlers: list[logging.Handler] = [logging.StreamHandler()]
+    if file:
+        handlers.append(logging.handlers.RotatingFileHandler(file, maxBytes=most_bytes, backupCount=kept, encoding="utf-8"))
+    for h in handlers:
+        h.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log.handlers = handlers
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> tuple[str, bool]:
     """A command's text, and whether it passed."""
     config = Config.load(args.config, folder=args.folder)
@@ -42,34 +55,29 @@ def run(args: argparse.Namespace, spark: SparkSession) -> tuple[str, bool]:
         spark, args.folder, config, args.dynamic, threshold=threshold if duplicates else 2, ignore_common=not args.include_common
     )
     if args.command == "report":
-        return a.report(args.entry), a.passed()["report"]
+        return replies.report(a, args.entry), a.passed()["report"]
     if args.command == "analyze":
         if args.format != "text":
             a.write(args.format, args.output or f"{args.folder}/graph")
             return f"written as {args.format}", True
-        return json.dumps(a.stats, indent=2), True
+        return replies.graph_size(a), True
     if args.command == "dead-code":
-        return a.dead_code_report(), a.passed()["dead_code"]
+        return replies.dead_code(a, "text"), a.passed()["dead_code"]
     if args.command == "health":
-        return json.dumps({k: v for k, v in a.stats.items() if k != "unused_exports"} | a.structure().first().asDict(), indent=2), a.passed()["health"]
+        return replies.health(a), a.passed()["health"]
     if args.command == "isolated":
-        return "\n".join(a.shown(r.path) for r in a.dead.dead_files.orderBy("path").toLocalIterator()), True
+        return replies.isolated(a), True
     if args.command == "hubs":
-        found = a.hubs(threshold, args.limit).collect()
-        return "\n".join(f"{k}. {a.shown(r.path)}: {r.dependent_count} dependents ({r.tier})" for k, r in enumerate(found, 1)), True
+        return replies.hubs(a, threshold, args.limit), True
     if args.command == "functions":
-        row, files = a.function_report()
-        return json.dumps(row.first().asDict() | {"files": [(a.shown(r.file), r["count"]) for r in files.collect()]}, indent=2), True
-    text = a.duplicates_report("json" if args.format == "json" else "text")
-    if args.similar:
-        names = a.functions.select(F.element_at(F.split("name", r"\."), -1).alias("name"))
-        pairs = similar_names(names, args.similar).orderBy(F.desc("similarity"), "a", "b").collect()
-        text += "\n".join(f"{r.a} / {r.b}: {r.similarity * 100:.0f}% similar" for r in pairs)
+        return replies.functions(a, show_files=True), True
+    text = replies.duplicates_json(a) if args.format == "json" else replies.duplicates(a, args.similar)
     return text, a.passed()["duplicates"]
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    log_to(args.log)
     spark = SparkSession.builder.appName("codeloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     text, passed = run(args, spark)
     if args.output and args.format in ("text", "json") and not (args.command == "analyze" and args.format == "json"):

@@ -119,15 +119,14 @@ def looks_like_entry(path: str | Column, more: tuple[str, ...] = ()) -> Column:
     return F.regexp_replace(_c(path), r"^file://", "").rlike("|".join(f"(?:{p})" for p in ENTRY_PATTERNS + tuple(more)))
 
 
-def trimmed(x: Column) -> Column:
-    """Without white space of any script, and byte-order marks, at either end."""
-    return F.regexp_replace(x, r"^[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+|[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+$", "")
+#: White space of any script and byte-order marks, as trimming of lines takes them; without the line feed.
+_BLANK = r"\t\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def lines_of_code(text: str | Column) -> Column:
-    """Lines that are neither blank nor begin like a comment (``//``, ``/*``, ``*``)."""
-    counted = lambda line: (trimmed(line) != "") & ~trimmed(line).rlike(r"^(//|/\*|\*)")
-    return F.coalesce(F.size(F.filter(F.split(_c(text), "\n", -1), counted)), F.lit(0))
+    """Lines that are neither blank nor begin like a comment (``//``, ``/*``, ``*``), by one expression over the text."""
+    line = rf"(?:\A|\n)[{_BLANK}]*(?!//|/\*|\*)[^{_BLANK}\n]"
+    return F.coalesce(F.regexp_count(_c(text), F.lit(line)), F.lit(0))
 
 
 def int_or_zero(x: str | Column) -> Column:
@@ -191,6 +190,20 @@ def location(file: Column, line: Column) -> Column:
     return F.when(has, F.concat(file, F.lit(":"), F.when(line > 0, line.cast("string")).otherwise("?"))).otherwise("unknown")
 
 
+def category_mark(category: str | Column) -> Column:
+    """The mark of a category of duplicates in short lists."""
+    marks = {"cross-class": "\U0001f504", "cross-file": "\U0001f4c1"}
+    out = F.lit("\u26a0\ufe0f")
+    for name, mark in marks.items():
+        out = F.when(_c(category) == name, mark).otherwise(out)
+    return out
+
+
+def fixed_point(x: str | Column, digits: int) -> Column:
+    """A number with so many digits, as text; of the exact binary value, halves away from zero."""
+    return F.round(_c(x).cast("double").cast("decimal(38,18)"), digits).cast(f"decimal(38,{digits})").cast("string")
+
+
 def qualifiers(is_async: Column, is_static: Column) -> Column:
     parts = F.array_compact(F.array(F.when(is_async, F.lit("async")), F.when(is_static, F.lit("static"))))
     return F.when(F.size(parts) > 0, F.concat(F.lit(" ["), F.array_join(parts, ", "), F.lit("]"))).otherwise("")

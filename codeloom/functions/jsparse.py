@@ -307,7 +307,7 @@ class _Reader:
                 kind = "constructor" if key.text == "constructor" and "static" not in flags else "get" if "get" in flags else "set" if "set" in flags else "method"
                 self.out.functions.append(
                     {"type": "method", "name": f"{name}.{key.text}", "class_name": name, "method_name": key.text, "kind": kind,
-                     "is_static": "static" in flags, "is_async": "async" in flags, "is_generator": "*" in flags,
+                     "is_static": "static" in flags, "is_async": "async" in flags,
                      "params": self.params(at + 1), "line": self.tokens[start].line}
                 )
             at = self.member_end(at, end)
@@ -379,25 +379,25 @@ class _Reader:
         if self.text(k - 1) in (".", "?.") or self.text(k + 1) in (":", "(", "=", ".", ",", "}"):
             return
         if self.text(k + 1) == "default":
-            self.out.exports.append({"type": "default", "specifiers": ["default"], "line": line})
+            self.out.exports.append({"type": "default", "line": line})
         elif self.text(k + 1) == "*":
             at = k + 2
             while at < len(self.tokens) and self.text(at) != "from":
                 at += 1
             source = self.string(at + 1)
             if source is not None and self.text(k + 2) == "as":
-                self.out.imports.append({"type": "export-from", "source": source, "specifiers": [self.tokens[k + 3].text], "line": line})
-                self.out.exports.append({"type": "named", "specifiers": [self.tokens[k + 3].text], "source": source, "line": line})
+                self.out.imports.append({"type": "import", "source": source, "specifiers": [self.tokens[k + 3].text], "line": line})
+                self.out.exports.append({"type": "named", "specifiers": [self.tokens[k + 3].text], "line": line})
             elif source is not None:
-                self.out.imports.append({"type": "export-all", "source": source, "specifiers": ["*"], "line": line})
+                self.out.imports.append({"type": "import", "source": source, "specifiers": ["*"], "line": line})
                 self.out.exports.append({"type": "all", "source": source, "line": line})
         elif self.text(k + 1) == "{":
             names = self.names(k + 1, alias_last=True)
             end = self.ends[k + 1]
             source = self.string(end + 2) if self.text(end + 1) == "from" else None
             if source is not None:
-                self.out.imports.append({"type": "export-from", "source": source, "specifiers": names, "line": line})
-            self.out.exports.append({"type": "named", "specifiers": names, "source": source, "line": line})
+                self.out.imports.append({"type": "import", "source": source, "specifiers": names, "line": line})
+            self.out.exports.append({"type": "named", "specifiers": names, "line": line})
         elif self.kind(k + 1) == "word":
             self.out.exports.append({"type": "named", "specifiers": [], "line": line})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -33,19 +34,37 @@ def likely_entries(files: DataFrame, edges: DataFrame, exports: DataFrame, looks
     return flagged.filter(looks | ~F.col("has_exports")).select(F.col("path").alias("id"))
 
 
+def matching_entries(files: DataFrame, patterns: Iterable[str]) -> DataFrame:
+    """Files (id) whose path one of the regular expressions matches as a whole."""
+    patterns = [f"(?:{p})" for p in patterns]
+    hit = F.col("path").rlike(f"^(?:{'|'.join(patterns)})$") if patterns else F.lit(False)
+    return files.filter(hit).select(F.col("path").alias("id"))
+
+
 def entry_points(
-    files: DataFrame, edges: DataFrame, exports: DataFrame, configured: DataFrame | None = None, inferred: DataFrame | None = None, **how
-) -> DataFrame:
-    """Entry points: configured and inferred ones and, besides, likely ones; all files if nothing was configured or found."""
-    auto = likely_entries(files, edges, exports, **how)
-    if configured is not None:
-        found = configured_entries(files, configured).unionByName(auto)
-        if inferred is not None:
-            found = found.unionByName(configured_entries(files, inferred))
+    files: DataFrame, edges: DataFrame, exports: DataFrame, configured: DataFrame | None = None, patterns: Iterable[str] = (),
+    inferred: DataFrame | None = None, **how,
+) -> DataFrame:
+    """Entry points (id), distinct, by the first of these rules that gives any.
+
+    1. Configured: the named files (``configured``) and those of ``patterns``; likely ones are added. This rule holds wherever
+       something is configured, found or not.
+    2. ``inferred``: what a manifest names.
+    3. Files that nothing imports and that look like entry points (``likely_entries``).
+    4. All files.
+    """
+    patterns = list(patterns)
+    if configured is not None or patterns:
+        found = likely_entries(files, edges, exports, **how).unionByName(matching_entries(files, patterns))
+        if configured is not None:
+            found = found.unionByName(configured_entries(files, configured))
         return found.distinct()
     if inferred is not None:
-        auto = auto.unionByName(configured_entries(files, inferred)).distinct()
-    return files.select(F.col("path").alias("id")) if auto.isEmpty() else auto
+        found = configured_entries(files, inferred)
+        if not found.isEmpty():
+            return found
+    found = likely_entries(files, edges, exports, **how)
+    return files.select(F.col("path").alias("id")) if found.isEmpty() else found
 
 
 @dataclass

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -54,24 +56,25 @@ def export_nodes(exports: DataFrame) -> DataFrame:
     order = F.col("seq") if "seq" in exports.columns else F.col("line")
     return exports.groupBy("src", "name").agg(
         F.max_by("export_type", order).alias("export_type"), F.max_by("line", order).alias("line")
-    ).select("src", F.concat("src", F.lit("#export:"), "name").alias("export_id"), "name", "export_type", "line")
+    ).select("src", export_id().alias("export_id"), "name", "export_type", "line")
 
 
 FUNCTION_ATTRIBUTES = ("name", "type", "file", "line", "params", "is_async", "is_generator", "is_static", "kind", "class_name", "method_name")
 
 
 def function_nodes(functions: DataFrame) -> DataFrame:
-    """One node for each file and full name; per attribute the distinct value that appeared last counts.
+    """One node for each file and full name (id), where it was first seen (seq), and its attributes.
 
-    A value that appears again does not become the last one: sets keep the first place of a member.
+    Per attribute the distinct value that appeared last counts. A value that appears again does not become the last
+    one: sets keep the first place of a member.
     """
     ided = functions.withColumn("id", F.concat_ws("#", "file", "name"))
-    out = None
+    rows = ided.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", *FUNCTION_ATTRIBUTES))).alias("rows"))
+    out = {"seq": F.get("rows", F.lit(0))["seq"]}
     for a in FUNCTION_ATTRIBUTES:
-        firsts = ided.filter(F.col(a).isNotNull()).groupBy("id", a).agg(F.min("seq").alias("s"))
-        own = firsts.groupBy("id").agg(F.max_by(a, "s").alias(a))
-        out = own if out is None else out.join(own, "id", "left")
-    return out
+        values = F.array_distinct(F.array_compact(F.col(f"rows.{a}")))
+        out[a] = F.get(values, F.size(values) - 1)
+    return rows.select("id", *[c.alias(name) for name, c in out.items()])
 
 
 def node_metrics(nodes: DataFrame, links: DataFrame, exported: DataFrame, entries: DataFrame | None = None) -> DataFrame:
@@ -102,76 +105,164 @@ def two_cycles(links: DataFrame) -> DataFrame:
     return links.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a < b").join(back, ["a", "b"]).distinct()
 
 
-def quads(
-    files: DataFrame, imports: DataFrame, exports: DataFrame, functions: DataFrame, entries: DataFrame, namespaces: dict[str, str] = NAMESPACES
-) -> DataFrame:
-    """The graph as distinct triples: s, p, o, o_kind (iri or literal), o_dt (datatype of literals).
+@dataclass(frozen=True)
+class Triple:
+    """A kind of triple that the rows of a relation make: an object for each row (``o``), or one for each of an array's values."""
+
+    s: Column
+    p: str
+    o: Column
+    constant: str | None = None  # the object where it is always the same
+    datatype: str | None = None  # of literals
+    values: Column | None = None
+
+    def rows(self) -> Column:
+        made = lambda o: F.struct(
+            self.s.alias("s"), F.lit(self.p).alias("p"), o.cast("string").alias("o"),
+            F.lit("iri" if self.datatype is None else "literal").alias("o_kind"), F.lit(self.datatype or "").alias("o_dt"),
+        )
+        return F.array(made(self.o)) if self.values is None else F.transform(self.values, made)
+
+    def count(self) -> Column:
+        return F.lit(1) if self.values is None else F.size(self.values)
+
+
+@dataclass
+class Facts:
+    """The graph as relations of one row for each node or edge, with the kinds of triples that these make.
 
-    Attributes that are null, zero or empty make no triple, except flags and parameter counts.
+    Values of an attribute are gathered in a set for each node or edge before any triple is made, so the triples are distinct
+    without another look at them, and a pattern builds only the kinds that it can match.
+    """
+
+    parts: list[tuple[DataFrame, list[Triple]]]
+    namespaces: dict[str, str]
+
+    def triples(self, p: str | None = None, o: str | None = None) -> DataFrame:
+        """s, p, o, o_kind (iri or literal), o_dt (datatype of literals); of one predicate and, of constant objects, one object."""
+        found = None
+        for df, kinds in self.parts:
+            wanted = [k for k in kinds if p in (None, k.p) and (o is None or k.constant in (None, o))]
+            if wanted:
+                rows = df.select(F.explode(F.concat(*[k.rows() for k in wanted])).alias("t")).select("t.*")
+                found = rows if found is None else found.unionByName(rows)
+        if found is None:
+            raise ValueError(f"no triple has the predicate {p}")
+        return found
+
+    def stats(self) -> DataFrame:
+        """One row of ten counters, without making a triple."""
+        N = self.namespaces
+        of_type = lambda kind: lambda t: (t.p, t.constant) == (N["rdf"] + "type", N["graph"] + kind)
+        named = lambda name: lambda t: t.p == N["graph"] + name
+        counters = {
+            "total_triples": lambda t: True, "files": of_type("File"), "modules": of_type("Module"), "functions": of_type("Function"),
+            "classes": of_type("Class"), "imports": named("imports"), "exports": named("exports"), "calls": named("calls"),
+            "entry_points": named("isEntryPoint"), "external_modules": named("isExternal"),
+        }
+        rows = None
+        for df, kinds in self.parts:
+            sums = [F.coalesce(F.sum(sum((k.count() for k in kinds if counts(k)), F.lit(0)).cast("long")), F.lit(0)).alias(n) for n, counts in counters.items()]
+            row = df.agg(*sums)
+            rows = row if rows is None else rows.unionByName(row)
+        return rows.agg(*[F.sum(n).alias(n) for n in counters])
+
+
+def facts(
+    files: DataFrame, imports: DataFrame, exports: DataFrame, functions: DataFrame, entries: DataFrame, namespaces: dict[str, str] = NAMESPACES,
+    calls: DataFrame | None = None, classes: DataFrame | None = None, references: DataFrame | None = None,
+) -> Facts:
+    """The graph's facts. Attributes that are null, zero or empty make no triple, except flags and parameter counts.
+
+    Optional: ``modified`` (timestamp) and ``parse_error_message`` of files, ``loc`` and ``complexity`` of functions, and relations that
+    the parser does not make: calls (caller, callee, line), classes (id, name, loc), references (src, dst).
     """
     N = namespaces
-    kind = "struct<s:string,p:string,o:string,o_kind:string,o_dt:string>"
-    iri = lambda ns, x: F.lit(N[ns] + x)
-    type_ = iri("rdf", "type")
-
-    def triple(s, p, o, o_kind="iri", o_dt=""):
-        return F.struct(s.alias("s"), p.alias("p"), o.cast("string").alias("o"), F.lit(o_kind).alias("o_kind"), F.lit(o_dt).alias("o_dt")).cast(kind)
-
-    def literal(s, p, column, o_dt, present):
-        return F.when(F.coalesce(present, F.lit(False)), triple(s, p, F.col(column), "literal", o_dt))
-
-    def emit(df, *triples):
-        """All triples of a row at once, so that a relation is read once."""
-        return df.select(F.explode(F.array_compact(F.array(*triples))).alias("t")).select("t.*")
-
-    nonzero = lambda c: F.col(c) != 0
-    said = lambda c: F.col(c) != ""
-    path, src, dst, edge = (X.node_id(c) for c in ("path", "src", "dst", "edge"))
-    error = [literal(path, iri("graph", "parseErrorMessage"), "parse_error_message", "string", said("parse_error_message"))]
-    out = emit(
-        files,
-        triple(path, type_, iri("graph", "File")),
-        literal(path, iri("code", "size"), "size", "integer", nonzero("size")),
-        literal(path, iri("code", "loc"), "loc", "integer", nonzero("loc")),
-        literal(path, iri("graph", "parseError"), "parse_error", "boolean", F.col("parse_error").isNotNull()),
-        *(error if "parse_error_message" in files.columns else []),
-    )
-    missing = missing_files(imports, files).withColumn("is_missing", F.lit(True))
-    out = out.unionByName(emit(missing, triple(path, type_, iri("graph", "File")), literal(path, iri("graph", "isMissing"), "is_missing", "boolean", F.lit(True))))
-    stated = imports.withColumns({"edge": F.concat("src", F.lit("-imports-"), "dst"), "outside": F.col("is_external")})
-    out = out.unionByName(emit(
-        stated,
-        F.when(F.col("outside"), triple(dst, type_, iri("graph", "Module"))),
-        literal(dst, iri("graph", "isExternal"), "outside", "boolean", F.col("outside")),
-        triple(src, iri("graph", "imports"), dst),
-        triple(edge, type_, iri("graph", "Import")),
-        triple(edge, iri("graph", "from"), src),
-        triple(edge, iri("graph", "to"), dst),
-        literal(edge, iri("code", "line"), "line", "integer", nonzero("line")),
-        literal(edge, iri("graph", "importType"), "type", "string", said("type")),
-    ))
-    export = X.node_id("export_id")
-    out = out.unionByName(emit(
-        exports.withColumn("export_id", F.concat("src", F.lit("#export:"), "name")),
-        triple(src, iri("graph", "exports"), export),
-        literal(export, iri("rdfs", "label"), "name", "string", said("name")),
-        literal(export, iri("graph", "exportType"), "export_type", "string", said("export_type")),
-        literal(export, iri("code", "line"), "line", "integer", nonzero("line")),
-    ))
-    fid = X.node_id("id")
-    texts = (("name", "rdfs", "label"), ("type", "graph", "functionType"), ("file", "graph", "file"), ("kind", "graph", "kind"),
-             ("class_name", "graph", "className"), ("method_name", "graph", "methodName"))
-    flags = (("params", "params", "integer"), ("is_async", "async", "boolean"), ("is_generator", "generator", "boolean"), ("is_static", "static", "boolean"))
-    out = out.unionByName(emit(
-        functions.withColumn("id", F.concat_ws("#", "file", "name")),
-        triple(fid, type_, iri("graph", "Function")),
-        *[literal(fid, iri(ns, name), column, "string", said(column)) for column, ns, name in texts],
-        literal(fid, iri("code", "line"), "line", "integer", nonzero("line")),
-        *[literal(fid, iri("graph", name), column, o_dt, F.col(column).isNotNull()) for column, name, o_dt in flags],
-    ))
-    marks = entries.withColumn("is_entry", F.lit(True))
-    out = out.unionByName(emit(marks, literal(X.node_id("id"), iri("graph", "isEntryPoint"), "is_entry", "boolean", F.lit(True))))
-    return out.distinct()
+    type_ = N["rdf"] + "type"
+    graph, code = (lambda x: N["graph"] + x), (lambda x: N["code"] + x)
+
+    def a(s: Column, kind: str) -> Triple:
+        return Triple(s, type_, F.lit(graph(kind)), constant=graph(kind))
+
+    def link(s: Column, p: str, o: Column) -> Triple:
+        return Triple(s, p, o)
+
+    def flag(s: Column, name: str) -> Triple:
+        return Triple(s, graph(name), F.lit("true"), constant="true", datatype="boolean")
+
+    def values(s: Column, p: str, name: str, datatype: str = "string") -> Triple:
+        return Triple(s, p, F.col(name), datatype=datatype, values=F.col(name))
+
+    def gathered(df: DataFrame, keys: list[str], numbers=(), texts=(), flags=()) -> DataFrame:
+        """One row for each key, with the set of present values of each attribute that the relation has."""
+        own = [F.collect_set(F.when(F.col(c) != 0, F.col(c))).alias(c) for c in numbers if c in df.columns]
+        own += [F.collect_set(F.when(F.col(c) != "", F.col(c))).alias(c) for c in texts if c in df.columns]
+        own += [F.collect_set(c).alias(c) for c in flags if c in df.columns]
+        return df.groupBy(*keys).agg(*own) if own else df.select(*keys).distinct()
+
+    def of(df: DataFrame, s: Column, named: dict[str, tuple[str, str]]) -> list[Triple]:
+        return [values(s, p, name, datatype) for name, (p, datatype) in named.items() if name in df.columns]
+
+    path, src, dst, node = (X.node_id(c) for c in ("path", "src", "dst", "id"))
+    if "modified" in files.columns:
+        files = files.withColumn("modified", X.iso_time("modified"))
+    scanned = gathered(files, ["path"], ["size", "loc"], ["modified", "parse_error_message"], ["parse_error"])
+    attributes = {
+        "size": (code("size"), "integer"), "modified": (code("lastModified"), "string"), "loc": (code("loc"), "integer"),
+        "parse_error": (graph("parseError"), "boolean"), "parse_error_message": (graph("parseErrorMessage"), "string"),
+    }
+    parts = [
+        (scanned, [a(path, "File"), *of(scanned, path, attributes)]),
+        (missing_files(imports, files), [a(path, "File"), flag(path, "isMissing")]),
+        (external_modules(imports), [a(node, "Module"), flag(node, "isExternal")]),
+    ]
+
+    stated = gathered(imports, ["src", "dst"], ["line"], ["type"])
+    edge = X.node_id(F.concat("src", F.lit("-imports-"), "dst"))
+    described = of(stated, edge, {"line": (code("line"), "integer"), "type": (graph("importType"), "string")})
+    parts.append((stated, [link(src, graph("imports"), dst), a(edge, "Import"), link(edge, graph("from"), src), link(edge, graph("to"), dst), *described]))
+
+    exported = gathered(exports, ["src", "name"], ["line"], ["export_type"])
+    export, label = X.node_id(export_id()), F.when(F.col("name") != "", F.array("name")).otherwise(F.array().cast("array<string>"))
+    described = of(exported, export, {"export_type": (graph("exportType"), "string"), "line": (code("line"), "integer")})
+    parts.append((exported, [link(src, graph("exports"), export), Triple(export, N["rdfs"] + "label", F.col("name"), datatype="string", values=label), *described]))
+
+    told = gathered(
+        functions.withColumn("id", F.concat_ws("#", "file", "name")), ["id"], ["line", "loc", "complexity"],
+        ["name", "type", "file", "kind", "class_name", "method_name"], ["params", "is_async", "is_generator", "is_static"],
+    )
+    attributes = {
+        "name": (N["rdfs"] + "label", "string"), "loc": (code("loc"), "integer"), "complexity": (code("complexity"), "integer"),
+        "type": (graph("functionType"), "string"), "file": (graph("file"), "string"), "line": (code("line"), "integer"),
+        "params": (graph("params"), "integer"), "is_async": (graph("async"), "boolean"), "is_generator": (graph("generator"), "boolean"),
+        "is_static": (graph("static"), "boolean"), "kind": (graph("kind"), "string"), "class_name": (graph("className"), "string"),
+        "method_name": (graph("methodName"), "string"),
+    }
+    parts.append((told, [a(node, "Function"), *of(told, node, attributes)]))
+    parts.append((entries.select("id").distinct(), [flag(node, "isEntryPoint")]))
+
+    if calls is not None:
+        made = gathered(calls, ["caller", "callee"], ["line"])
+        caller, callee = X.node_id("caller"), X.node_id("callee")
+        call = X.node_id(F.concat("caller", F.lit("-calls-"), "callee"))
+        parts.append((made, [link(caller, graph("calls"), callee)]))
+        # Only calls with a line are nodes.
+        parts.append((made.filter(F.size("line") > 0), [a(call, "Call"), link(call, graph("from"), caller), link(call, graph("to"), callee), values(call, code("line"), "line", "integer")]))
+    if classes is not None:
+        made = gathered(classes, ["id"], ["loc"], ["name"])
+        parts.append((made, [a(node, "Class"), *of(made, node, {"name": (N["rdfs"] + "label", "string"), "loc": (code("loc"), "integer")})]))
+    if references is not None:
+        parts.append((references.select("src", "dst").distinct(), [link(src, graph("references"), dst)]))
+    return Facts(parts, N)
+
+
+def export_id(src: str = "src", name: str = "name") -> Column:
+    return F.concat(src, F.lit("#export:"), name)
+
+
+def quads(files: DataFrame, imports: DataFrame, exports: DataFrame, functions: DataFrame, entries: DataFrame, **more) -> DataFrame:
+    """The graph as distinct triples: s, p, o, o_kind (iri or literal), o_dt (datatype of literals); see ``facts``."""
+    return facts(files, imports, exports, functions, entries, **more).triples()
 
 
 def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
@@ -182,10 +273,16 @@ def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str
     return triples
 
 
-def nodes_of_type(triples: DataFrame, kind: str, namespaces: dict[str, str] = NAMESPACES) -> DataFrame:
+def nodes_of_type(known: Facts, kind: str) -> DataFrame:
     """id of the nodes of a class: file, module, function, class, import, call."""
-    found = match(triples, p=namespaces["rdf"] + "type", o=namespaces["graph"] + kind[:1].upper() + kind[1:])
-    return found.select(F.col("s").alias("id"))
+    N = known.namespaces
+    return known.triples(p=N["rdf"] + "type", o=N["graph"] + kind[:1].upper() + kind[1:]).select(F.col("s").alias("id"))
+
+
+def node_triples(triples: DataFrame, path: str) -> DataFrame:
+    """Triples of one node, given by its path, name or id."""
+    one = triples.sparkSession.range(1).select(X.node_id(F.lit(path)).alias("s"))
+    return triples.join(F.broadcast(one), "s", "left_semi")  # one row
 
 
 def metadata(triples: DataFrame) -> DataFrame:
@@ -195,21 +292,6 @@ def metadata(triples: DataFrame) -> DataFrame:
     return named.groupBy(F.col("s").alias("node"), "property").agg(F.max_by("o", order).alias("value"))
 
 
-def graph_stats(triples: DataFrame, namespaces: dict[str, str] = NAMESPACES) -> DataFrame:
-    """One row of ten counters, in one pass over the triples."""
-    N = namespaces
-    is_a = lambda kind: (F.col("p") == N["rdf"] + "type") & (F.col("o") == N["graph"] + kind)
-    has = lambda name: F.col("p") == N["graph"] + name
-    true = F.col("o") == "true"
-    counters = {
-        "total_triples": F.count("*"), "files": F.count_if(is_a("File")), "modules": F.count_if(is_a("Module")),
-        "functions": F.count_if(is_a("Function")), "classes": F.count_if(is_a("Class")), "imports": F.count_if(has("imports")),
-        "exports": F.count_if(has("exports")), "calls": F.count_if(has("calls")),
-        "entry_points": F.count_if(has("isEntryPoint") & true), "external_modules": F.count_if(has("isExternal") & true),
-    }
-    return triples.agg(*[c.alias(n) for n, c in counters.items()])
-
-
 def ntriples(triples: DataFrame) -> DataFrame:
     """One line of N-Triples for each triple (column value); literals are escaped."""
     escaped = F.col("o")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -9,48 +11,53 @@ from pyspark.sql import functions as F
 from codeloom.tables import written
 
 
-def reachable(edges: DataFrame, sources: DataFrame, blocked: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, sources: DataFrame, blocked: DataFrame | None = None, max_rounds: int = 1_000_000) -> DataFrame:
     """id and depth of all nodes that sources (id) reach over edges (src, dst), themselves included.
 
     Nodes of ``blocked`` (id), such as external modules, are not entered. Edges are written once,
-    without those into blocked nodes; a round joins only the last level's nodes with them.
+    without those into blocked nodes, and held by their source, so that a round moves only the last level's
+    nodes and what they lead to. A graph deeper than ``max_rounds`` raises.
     """
     usable = edges.select("src", "dst").filter("src <> dst")
     if blocked is not None:
         usable = usable.join(blocked.select(F.col("id").alias("dst")), "dst", "left_anti")
     usable = written(usable.select("src", "dst"), "usable_edges")
+    held = usable.repartition("src").persist()  # lost parts are read again from the written table
     front = written(sources.select("id").distinct().withColumn("depth", F.lit(0)), "reach")
-    levels = [front]
-    for depth in range(1, max_rounds):
-        step = front.join(usable, front["id"] == usable["src"]).select(F.col("dst").alias("id")).distinct()
-        for level in levels:
-            step = step.join(level.select("id"), "id", "left_anti")
-        front = written(step.withColumn("depth", F.lit(depth)), "reach")
-        if front.isEmpty():
-            break
-        levels.append(front)
-        if len(levels) > 8:  # few tables to look seen nodes up in, however deep the graph
-            merged = levels[0]
-            for level in levels[1:]:
-                merged = merged.unionByName(level)
-            levels = [written(merged, "reached")]
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.unionByName(level)
-    return found
-
-
-def shortest_path(edges: DataFrame, sources: list[str], target: str, max_depth: int = 10_000) -> list[str] | None:
+    seen = front
+    levels = 1
+    try:
+        for depth in range(1, max_rounds + 1):
+            step = front.join(held, front["id"] == held["src"]).select(F.col("dst").alias("id")).distinct()
+            step = step.join(seen.select("id"), "id", "left_anti")
+            front = written(step.withColumn("depth", F.lit(depth)), "reach")
+            if front.isEmpty():
+                return seen
+            seen, levels = seen.unionByName(front), levels + 1
+            if levels % 16 == 0:  # few tables to look seen nodes up in, however deep the graph
+                seen = written(seen, "reached")
+    finally:
+        held.unpersist()
+    raise RuntimeError(f"nodes more than {max_rounds} steps away")
+
+
+def shortest_path(edges: DataFrame, sources: Iterable[str], target: str, max_depth: int = 1_000_000) -> list[str] | None:
     """The path by which the first of the sources, in order, that reaches target does so in fewest steps.
 
     Of several parents on a level the one queued first counts, by edge order (first_seq). The
-    result is one path; levels stay distributed.
+    result is one path; levels stay distributed. Sources that do not reach the target are told from those that do by one search from
+    the target backwards. A path longer than ``max_depth`` raises.
     """
     edges = written(edges.select("src", "dst", "first_seq"), "path_edges")
+    spark = edges.sparkSession
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    leads = written(reachable(back, spark.createDataFrame([(target,)], "id string")).select("id"), "leads")
+    edges = written(edges.join(leads.withColumnRenamed("id", "src"), "src", "left_semi"), "useful_edges")
     for source in sources:
+        if leads.filter(F.col("id") == source).isEmpty():
+            continue
         if source == target:
             return [source]
-        spark = edges.sparkSession
         level = written(spark.createDataFrame([(source, None, 0)], "id string, parent string, rank long"), "level")
         levels, seen = [level], level.select("id")
         for _ in range(max_depth):
@@ -72,6 +79,8 @@ def shortest_path(edges: DataFrame, sources: list[str], target: str, max_depth:
                     path.append(at)
                     at = found.filter(F.col("id") == at).first()["parent"]
                 return path[::-1]
+        else:
+            raise RuntimeError(f"a path of more than {max_depth} steps")
     return None
 
 

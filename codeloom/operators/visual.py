@@ -17,7 +17,13 @@ def visual_nodes(nodes: DataFrame, dead: DataFrame) -> DataFrame:
     return joined.withColumns({"label": X.last_segment("id"), "radius": radius, "colour": colour})
 
 
+def bounds(points: DataFrame) -> DataFrame:
+    """The least box that holds all points (x, y): min_x, max_x, min_y, max_y; nulls where there are none."""
+    return points.agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
+
+
 def visual_edges(edges: DataFrame) -> DataFrame:
+    """Edges with their ends under the names of the drawing, source and target, too."""
     return edges.select("from", "to", "type", F.col("from").alias("source"), F.col("to").alias("target"))
 
 

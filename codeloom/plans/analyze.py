@@ -1,20 +1,20 @@
-"""End-to-end analysis of a source tree, and its results as text, JSON, N-Triples and exit conditions."""
+"""End-to-end analysis of a source tree, and its results as JSON, N-Triples and exit conditions."""
 
 from __future__ import annotations
 
-import json
 import os
+import re
 from dataclasses import dataclass
-from datetime import datetime, timezone
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from codeloom.functions import exprs as X
 from codeloom.operators import deadcode, duplicates, graph, health, reach, visual
 from codeloom.sources.config import Config, manifest_entries
-from codeloom.sources.scan import parse_files, relations, scan
+from codeloom.sources.scan import parse_files, pattern_regex, relations, scan
 from codeloom.tables import written
 
 
@@ -63,18 +63,20 @@ class Analysis:
 
     @cached_property
     def entries(self) -> DataFrame:
-        """Configured, inferred and likely entry points among all file nodes."""
-        named = lambda paths: self.spark.createDataFrame([(os.path.normpath(os.path.join(self.root, p)),) for p in paths], "id string")
+        """Entry points among all file nodes: configured paths and globs, else the manifest's, else likely ones, else all files."""
+        names = self.spark.createDataFrame([(p,) for p in self.config.entry_points if not is_glob(p)], "path string")
+        named = names.select(X.normalise_path(F.concat(F.lit(self.root + "/"), "path")).alias("id"))
+        globs = [re.escape(self.root) + "/" + pattern_regex(p.removeprefix("./"))[0].pattern for p in self.config.entry_points if is_glob(p)]
         try:
             with open(os.path.join(self.root, "package.json"), encoding="utf-8") as f:
-                manifest = f.read()
+                inferred = manifest_entries(f.read(), self.root)
         except OSError:
-            manifest = None
-        inferred = manifest_entries(manifest, self.root)
+            inferred = []
         found = deadcode.entry_points(
             self.nodes, self.edges, self.exports,
-            configured=named(self.config.entry_points) if self.config.entry_points else None,
-            inferred=named(inferred) if inferred else None,
+            configured=named if self.config.entry_points else None,
+            patterns=globs,
+            inferred=self.spark.createDataFrame([(p,) for p in inferred], "id string"),
             more=tuple(self.config.entry_patterns),
         )
         return written(found, "entries")
@@ -84,9 +86,13 @@ class Analysis:
         return written(graph.node_metrics(self.nodes, self.edges, self.exports, self.entries), "metrics")
 
     @cached_property
-    def triples(self) -> DataFrame:
+    def facts(self) -> graph.Facts:
         t = self.tables
-        return graph.quads(t["files"], t["imports"], t["exports"], self.functions, self.entries)
+        return graph.facts(t["files"], t["imports"], t["exports"], self.functions, self.entries)
+
+    @property
+    def triples(self) -> DataFrame:
+        return self.facts.triples()
 
     @cached_property
     def dead(self) -> deadcode.DeadCode:
@@ -99,7 +105,7 @@ class Analysis:
     @cached_property
     def stats(self) -> dict:
         """Counters, dead-code and duplicate statistics, and all scores, in one dict of numbers."""
-        row = graph.graph_stats(self.triples).first().asDict() | self.dead.stats.first().asDict()
+        row = self.facts.stats().first().asDict() | self.dead.stats.first().asDict()
         row |= duplicates.duplicate_stats(self.functions, self.groups, self.ignore_common).first().asDict()
         one = self.spark.createDataFrame(
             [(row["files"], row["imports"], row["reachability"], row["reachable_files"], float(row["redundancy"]))],
@@ -107,9 +113,9 @@ class Analysis:
         )
         return row | health.scores(one).first().asDict()
 
-    def shown(self, path: str) -> str:
-        plain = path.removeprefix("file://")
-        return "." + plain[len(self.root) :] if plain.startswith(self.root) else plain
+    def displayed(self, column: str) -> Column:
+        """A path as reports show it: below the root with a leading dot."""
+        return X.display_path(column, self.root)
 
     # Sinks
 
@@ -128,7 +134,7 @@ class Analysis:
         elif kind == "ntriples":
             graph.ntriples(self.triples).write.mode("overwrite").text(path)
         elif kind == "stats":
-            graph.graph_stats(self.triples).write.mode("overwrite").json(path)
+            self.facts.stats().write.mode("overwrite").json(path)
         else:
             raise ValueError(f"unknown export format: {kind}")
 
@@ -142,98 +148,26 @@ class Analysis:
             "duplicates": s["duplicate_groups"] == 0,
         }
 
-    # Reports: every list is cut before it is collected.
+    def places(self, most: int | None = None, each: int | None = None) -> DataFrame:
+        """bare, count, category, and places of the duplicate names, most frequent first, ties by where a name was first seen.
 
-    def duplicate_lists(self, groups: int, each: int) -> list[tuple]:
-        """(name, count, category, locations) of the largest groups, ties by name."""
-        top = self.groups.orderBy(F.desc("count"), "bare").limit(groups)
+        place: number in the group, by file (in the order of a dictionary) and line. ``most`` groups and ``each`` places of them are
+        kept; other rows go before anything is gathered.
+        """
+        first = duplicates.named_functions(self.functions, self.ignore_common).groupBy("bare").agg(F.min("seq").alias("first_seen"))
+        top = self.groups.join(first, "bare")
+        if most is not None:
+            top = top.orderBy(F.desc("count"), "first_seen").limit(most)
         rows = duplicates.duplicate_occurrences(self.functions, top, self.ignore_common)
-        places = F.array_sort(F.collect_list(F.struct("file", "line", "name", "params", "location")))
-        found = rows.groupBy("bare", "count", "category").agg(F.slice(places, 1, each).alias("places")).collect()
-        return sorted(((r.bare, r["count"], r.category, [(p.location, p.name, p.params) for p in r.places]) for r in found), key=lambda r: (-r[1], r[0]))
+        rows = rows.join(top.select("bare", "first_seen"), "bare").withColumn("location", self.displayed("location"))
+        order = Window.partitionBy("bare").orderBy(F.collate(F.coalesce("file", F.lit("")), "UNICODE"), F.coalesce("line", F.lit(0)))
+        rows = rows.withColumn("place", F.row_number().over(order))
+        return rows if each is None else rows.filter(F.col("place") <= each)
 
-    def report(self, entry: str | None = None, now: datetime | None = None) -> str:
-        """The whole analysis as Markdown."""
-        s = self.stats
-        when = (now or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H:%M:%S.000Z")
-        connectivity = s["imports"] / s["files"] * 10 if s["files"] else 0
-        out = ["# Code Analysis Report", "", f"**Project:** {self.root}", f"**Generated:** {when}", "", "## Summary", ""]
-        for title, key in (("Total Files", "files"), ("Functions/Methods", "functions"), ("Imports", "imports"), ("Exports", "exports"),
-                           ("Entry Points", "entry_points"), ("External Dependencies", "external_modules")):
-            out.append(f"- **{title}:** {s[key]}")
-        out += ["", "## Health Score", "", f"**{s['health_report']}/100** ({s['label']})", "", f"- Reachability: {s['reachability']}%",
-                f"- Connectivity: {connectivity:.1f} imports/file", f"- Code Redundancy: {s['redundancy'] * 100:.1f}%", ""]
-        out += ["## Dead Code Analysis", "", f"- **Reachable Files:** {s['reachable_files']}/{s['total_files']}", f"- **Dead Files:** {s['dead_files']}",
-                f"- **Unused Exports:** {'-' if s['unused_exports'] is None else s['unused_exports']}", ""]
-        if s["dead_files"]:
-            listed = [r.path for r in self.dead.dead_files.orderBy("path").limit(10).collect()]
-            out += ["### Dead Files", ""] + [f"- `{self.shown(p)}` - Not reachable from any entry point" for p in listed]
-            out += [f"- ... and {s['dead_files'] - 10} more"] * (s["dead_files"] > 10) + [""]
-        if s["duplicate_groups"]:
-            out += ["## Duplicate Methods", "", f"Found {s['duplicate_groups']} duplicate method name(s):", ""]
-            for name, count, category, places in self.duplicate_lists(5, 3):
-                out += [f"**{name}** ({count} occurrences, {category})"] + [f"  - {self.shown(p)}" for p, _, _ in places]
-                out += [f"  - ... and {count - 3} more"] * (count > 3) + [""]
-            out += [f"... and {s['duplicate_groups'] - 5} more duplicate groups", ""] if s["duplicate_groups"] > 5 else []
-        largest = self.nodes.filter("loc > 0").orderBy(F.desc("loc"), "path").limit(5).collect()
-        out += ["## Largest Files", ""] + [f"{k}. `{self.shown(r.path)}` - {r.loc} lines" for k, r in enumerate(largest, 1)] + [""]
-        if entry:
-            start = os.path.normpath(os.path.join(self.root, entry))
-            found = reach.preorder(self.edges, start).filter((F.col("id") != start) & F.col("id").startswith("/"))
-            total = found.count()
-            path = [r.id for r in found.orderBy("position").limit(20).collect()]
-            out += ["## Critical Path Analysis", ""]
-            out += [f"Entry point: `{entry}`", "", *[f"{k}. `{self.shown(p)}`" for k, p in enumerate(path, 1)]] if path else [f"Entry point not found: {entry}"]
-            out += [f"... and {total - 20} more dependencies"] * (total > 20) + [""]
-        return "\n".join(out + ["## Recommendations", ""] + self.advice([r.loc for r in largest]) + [""])
-
-    def advice(self, largest: list[int]) -> list[str]:
-        s, out = self.stats, []
-        if s["dead_files"]:
-            out.append(f"- Remove {s['dead_files']} dead file(s) to reduce codebase size")
-        if over := sum(loc > 500 for loc in largest):
-            out.append(f"- Consider refactoring large files ({over} of the largest files over 500 LOC)")
-        if s["reachability"] < 80:
-            out.append(f"- Improve code reachability (currently {s['reachability']}%)")
-        if not s["entry_points"]:
-            out.append("- Define entry points in the configuration for better analysis")
-        if s["redundancy"] > 0.1 and s["cross_class"]:
-            out.append(f"- Review {s['cross_class']} cross-class duplicate(s) for potential refactoring")
-        if not s["dead_files"] and s["reachability"] == 100:
-            low = s["redundancy"] < 0.1
-            out.append("- Codebase is healthy! No dead code and low redundancy." if low else "- No dead code detected, but consider reviewing duplicate methods.")
-        return out
-
-    def dead_code_report(self) -> str:
-        s, rule = self.dead.stats.first(), "=" * 60
-        out = [rule, "Dead Code Analysis Report", rule, "", "Summary:", f"  Total files: {s.total_files}", f"  Reachable files: {s.reachable_files}",
-               f"  Dead files: {s.dead_files}", f"  Unused exports: {s.unused_exports}", f"  Reachability: {s.reachability}%", ""]
-        if s.dead_files:
-            out += ["Dead Files:", "-" * 60]
-            for r in self.dead.dead_files.orderBy("path").toLocalIterator():
-                out += [f"  {X_file(r.path)}", "    Reason: Not reachable from any entry point"]
-        else:
-            out.append("No dead files found!")
-        if s.unused_exports:
-            out += ["", "Unused Exports:", "-" * 60]
-            for r in self.dead.unused_exports.orderBy("src", "name").limit(20).collect():
-                out += [f"  {X_file(r.src)}", f"    Export: {r['name']}", "    Reason: Never imported"]
-            out += [f"  ... and {s.unused_exports - 20} more"] * (s.unused_exports > 20)
-        return "\n".join([*out, "", rule])
-
-    def duplicates_report(self, kind: str = "text", groups: int = 1000, each: int = 100) -> str:
-        s = duplicates.duplicate_stats(self.functions, self.groups, self.ignore_common).first().asDict()
-        found = self.duplicate_lists(groups, each)
-        if kind == "json":
-            names = [{"name": n, "count": c, "category": k, "occurrences": [p for p, _, _ in o]} for n, c, k, o in found]
-            return json.dumps({"stats": s, "duplicates": names}, indent=2)
-        out = ["# Duplicate Method/Function Analysis", "", "## Statistics", f"- Total Functions/Methods: {s['total_functions']}", f"- Unique Names: {s['unique_names']}",
-               f"- Duplicate Groups: {s['duplicate_groups']}", f"- Total Duplicates: {s['total_duplicates']}", f"- Redundancy Score: {s['redundancy'] * 100:.1f}%", ""]
-        if not found:
-            out.append("No duplicate method names found.")
-        for name, count, category, places in found:
-            out += [f"### {name} ({count} occurrences, {category})", *[f"  - {p} ({full}, {params} params)" for p, full, params in places], ""]
-        return "\n".join(out)
+    def similar(self, threshold: float) -> DataFrame:
+        """Pairs of different names at least this alike: a, b, similarity."""
+        named = duplicates.named_functions(self.functions, self.ignore_common)
+        return duplicates.similar_names(named.select(F.col("bare").alias("name")), threshold)
 
     def hubs(self, threshold: int = 5, limit: int = 20) -> DataFrame:
         return graph.hubs(self.metrics, threshold, limit)
@@ -245,18 +179,33 @@ class Analysis:
         """Counts by kind, and files of most functions."""
         return duplicates.function_stats(self.functions), duplicates.functions_per_file(self.functions)
 
+    def critical_path(self, entry: str) -> DataFrame:
+        """position and id of the files that an entry point leads to, in the order of a walk into depth; without the entry itself."""
+        start = os.path.normpath(os.path.join(self.root, entry))
+        return reach.preorder(self.edges, start).filter((F.col("id") != start) & F.col("id").startswith("/"))
+
     def response(self) -> dict:
-        """What a graph viewer asks for: nodes and edges as DataFrames, statistics, health and the largest duplicate groups."""
+        """What a graph viewer asks for: nodes (with is_dead) and edges as DataFrames, statistics, health, and the ten largest duplicate
+        groups as rows of their places."""
         nodes, links = self.graph_json()
         s = self.stats
-        score = {"score": s["health_http"], "reachability": s["reachability"], "redundancy": s["redundancy"]}
-        return {"nodes": nodes, "edges": links, "stats": s, "health": score, "duplicates": self.duplicate_lists(10, 1000)}
+        return {
+            "nodes": nodes,
+            "edges": visual.visual_edges(links),
+            "stats": {k: s[k] for k in COUNTERS} | {"reachable_files": s["reachable_files"], "dead_files": s["dead_files"]},
+            "health": {"score": s["health_http"], "reachability": s["reachability"], "redundancy": s["redundancy"]},
+            "duplicates": {"groups": self.places(10), "stats": {k: s[k] for k in DUPLICATE_COUNTERS}},
+        }
 
     def path_to(self, target: str) -> list[str] | None:
-        """The import path by which an entry point reaches a file."""
-        starts = [r.id for r in self.entries.orderBy("id").limit(1000).collect()]
+        """The import path by which an entry point reaches a file; the first entry point that does counts."""
+        starts = (r.id for r in self.entries.orderBy("id").toLocalIterator())
         return reach.shortest_path(self.edges, starts, os.path.normpath(os.path.join(self.root, target)))
 
 
-def X_file(path: str) -> str:
-    return f"file://{path}" if path.startswith("/") else path
+COUNTERS = "total_triples files modules functions classes imports exports calls entry_points external_modules".split()
+DUPLICATE_COUNTERS = "total_functions unique_names duplicate_groups total_duplicates cross_class cross_file redundancy".split()
+
+
+def is_glob(path: str) -> bool:
+    return any(c in path for c in "*?[")

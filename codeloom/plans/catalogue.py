@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import exprs as X
 from codeloom.operators import deadcode, duplicates, graph, health, reach, visual
 from codeloom.plans.driver_graph import oracle, relation
+from codeloom.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,16 +36,20 @@ def _long(df: DataFrame) -> DataFrame:
 
 
 class Graph:
-    """Relations of the driver graph and what is derived from them, each built when first used."""
+    """Relations of the driver graph and what is derived from them, each built when first used.
+
+    What several steps of a query read is written once: edges, nodes and what is reached.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         make = {
-            "edges": lambda: graph.edges(self.imports),
+            "distinct_edges": lambda: graph.edges(self.imports),
+            "edges": lambda: written(self.distinct_edges, "edges"),
             "sparse": lambda: graph.edges(self.sparse_imports),
-            "nodes": lambda: graph.file_nodes(self.files, self.imports),
+            "nodes": lambda: written(graph.file_nodes(self.files, self.imports), "nodes"),
             "externals": lambda: graph.external_modules(self.imports),
             "export_nodes": lambda: graph.export_nodes(self.exports),
             "metrics": lambda: graph.node_metrics(self.nodes, self.edges, self.export_nodes, self.entries),
@@ -53,8 +58,12 @@ class Graph:
             "groups": lambda: duplicates.duplicate_groups(self.functions, 2, ignore_common=False),
             "stats": lambda: deadcode.reach_stats(self.nodes, self.reached),
             "dup_stats": lambda: duplicates.duplicate_stats(self.functions, self.groups, ignore_common=False),
-            "triples": lambda: graph.quads(self.files, self.imports, self.exports, self.functions, self.entries),
-        }.get(name, lambda: relation(self.spark, self.sf_dir, name))
+            "facts": lambda: graph.facts(self.files, self.imports, self.exports, self.functions, self.entries),
+            "more_facts": lambda: graph.facts(
+                self.timed_files, self.imports, self.exports, self.measured_functions, self.entries,
+                calls=self.calls, classes=self.classes, references=self.references,
+            ),
+        }.get(name, lambda: relation(self.spark, self.sf_dir, name))
         made = make()
         setattr(self, name, made)
         return made
@@ -68,7 +77,7 @@ class Graph:
 
 @query("SELECT src, dst FROM edges", "edges")
 def edges_distinct(spark, d):
-    return Graph(spark, d).edges
+    return Graph(spark, d).distinct_edges
 
 
 @query("SELECT path FROM missing", "missing")
@@ -93,12 +102,12 @@ def external_modules(spark, d):
 
 @query("SELECT src, count(*) AS out_degree FROM edges GROUP BY src", "edges")
 def out_degree(spark, d):
-    return Graph(spark, d).edges.groupBy("src").agg(F.count("*").alias("out_degree"))
+    return Graph(spark, d).distinct_edges.groupBy("src").agg(F.count("*").alias("out_degree"))
 
 
 @query("SELECT dst, count(*) AS in_degree FROM edges GROUP BY dst", "edges")
 def in_degree(spark, d):
-    return Graph(spark, d).edges.groupBy("dst").agg(F.count("*").alias("in_degree"))
+    return Graph(spark, d).distinct_edges.groupBy("dst").agg(F.count("*").alias("in_degree"))
 
 
 @query("SELECT path, import_count, dependent_count, export_count, is_missing, is_entry_point FROM metrics", "metrics")
@@ -130,7 +139,7 @@ def two_cycles(spark, d):
 
 @query("SELECT src, dst FROM edges WHERE src = 'nation:3' UNION ALL SELECT src, dst FROM edges WHERE dst = 'nation:3'", "edges")
 def neighbours(spark, d):
-    return Graph(spark, d).edges.filter((F.col("src") == "nation:3") | (F.col("dst") == "nation:3"))
+    return Graph(spark, d).distinct_edges.filter((F.col("src") == "nation:3") | (F.col("dst") == "nation:3"))
 
 
 # Triples
@@ -153,40 +162,31 @@ _STATS = """SELECT
 
 @query(_STATS, "nodes", "files", "missing", "externals", "edges", "imports", "exports", "functions", "entries")
 def graph_stats(spark, d):
-    return graph.graph_stats(Graph(spark, d).triples)
+    return Graph(spark, d).facts.stats()
 
 
 @query("SELECT src AS s, 'urn:codeloom:graph#imports' AS p, CASE WHEN dst LIKE '%:%' THEN dst ELSE 'urn:code:' || dst END AS o FROM edges", "edges")
 def quads_by_predicate(spark, d):
-    return graph.match(Graph(spark, d).triples, p=graph.NAMESPACES["graph"] + "imports").select("s", "p", "o")
+    return Graph(spark, d).facts.triples(p=graph.NAMESPACES["graph"] + "imports").select("s", "p", "o")
 
 
 @query("SELECT CASE WHEN id LIKE '%:%' THEN id ELSE 'urn:code:' || id END AS id FROM externals", "externals")
 def modules_by_type(spark, d):
-    return graph.nodes_of_type(Graph(spark, d).triples, "module")
+    return graph.nodes_of_type(Graph(spark, d).facts, "module")
 
 
 @query(
-    """SELECT path AS node, CAST(size AS VARCHAR) AS size, CASE WHEN loc <> 0 THEN CAST(loc AS VARCHAR) END AS loc,
-              CASE WHEN is_missing THEN 'true' END AS is_missing FROM nodes WHERE path LIKE 'part:%' AND (size <> 0 OR is_missing)
-       """.replace("CAST(size AS VARCHAR) AS size", "CASE WHEN size <> 0 THEN CAST(size AS VARCHAR) END AS size"),
+    """SELECT path AS node, CASE WHEN size <> 0 THEN CAST(size AS VARCHAR) END AS size, CASE WHEN loc <> 0 THEN CAST(loc AS VARCHAR) END AS loc,
+              CASE WHEN is_missing THEN 'true' END AS is_missing FROM nodes WHERE size <> 0 OR loc <> 0 OR is_missing""",
     "nodes",
 )
 def metadata_pivot(spark, d):
-    rows = graph.metadata(Graph(spark, d).triples.filter(F.col("s").startswith("part:") & ~F.col("s").contains("#") & ~F.col("s").contains("-imports-")))
-    wide = rows.groupBy("node").pivot("property", ["size", "loc", "isMissing"]).agg(F.first("value"))
+    known, N = Graph(spark, d).facts, graph.NAMESPACES
+    rows = known.triples(p=N["code"] + "size").unionByName(known.triples(p=N["code"] + "loc")).unionByName(known.triples(p=N["graph"] + "isMissing"))
+    wide = graph.metadata(rows).groupBy("node").pivot("property", ["size", "loc", "isMissing"]).agg(F.first("value"))
     return wide.withColumnRenamed("isMissing", "is_missing")
 
 
-@query(
-    """SELECT '<' || src || '> <urn:codeloom:graph#imports> <' || CASE WHEN dst LIKE '%:%' THEN dst ELSE 'urn:code:' || dst END || '> .' AS value
-       FROM edges""",
-    "edges",
-)
-def ntriples(spark, d):
-    return graph.ntriples(graph.match(Graph(spark, d).triples, p=graph.NAMESPACES["graph"] + "imports"))
-
-
 @query(
     """SELECT s || ' ' || cast(c AS VARCHAR) AS line FROM (
          SELECT 'file' AS s, count(*) AS c FROM nodes UNION ALL SELECT 'external-module', count(*) FROM externals
@@ -202,21 +202,19 @@ def graph_summary(spark, d):
     return counts.select(F.concat("s", F.lit(" "), F.col("c").cast("string")).alias("line"))
 
 
-@query(
-    """SELECT '{"id":"' || path || '","size":' || size || ',"dependent_count":' || dependent_count || '}' AS json FROM metrics WHERE path LIKE 'nation:%'""",
-    "metrics",
-)
+@query("""SELECT '{"id":"' || path || '","size":' || size || ',"dependent_count":' || dependent_count || '}' AS json FROM metrics""", "metrics")
 def json_nodes(spark, d):
-    kept = Graph(spark, d).metrics.filter(F.col("path").startswith("nation:"))
-    return kept.select(F.to_json(F.struct(F.col("path").alias("id"), "size", "dependent_count")).alias("json"))
+    return Graph(spark, d).metrics.select(F.to_json(F.struct(F.col("path").alias("id"), "size", "dependent_count")).alias("json"))
 
 
-# The same of all nodes and triples
+@query("""SELECT '{"from":"' || src || '","to":"' || dst || '","type":"imports"}' AS json FROM edges""", "edges")
+def json_edges(spark, d):
+    g = Graph(spark, d)
+    links = g.distinct_edges.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.lit("imports").alias("type"))
+    return links.select(F.to_json(F.struct("from", "to", "type")).alias("json"))
 
 
-@query("""SELECT '{"id":"' || path || '","size":' || size || ',"dependent_count":' || dependent_count || '}' AS json FROM metrics""", "metrics")
-def json_nodes_all(spark, d):
-    return Graph(spark, d).metrics.select(F.to_json(F.struct(F.col("path").alias("id"), "size", "dependent_count")).alias("json"))
+# All triples
 
 
 def _triples_sql() -> str:
@@ -270,7 +268,7 @@ _RELATIONS = ("nodes", "files", "missing", "externals", "edges", "imports", "exp
 
 @query(f"SELECT s AS node, regexp_extract(p, '[^#/]*$') AS property, max(o) AS value FROM {_TRIPLES} GROUP BY ALL", *_RELATIONS)
 def metadata_all(spark, d):
-    return graph.metadata(Graph(spark, d).triples)
+    return graph.metadata(Graph(spark, d).facts.triples())
 
 
 @query(
@@ -278,8 +276,82 @@ def metadata_all(spark, d):
                ELSE '"' || o || '"^^<http://www.w3.org/2001/XMLSchema#' || dt || '>' END || ' .' AS value FROM {_TRIPLES}""",
     *_RELATIONS,
 )
-def ntriples_all(spark, d):
-    return graph.ntriples(Graph(spark, d).triples)
+def ntriples(spark, d):
+    return graph.ntriples(Graph(spark, d).facts.triples())
+
+
+@query(f"SELECT p, o FROM {_TRIPLES} WHERE s = 'nation:3'", *_RELATIONS)
+def node_triples(spark, d):
+    return graph.node_triples(Graph(spark, d).facts.triples(), "nation:3").select("p", "o")
+
+
+def _of_graph(*names: str) -> list[str]:
+    return [graph.NAMESPACES["graph"] + n for n in names]
+
+
+_CALLS, _REFERENCES, _FROM, _TO = _of_graph("calls", "references", "from", "to")
+_TYPE, _LINE, _MODIFIED, _LOC, _COMPLEXITY = graph.NAMESPACES["rdf"] + "type", *(graph.NAMESPACES["code"] + n for n in ("line", "lastModified", "loc", "complexity"))
+_CALL = "caller || '-calls-' || callee"
+
+
+@query(
+    f"""SELECT DISTINCT caller AS s, '{_CALLS}' AS p, callee AS o FROM calls UNION ALL SELECT DISTINCT {_CALL}, '{_TYPE}', '{_of_graph("Call")[0]}' FROM calls WHERE line <> 0
+        UNION ALL SELECT DISTINCT {_CALL}, '{_FROM}', caller FROM calls WHERE line <> 0 UNION ALL SELECT DISTINCT {_CALL}, '{_TO}', callee FROM calls WHERE line <> 0
+        UNION ALL SELECT DISTINCT {_CALL}, '{_LINE}', CAST(line AS VARCHAR) FROM calls WHERE line <> 0""",
+    "calls",
+)
+def call_triples(spark, d):
+    g = Graph(spark, d)
+    none = g.imports.limit(0)
+    known = graph.facts(g.files.limit(0), none, g.exports.limit(0), g.functions.limit(0), g.entries.limit(0), calls=g.calls)
+    return known.triples().select("s", "p", "o")
+
+
+@query("SELECT count(*) AS calls, (SELECT count(*) FROM classes) AS classes FROM (SELECT DISTINCT caller, callee FROM calls)", "calls", "classes")
+def call_and_class_counts(spark, d):
+    return Graph(spark, d).more_facts.stats().select("calls", "classes")
+
+
+@query("SELECT DISTINCT caller || '-calls-' || callee AS id FROM calls WHERE line <> 0", "calls")
+def call_nodes(spark, d):
+    return graph.nodes_of_type(Graph(spark, d).more_facts, "call")
+
+
+@query("SELECT id FROM classes", "classes")
+def class_nodes(spark, d):
+    return graph.nodes_of_type(Graph(spark, d).more_facts, "class").select(F.regexp_replace("id", "^urn:code:", "").alias("id"))
+
+
+@query('SELECT DISTINCT src AS s, dst AS o FROM "references"', "references")
+def reference_triples(spark, d):
+    return Graph(spark, d).more_facts.triples(p=_REFERENCES).select("s", "o")
+
+
+@query("SELECT path AS s, strftime(modified, '%Y-%m-%dT%H:%M:%S.000Z') AS o FROM timed_files", "timed_files")
+def modified_triples(spark, d):
+    return Graph(spark, d).more_facts.triples(p=_MODIFIED).select("s", "o")
+
+
+@query(
+    """SELECT id, loc, complexity FROM (SELECT file || '#' || name AS id, CASE WHEN loc <> 0 THEN CAST(loc AS VARCHAR) END AS loc,
+              CASE WHEN complexity <> 0 THEN CAST(complexity AS VARCHAR) END AS complexity FROM measured_functions) WHERE loc IS NOT NULL OR complexity IS NOT NULL""",
+    "measured_functions",
+)
+def function_measures(spark, d):
+    known = Graph(spark, d).more_facts
+    rows = known.triples(p=_COMPLEXITY).unionByName(known.triples(p=_LOC).filter(F.col("s").contains("#")))
+    wide = graph.metadata(rows).groupBy("node").pivot("property", ["loc", "complexity"]).agg(F.first("value"))
+    return wide.select(F.regexp_replace("node", "^urn:code:", "").alias("id"), "loc", "complexity")
+
+
+@query("SELECT DISTINCT src || '#export:' || name AS export_id FROM exports", "exports")
+def export_ids(spark, d):
+    return graph.export_nodes(Graph(spark, d).exports).select("export_id")
+
+
+@query("SELECT DISTINCT src || '-imports-' || dst AS id FROM imports", "imports")
+def import_nodes(spark, d):
+    return graph.nodes_of_type(Graph(spark, d).facts, "import")
 
 
 # Entry points, reachability, dead code
@@ -301,6 +373,31 @@ def entry_auto(spark, d):
     return deadcode.likely_entries(g.files, g.sparse, g.exports, looks=F.col("size") % 2 == 0)
 
 
+@query(
+    f"""SELECT 'configured' AS rule, id FROM (SELECT id FROM entries WHERE id IN (SELECT path FROM files) UNION {_AUTO}
+                                             UNION SELECT path FROM files WHERE path LIKE 'nation:1%')
+        UNION ALL SELECT 'manifest', id FROM entries WHERE id IN (SELECT path FROM files)
+        UNION ALL SELECT 'likely', id FROM ({_AUTO}) UNION ALL SELECT 'all', path FROM files""",
+    "files", "sparse_edges", "exports", "entries",
+)
+def entry_pipeline(spark, d):
+    g = Graph(spark, d)
+    looks = F.col("size") % 2 == 0
+    nobody = g.entries.limit(0)
+    every = g.files.select(F.col("path").alias("src"))
+    rules = {
+        "configured": deadcode.entry_points(g.files, g.sparse, g.exports, configured=g.entries, patterns=["nation:1.*"], inferred=nobody, looks=looks),
+        "manifest": deadcode.entry_points(g.files, g.sparse, g.exports, inferred=g.entries, looks=looks),
+        "likely": deadcode.entry_points(g.files, g.sparse, g.exports, inferred=nobody, looks=looks),
+        "all": deadcode.entry_points(g.files, g.sparse, every, inferred=nobody, looks=F.lit(False)),
+    }
+    found = None
+    for name, ids in rules.items():
+        rows = ids.select(F.lit(name).alias("rule"), "id")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query("SELECT path FROM files WHERE path NOT IN (SELECT dst FROM sparse_edges)", "files", "sparse_edges")
 def no_incoming(spark, d):
     g = Graph(spark, d)
@@ -414,19 +511,8 @@ def similar_names(spark, d):
     return duplicates.similar_names(Graph(spark, d).table("part").select(F.col("p_name").alias("name")))
 
 
-@query(
-    f"""SELECT a, b, 'x' || CAST(p_partkey AS VARCHAR) AS name FROM ({_SIMILAR}) s JOIN part p ON p.p_name IN (s.a, s.b) WHERE p.p_partkey % 50 = 0"""
-)
-def similar_occurrences(spark, d):
-    part = Graph(spark, d).table("part")
-    pairs = duplicates.similar_names(part.select(F.col("p_name").alias("name")))
-    rows = part.filter("p_partkey % 50 = 0").select(F.col("p_name").alias("name"), F.concat(F.lit("x"), "p_partkey").alias("file"), F.lit(0).alias("line"))
-    found = duplicates.similar_occurrences(rows, pairs, ignore_common=False)
-    return found.select("a", "b", F.regexp_replace("location", r":\?$", "").alias("name"))
-
-
 @query(f"""SELECT a, b, 'x' || CAST(p_partkey AS VARCHAR) AS name FROM ({_SIMILAR}) s JOIN part p ON p.p_name IN (s.a, s.b)""")
-def similar_occurrences_all(spark, d):
+def similar_occurrences(spark, d):
     part = Graph(spark, d).table("part")
     pairs = duplicates.similar_names(part.select(F.col("p_name").alias("name")))
     rows = part.select(F.col("p_name").alias("name"), F.concat(F.lit("x"), "p_partkey").alias("file"), F.lit(0).alias("line"))
@@ -608,3 +694,141 @@ def node_id(spark, d):
 )
 def scan_ext_filter(spark, d):
     return Graph(spark, d).table("pages").select(F.col("url").alias("path"), X.extension("url").alias("ext"), X.is_source("url").alias("supported"))
+
+
+# Scalar functions
+
+
+@query(
+    r"""SELECT x, coalesce(TRY_CAST(regexp_extract(x, '^\s*([+-]?[0-9]+)', 1) AS INTEGER), 0) AS n, x = 'true' AS truth
+        FROM (SELECT DISTINCT CAST(o_totalprice AS VARCHAR) AS x FROM orders UNION SELECT DISTINCT o_orderpriority FROM orders UNION SELECT 'true' UNION SELECT ' -7px' UNION SELECT '')"""
+)
+def number_and_truth(spark, d):
+    g = Graph(spark, d)
+    xs = g.table("orders").select(F.col("o_totalprice").cast("string").alias("x")).union(g.table("orders").select("o_orderpriority"))
+    xs = xs.union(spark.createDataFrame([("true",), (" -7px",), ("",)], "x string")).distinct()
+    return xs.select("x", X.int_or_zero("x").alias("n"), X.truthy("x").alias("truth"))
+
+
+@query("SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S.000Z') AS at FROM orders")
+def iso_times(spark, d):
+    return Graph(spark, d).table("orders").select("o_orderkey", X.iso_time(F.col("o_orderdate").cast("timestamp")).alias("at"))
+
+
+@query("SELECT bare, CASE category WHEN 'cross-class' THEN '\U0001f504' WHEN 'cross-file' THEN '\U0001f4c1' ELSE '\u26a0\ufe0f' END AS mark FROM groups", "groups")
+def category_marks(spark, d):
+    return Graph(spark, d).groups.select("bare", X.category_mark("category").alias("mark"))
+
+
+@query("SELECT p_partkey, printf('%.1f', (p_size + 0.01::DOUBLE) / 4) AS one, printf('%.2f', floor(p_partkey / 8 * 100 + 0.5) / 100) AS two FROM part")
+def fixed_points(spark, d):
+    part = Graph(spark, d).table("part")
+    return part.select("p_partkey", X.fixed_point((F.col("p_size") + F.lit(0.01)) / 4, 1).alias("one"), X.fixed_point(F.col("p_partkey") / 8, 2).alias("two"))
+
+
+@query(
+    """SELECT id, name || CASE WHEN is_async AND is_static THEN ' [async, static]' WHEN is_async THEN ' [async]' WHEN is_static THEN ' [static]' ELSE '' END AS shown
+       FROM (SELECT file || '#' || name AS id, * FROM functions)""",
+    "functions",
+)
+def qualified_names(spark, d):
+    rows = Graph(spark, d).functions
+    return rows.select(F.concat("file", F.lit("#"), "name").alias("id"), F.concat("name", X.qualifiers(F.col("is_async"), F.col("is_static"))).alias("shown"))
+
+
+@query(
+    """SELECT url, CASE WHEN starts_with(url, 'https://www.') THEN '.' || substr(url, 13) ELSE url END AS shown, regexp_extract(url, '[^/]*$') AS label FROM pages"""
+)
+def shown_paths(spark, d):
+    pages = Graph(spark, d).table("pages")
+    return pages.select("url", X.display_path("url", "https://www.").alias("shown"), X.last_segment("url").alias("label"))
+
+
+_LOOKS = r"""(/bin/|/scripts?/|server\.js$|main\.js$|app\.js$|index\.js$|\.config\.(js|mjs|cjs|ts)$|(?i:/(tests?|specs?|__tests__|__specs__)/)|\.(test|spec)\.(js|mjs|cjs|ts)$)"""
+_PATHS = """SELECT path || rest AS path FROM (SELECT DISTINCT '/' || replace(p_type, ' ', '/') AS path FROM part),
+  (SELECT unnest(['/bin/a.js', '/script/a.js', '/scripting/a.js', '/my-server.js', '/main.jsx', '/index.js', '/x.config.mjs', '/TESTS/a.js', '/a.spec.ts', '/a.spec.js.txt', '/custom.task.js']) AS rest)"""
+
+
+@query(f"SELECT path, regexp_matches(path, '{_LOOKS}') AS likely, regexp_matches(path, '{_LOOKS}') OR regexp_matches(path, '[.]task[.]js$') AS with_custom FROM ({_PATHS})")
+def likely_entry(spark, d):
+    rests = ["/bin/a.js", "/script/a.js", "/scripting/a.js", "/my-server.js", "/main.jsx", "/index.js", "/x.config.mjs", "/TESTS/a.js", "/a.spec.ts", "/a.spec.js.txt", "/custom.task.js"]
+    folders = Graph(spark, d).table("part").select(F.concat(F.lit("/"), F.replace("p_type", F.lit(" "), F.lit("/"))).alias("path")).distinct()
+    paths = folders.select("path", F.explode(F.array(*map(F.lit, rests))).alias("rest")).select(F.concat("path", "rest").alias("path"))
+    return paths.select("path", X.looks_like_entry("path").alias("likely"), X.looks_like_entry("path", ("[.]task[.]js$",)).alias("with_custom"))
+
+
+@query("SELECT count(*) AS named FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN '' ELSE p_name END AS name FROM part) WHERE name IS NOT NULL AND name <> ''")
+def unnamed_functions(spark, d):
+    name = F.when(F.col("p_partkey") % 3 == 2, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, "")
+    rows = Graph(spark, d).table("part").select(name.alias("name"))
+    return duplicates.named_functions(rows, ignore_common=False).agg(F.count("*").alias("named"))
+
+
+@query("SELECT (SELECT count(*) FROM groups WHERE category = 'cross-class') AS cross_class, (SELECT count(*) FROM groups WHERE category = 'cross-file') AS cross_file", "groups")
+def cross_counts(spark, d):
+    return Graph(spark, d).dup_stats.select("cross_class", "cross_file")
+
+
+@query(f"SELECT count(*) AS similar_groups FROM ({_SIMILAR})")
+def similar_groups(spark, d):
+    return duplicates.similar_stats(duplicates.similar_names(Graph(spark, d).table("part").select(F.col("p_name").alias("name"))))
+
+
+@query("SELECT count(*) / (SELECT count(*) FROM nodes) AS per_file FROM functions", "functions", "nodes")
+def functions_per_file_average(spark, d):
+    g = Graph(spark, d)
+    return duplicates.function_stats(g.functions, g.nodes).select("per_file")
+
+
+@query("SELECT min(c_acctbal) AS min_x, max(c_acctbal) AS max_x, min(c_custkey) AS min_y, max(c_custkey) AS max_y FROM customer")
+def drawing_bounds(spark, d):
+    return visual.bounds(Graph(spark, d).table("customer").select(F.col("c_acctbal").alias("x"), F.col("c_custkey").alias("y")))
+
+
+@query('SELECT src AS source, dst AS target, src AS "from", dst AS "to", \'imports\' AS type FROM edges', "edges")
+def drawn_edges(spark, d):
+    links = Graph(spark, d).distinct_edges.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.lit("imports").alias("type"))
+    return visual.visual_edges(links)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS total_files, CAST(0 AS BIGINT) AS reachable_files, CAST(0 AS BIGINT) AS dead_files, CAST(0 AS BIGINT) AS reachability, CAST(NULL AS BIGINT) AS unused_exports")
+def no_entry_points(spark, d):
+    g = Graph(spark, d)
+    return deadcode.dead_code(g.nodes, g.edges, g.export_nodes, g.entries.limit(0), g.externals).stats
+
+
+_CHAIN = "SELECT concat('customer:', c_custkey) AS src, concat('customer:', c_custkey // 2) AS dst FROM customer WHERE c_custkey > 1"
+
+
+@query(
+    f"""WITH RECURSIVE way AS (SELECT max(c_custkey) AS k, 1 AS step FROM customer UNION ALL SELECT k // 2, step + 1 FROM way WHERE k > 1)
+        SELECT CAST(step AS BIGINT) AS step, concat('customer:', k) AS id FROM way"""
+)
+def shortest_path(spark, d):
+    customers = Graph(spark, d).table("customer")
+    half = F.expr("c_custkey div 2")
+    links = customers.filter("c_custkey > 1").select(F.concat(F.lit("customer:"), "c_custkey").alias("src"), F.concat(F.lit("customer:"), half).alias("dst"), F.col("c_custkey").cast("long").alias("first_seq"))
+    last = customers.agg(F.max("c_custkey")).first()[0]
+    path = reach.shortest_path(links, ["nobody", f"customer:{last}"], "customer:1") or []
+    return spark.createDataFrame([(k, x) for k, x in enumerate(path, 1)], "step long, id string")
+
+
+@query(
+    """WITH RECURSIVE k AS (SELECT CAST(max(n_nationkey) AS BIGINT) AS most FROM nation),
+         walk AS (SELECT CAST(1 AS BIGINT) AS n, '1' AS way FROM k UNION ALL SELECT c, way || '.' || lpad(CAST(c AS VARCHAR), 4, '0')
+                  FROM (SELECT unnest([2 * n, 2 * n + 1]) AS c, way, most FROM walk, k) WHERE c <= most)
+       SELECT row_number() OVER (ORDER BY way) - 1 AS position, 'nation:' || n AS id FROM walk"""
+)
+def preorder(spark, d):
+    nations = Graph(spark, d).table("nation").filter("n_nationkey > 1")
+    parent = F.expr("n_nationkey div 2")
+    links = nations.select(F.concat(F.lit("nation:"), parent).alias("src"), F.concat(F.lit("nation:"), "n_nationkey").alias("dst"), F.col("n_nationkey").cast("long").alias("first_seq"))
+    return reach.preorder(links, "nation:1")
+
+
+@query("SELECT path, path NOT IN (SELECT id FROM reached) AS dead FROM nodes WHERE path IN ('region:0', 'orders:1', 'part:97')", "nodes", "reached")
+def file_is_dead(spark, d):
+    g = Graph(spark, d)
+    found = deadcode.dead_code(g.nodes, g.edges, g.export_nodes, g.entries, g.externals)
+    known = [r.path for r in g.nodes.filter(F.col("path").isin("region:0", "orders:1", "part:97")).collect()]
+    return spark.createDataFrame([(p, deadcode.is_dead(found, p)) for p in known], "path string, dead boolean")

@@ -67,8 +67,24 @@ WHERE nth = 1
 
 ENTRIES = "SELECT concat('orders:', o_orderkey) AS id FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 50 = 0"
 
+CALLS = """
+SELECT concat('customer:', c_custkey) AS caller, concat('nation:', c_nationkey) AS callee, CAST(c_custkey % 3 AS INT) AS line FROM {customer}
+UNION ALL SELECT concat('customer:', c_custkey), concat('nation:', c_nationkey), CAST(7 AS INT) FROM {customer} WHERE c_custkey % 10 = 0
+"""
+
+CLASSES = "SELECT DISTINCT concat(p_type, '#', p_brand) AS id, p_brand AS name, CAST(0 AS INT) AS loc FROM {part} WHERE p_size % 2 = 0"
+
+REFERENCES = "SELECT concat('supplier:', s_suppkey) AS src, concat('nation:', s_nationkey) AS dst FROM {supplier}"
+
+TIMED_FILES = """
+SELECT concat('orders:', o_orderkey) AS path, CAST(floor(o_totalprice) AS BIGINT) AS size, CAST(o_orderkey % 120 AS INT) AS loc, false AS parse_error,
+       CAST(o_orderdate AS TIMESTAMP) AS modified FROM {orders}
+"""
+
 RELATIONS = {
     "files": FILES, "imports": IMPORTS, "sparse_imports": SPARSE_IMPORTS, "exports": EXPORTS, "functions": FUNCTIONS, "entries": ENTRIES,
+    "calls": CALLS, "classes": CLASSES, "references": REFERENCES, "timed_files": TIMED_FILES,
+    "measured_functions": f"SELECT *, CAST(line % 7 AS INT) AS loc, CAST(params AS INT) AS complexity FROM ({FUNCTIONS}) AS named_functions",
 }
 TABLES = "region nation customer supplier part orders lineitem".split()
 
@@ -138,5 +154,5 @@ def oracle(select: str, *names: str) -> str:
 
     for name in names:
         need(name)
-    parts = [f"{n} AS ({DERIVED[n] if n in DERIVED else duck(n)})" for n in order]
+    parts = [f'"{n}" AS (' + f"{DERIVED[n] if n in DERIVED else duck(n)})" for n in order]
     return f"WITH RECURSIVE {', '.join(parts)} {select}"

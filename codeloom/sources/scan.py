@@ -215,6 +215,24 @@ def parse_files(files: DataFrame, dynamic_imports: bool = False) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, spark_schema)
 
 
+def parse_cached(files: DataFrame, cache: str, dynamic_imports: bool = False) -> DataFrame:
+    """What ``parse_files`` returns, with each content parsed once: what was parsed before is found in the folder ``cache`` by the
+    content's digest, and what was not is parsed and added to it. Files of equal content share one entry."""
+    spark = files.sparkSession
+    schema = spark.createDataFrame([], PARSED.replace("path string", "digest string")).schema
+    keyed = files.select("path", "content", F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        known = spark.read.schema(schema).parquet(cache)
+        fresh = keyed.join(known.select("digest"), "digest", "left_anti")
+    else:
+        fresh = keyed
+    contents = fresh.groupBy("digest").agg(F.first("content").alias("content"))
+    parsed = parse_files(contents.withColumnRenamed("digest", "path"), dynamic_imports).withColumnRenamed("path", "digest")
+    parsed.write.mode("append").parquet(cache)
+    return keyed.select("path", "digest").join(spark.read.schema(schema).parquet(cache), "digest").drop("digest")
+
+
 def relations(files: DataFrame, parsed: DataFrame) -> dict[str, DataFrame]:
     """Relations of the code graph: files, imports, exports, functions, calls."""
     at = (F.col("scan_seq") * 1_000_000 + F.col("n")).alias("seq")
@@ -223,7 +241,8 @@ def relations(files: DataFrame, parsed: DataFrame) -> dict[str, DataFrame]:
     def rows(column: str) -> DataFrame:
         return placed.select("path", "scan_seq", F.posexplode(column).alias("n", "r")).select("path", at, "r.*")
 
-    own = files.select("path", "size", X.lines_of_code("content").alias("loc"), "scan_seq")
+    dated = ["modified"] if "modified" in files.columns else []
+    own = files.select("path", "size", X.lines_of_code("content").alias("loc"), "scan_seq", *dated)
     file_rows = own.join(parsed.select("path", F.col("error").isNotNull().alias("parse_error"), F.col("error").alias("parse_error_message")), "path")
     source = F.col("source")
     imports = rows("imports").filter("source IS NOT NULL AND source <> ''")

@@ -5,6 +5,7 @@ import pytest
 
 from codeloom.functions import exprs as X
 from codeloom.operators import reach
+from codeloom.plans import replies
 from codeloom.plans.analyze import Analysis
 from codeloom.sources.config import Config, manifest_entries, merge, DEFAULTS
 from codeloom.sources.scan import Ignore, list_directories, scan, scan_matching, scan_stats
@@ -102,10 +103,10 @@ def test_duplicates(analysis):
 
 
 def test_sinks_and_reports(analysis, spark, tmp_path):
-    text = analysis.report(entry="src/index.js")
-    assert "## Dead Code Analysis" in text and "`./src/dead.js`" in text and "## Critical Path Analysis" in text
-    assert "Dead Code Analysis Report" in analysis.dead_code_report()
-    assert json.loads(analysis.duplicates_report("json"))["duplicates"][0]["name"] == "load"
+    text = replies.report(analysis, entry="src/index.js")
+    assert "## Reachability" in text and "`./src/dead.js`" in text and "## Way from the entry point" in text
+    assert "- ./src/dead.js" in replies.dead_code(analysis, "text") and "## Unused exports" in replies.dead_code(analysis, "text")
+    assert json.loads(replies.duplicates_json(analysis))["duplicates"][0]["name"] == "load"
     analysis.write("ntriples", str(tmp_path / "nt"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "nt")).collect()]
     assert len(lines) == analysis.stats["total_triples"] and all(x.endswith(" .") for x in lines)

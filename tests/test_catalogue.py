@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from codeloom.plans import catalogue
+from codeloom.plans import catalogue, source_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,7 +36,7 @@ def test_query(spark, duck, name):
 
 def test_similar_occurrences_of_all_rows(spark, duck):
     """Every row of a name with a similar one is told, whatever its key."""
-    found = {r.name for r in catalogue.QUERIES["similar_occurrences_all"](spark, SF).select("name").distinct().collect()}
+    found = {r.name for r in catalogue.QUERIES["similar_occurrences"](spark, SF).select("name").distinct().collect()}
     told = duck.sql(f"SELECT DISTINCT 'x' || p_partkey FROM part WHERE p_name IN (SELECT unnest([a, b]) FROM ({catalogue._SIMILAR}))").fetchall()
     assert found == {name for (name,) in told}
 
@@ -44,6 +44,6 @@ def test_similar_occurrences_of_all_rows(spark, duck):
 def test_exports_of_all_nodes_and_triples(spark):
     """As many rows as nodes and triples, none left out by prefix or predicate."""
     g = catalogue.Graph(spark, SF)
-    assert catalogue.QUERIES["json_nodes_all"](spark, SF).count() == g.nodes.count()
-    assert catalogue.QUERIES["ntriples_all"](spark, SF).count() == g.triples.count()
-    assert catalogue.QUERIES["metadata_all"](spark, SF).select("node").distinct().count() == g.triples.select("s").distinct().count()
+    assert catalogue.QUERIES["json_nodes"](spark, SF).count() == g.nodes.count()
+    assert catalogue.QUERIES["ntriples"](spark, SF).count() == g.facts.triples().count()
+    assert catalogue.QUERIES["metadata_all"](spark, SF).select("node").distinct().count() == g.facts.triples().select("s").distinct().count()

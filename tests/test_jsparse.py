@@ -29,7 +29,7 @@ def test_exports():
         ("named", [], None), ("named", [], None), ("named", [], None), ("default", ["default"], None), ("named", ["y", "f"], None),
         ("all", None, None), ("named", ["q"], None), ("named", ["ns"], None), ("commonjs", None, None), ("commonjs", None, "z"), ("commonjs", None, None),
     ]
-    assert [(i["type"], i["source"]) for i in p.imports] == [("export-all", "./all"), ("export-from", "./q"), ("export-from", "./ns")]
+    assert [(i["type"], i["source"]) for i in p.imports] == [("import", "./all"), ("import", "./q"), ("import", "./ns")]
 
 
 def test_functions_and_methods():
