@@ -14,8 +14,6 @@ not told to the index. Windows of equal shingles are one entry, however many doc
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +22,7 @@ from codeloom.llm.common import Scratch, hash_filter, keep_rows, materialize, pa
 BITS = 64
 LANE = 127  # what a counter may reach
 #: Up to so many distinct shingles of items, and rows of their index, are broadcast; beyond, joins are shuffled and hot keys salted.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def words(text: str) -> Column:
@@ -78,7 +76,8 @@ def _block(fp: Column, first: int, end: int) -> Column:
 
 def _flips(width: int, most: int) -> Column:
     """All values of ``width`` bits with at most ``most`` of them set."""
-    return F.array(*[F.lit(sum(1 << p for p in chosen)).cast("long") for k in range(most + 1) for chosen in combinations(range(width), k)])
+    every = F.sequence(F.lit(0).cast("long"), F.lit((1 << width) - 1).cast("long"))
+    return F.filter(every, lambda x: F.bit_count(x) <= most)
 
 
 def block_index(items: DataFrame, radius: int, blocks: int) -> DataFrame:
