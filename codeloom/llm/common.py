@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from codeloom.tables import Scratch, discard, shared_path
+from codeloom.tables import Scratch, discard, rows_of, shared_path
 from codeloom.tables import written as materialize
 
-__all__ = ["Scratch", "discard", "hash_filter", "keep_rows", "materialize", "passes", "running_total", "shared_path", "skew_join", "with_filter"]
+__all__ = ["Scratch", "discard", "hash_filter", "keep_rows", "materialize", "passes", "rows_of", "running_total", "shared_path", "skew_join", "with_filter"]
 
 #: A key is hot when it holds more than one in HOT_SHARE of all rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, hash_filter, materialize, passes, skew_join, with_filter
+from codeloom.llm.common import Scratch, hash_filter, materialize, passes, rows_of, skew_join, with_filter
 from codeloom.llm.components import components
 from codeloom.llm.simhash import SEED, majority_bits, met_in_balls, named_texts, remixed, row_name, shingle_hashes, variant_members
 
@@ -97,7 +97,7 @@ def _meetings(nodes: DataFrame, bits: int, tables: int, distance: int, scratch:
     own = F.when(F.col("nodes") > 1, F.array("fp")).otherwise(none)
     keyed = values.join(keys, "fp", "left").select("fp", "nodes", F.array_union(F.coalesce("keys", none), own).alias("keys"))
     keyed = scratch.write(keyed.filter(F.size("keys") > 0), "keys")
-    met = skew_join(each, keyed, "fp", "nodes", each.count(), F.col("node"))
+    met = skew_join(each, keyed, "fp", "nodes", tables * rows_of(nodes), F.col("node"))
     return met.select(F.explode("keys").alias("key"), "node", "n")
 
 
@@ -116,7 +116,7 @@ def prefix_rows(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFra
     """
     each = sets.select("node", "n", F.size("set").alias("size"), F.explode("set").alias("shingle"))
     found = scratch.write(each.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"), "shingles")
-    ranked = skew_join(each, found, "shingle", "df", each.count(), F.col("node"))
+    ranked = skew_join(each, found, "shingle", "df", sets.agg(F.sum(F.size("set"))).first()[0] or 0, F.col("node"))
     shared = ranked.groupBy("node").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
     size, own = F.col("size"), F.size("shared")
     grade = lambda x: F.floor(F.log(x.cast("double")) / math.log(RATIO) + SLACK).cast("int")
@@ -137,14 +137,14 @@ def _pruned(lists: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     lists = scratch.write(lists, "all_lists")
     here, there = F.min(F.when(~F.col("side"), F.col("size"))), F.min(F.when(F.col("side"), F.col("size")))
     keys = lists.groupBy("key").agg(F.count("*").alias("m"), here.alias("here"), there.alias("there")).filter("m > 1")
-    joined = skew_join(lists, scratch.write(keys, "list_sizes"), "key", "m", lists.count(), F.col("node"))
+    joined = skew_join(lists, scratch.write(keys, "list_sizes"), "key", "m", rows_of(lists), F.col("node"))
     smallest = F.when(F.col("cross") & ~F.col("side"), F.col("there")).otherwise(F.col("here"))
     return joined.filter(F.col("left") >= _needed(similarity, F.col("size"), smallest)).drop("m", "here", "there")
 
 
 def _attached(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """pairs with the value of both ends, as value_a and value_b; ends of many pairs are salted."""
-    total, met = pairs.count(), pairs
+    total, met = rows_of(pairs), pairs
     for end, other in ("ab", "ba"):
         counts = pairs.groupBy(end).agg(F.count("*").alias(f"n_{end}"))
         side = counts.join(table.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}")), end)
@@ -167,7 +167,7 @@ def _first_pairs(met: DataFrame, scratch: Scratch) -> DataFrame:
     """At most one pair a node: with that leader of its keys (most rows, then least) which it shares most keys with."""
     order = F.struct("n", F.bitwise_not("node"))
     leaders = met.groupBy("key").agg(F.max_by(F.struct("node", "n"), order).alias("leader"), F.first("m").alias("m"))
-    led = skew_join(met.drop("n", "m"), scratch.write(leaders, "leaders"), "key", "m", met.count(), F.col("node")).filter("node <> leader.node")
+    led = skew_join(met.drop("n", "m"), scratch.write(leaders, "leaders"), "key", "m", rows_of(met), F.col("node")).filter("node <> leader.node")
     votes = led.groupBy("node", "leader").agg(F.count("*").alias("shared"))
     best = votes.groupBy("node").agg(F.max_by("leader.node", F.struct("shared", "leader.n", "leader.node")).alias("leader"))
     return _pairs(best, "node", "leader")
@@ -217,7 +217,7 @@ def _open(met: DataFrame, rooted: DataFrame, scratch: Scratch) -> tuple[DataFram
     pairs = F.when(F.first("cross"), total(x) * total(y) - total(x * y)).otherwise((total(x) * total(x) - total(x * x)) / 2)
     keys = each.groupBy("key").agg(pairs.alias("pairs"), F.sum(x + y).alias("m"), F.max_by("root", F.struct(x + y, "root")).alias("main"))
     keys = scratch.write(keys.filter("pairs > 0"), "open_keys")
-    opened = skew_join(met, keys.drop("pairs"), "key", "m", met.count(), F.col("node"))
+    opened = skew_join(met, keys.drop("pairs"), "key", "m", rows_of(met), F.col("node"))
     return scratch.write(opened, "opened"), int(keys.agg(F.sum("pairs")).first()[0] or 0)
 
 
@@ -233,7 +233,7 @@ def similar_links(
 ) -> DataFrame:
     """Verified links that connect the nodes as all pairs that meet (key, node, n) and have the similarity would."""
     counts = scratch.write(met.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key_sizes")
-    met = scratch.write(skew_join(met, counts, "key", "m", met.count(), F.col("node")), "met_of_keys")
+    met = scratch.write(skew_join(met, counts, "key", "m", rows_of(met), F.col("node")), "met_of_keys")
     places = nodes.filter("set IS NULL").select("node", F.col("least.row").alias("row"))
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
@@ -255,7 +255,7 @@ def similar_links(
     sets = sets.unionByName(scratch.write(sets_of(docs, scratch.write(places.join(more, "node"), "more"), shingle), "more_sets"))
     links = links.unionByName(scratch.write(verified(near, sets, similarity), "few_links"))
     tried = tried.unionByName(fresh)
-    number = members.count()
+    number = rows_of(members)
     lists = _pruned(prefix_rows(members.join(sets, "node"), similarity, scratch), similarity, scratch)
     lists = scratch.write(lists, "lists")
     turn, before = 0, math.inf
@@ -277,7 +277,7 @@ def similar_links(
             leader = F.struct("node", "root", "side", "cross", "size", "left")
             leaders = opened.groupBy("key").agg(F.max_by(leader, order).alias("b"), F.count("*").alias("m"))
             rows = opened.select("key", F.struct("node", "n", "root", "side", "cross", "size", "left", "central").alias("a"))
-            led = skew_join(rows, scratch.write(leaders, "leaders"), "key", "m", opened.count(), F.col("a.node"))
+            led = skew_join(rows, scratch.write(leaders, "leaders"), "key", "m", rows_of(opened), F.col("a.node"))
             led = scratch.write(led.filter("a.node <> b.node"), "led")
             lists = led.select("key", "a.node", "a.n", "a.side", "a.cross", "a.size", "a.left", "a.central")
             fresh = led.filter(_comparable(similarity, "a", "b")).select(F.col("a.node").alias("node"), F.col("b.node").alias("other"))
@@ -296,7 +296,8 @@ def keep_one_of_group(
     Texts are linked whose sets of word shingles have at least this Jaccard similarity; links reach on
     from text to text. Linked texts are found where ``bits`` of their fingerprints differ in at most
     ``distance`` in any of ``tables`` tables: by chance 96 of 100 pairs at a similarity of 0.8, 99.6 at 0.85. Sets of
-    up to SMALL shingles and those near them are found by shared shingles as well, without exception. Strangers meet by chance as well, in number with the square of the distinct texts: 30 bits suit some ten
+    up to SMALL shingles and those near them are found by shared shingles as well, without exception. Strangers
+    meet by chance, in number with the square of the distinct texts: 30 bits suit some ten
     million of them; larger corpora take more bits and more tables.
 
     - Null, empty and blank texts have no shingles; they are copies of each other and of nothing else.

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from codeloom.llm.components import components
+from codeloom.llm import components as components_module
+from codeloom.llm.components import components, joined
 from codeloom.llm.simhash import bit_counts, fingerprint, near_links, simhash_groups
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -91,7 +92,31 @@ def test_empty_table(spark):
     assert simhash_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_long_path_is_one_component(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 0])
+def test_long_path_is_one_component(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components_module, "ONE_TASK", one_task)
     links = [(i, i + 1) for i in range(0, 200)] + [(1000, 1001)] + [(500, 500 + k) for k in range(1, 60)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert all(roots[i] == 0 for i in range(201)) and roots[1001] == roots[1000] == 1000 and roots[559] == 500
+
+
+def test_joining_in_one_task_against_a_search():
+    rng = np.random.default_rng(5)
+    for nodes, links in ((50, 20), (50, 45), (400, 380), (1000, 3000)):
+        a, b = rng.integers(-nodes, nodes, (2, links))
+        near = {}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            near.setdefault(x, set()).add(y)
+            near.setdefault(y, set()).add(x)
+        least = {}
+        for start in sorted(near):
+            todo = [start] if start not in least else []
+            while todo:
+                x = todo.pop()
+                if x not in least:
+                    least[x] = start
+                    todo += near[x]
+        assert dict(zip(*(x.tolist() for x in joined(a, b)), strict=True)) == least
+    path = rng.permutation(20_000)
+    assert (joined(path[:-1], path[1:])[1] == 0).all()
