@@ -1,10 +1,10 @@
 """Exact dedup by a log-structured merge index of text digests, in DataFrame operations only.
 
-Memtables (hash ranges of the input rows, of a bounded size) are flushed as runs: one entry per run
-and digest, sorted by digest, written as Parquet with a Bloom filter on the digest. Compaction
+Rows fill memtables of a bounded size as they arrive: a memtable is a stretch of the input's order. Each is flushed as a run:
+one entry for each digest, sorted by digest. Compaction
 merges the runs of a level by a fan-in until one level is left and keeps, per digest, the entry
-of the best row. Digests of more than one row are hits: their texts pass a filter of fixed size
-(a bitmap over the hits) and are compared byte for byte; a digest whose texts differ is
+of the best row. Digests of more than one row are hits. The index's filter is a bitmap of fixed size over the hits, which
+every text's digest probes: texts that pass are compared byte for byte; a digest whose texts differ is
 regrouped by the text itself.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import FILTERS, hash_filter, materialize, passes, shared_path, skew_join, with_filter
+from codeloom.llm.common import FILTERS, discard, hash_filter, materialize, passes, skew_join, with_filter
 
 #: The characters that normalisation deletes: space and U+0009 to U+000D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -38,24 +38,26 @@ class MergeIndex:
         self.memtable_rows, self.fan_in, self.filters, self.digest = memtable_rows, fan_in, filters, digest
 
     def rows(self, docs: DataFrame) -> DataFrame:
-        """doc_id, norm, digest, and ``best``: an ordering key that is least for the row to stay."""
+        """doc_id, norm, digest, ``best``: an ordering key that is least for the row to stay, and ``arrival``: place in the input."""
         points = F.length(F.coalesce("text", F.lit(""))).cast("long")
         best = F.struct((-points).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"))
-        keyed = docs.select("doc_id", normalised("text").alias("norm"), best.alias("best"))
+        keyed = docs.select("doc_id", normalised("text").alias("norm"), best.alias("best"), F.monotonically_increasing_id().alias("arrival"))
         return keyed.withColumn("digest", self.digest(F.col("norm")))
 
-    def flush(self, rows: DataFrame, total: int) -> DataFrame:
-        """Runs: per memtable and digest one entry with its best row and count, sorted by digest."""
-        runs = max(1, -(-total // self.memtable_rows))
-        entries = (
-            rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(runs)).cast("long"))
+    def flush(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """Runs, numbered as they arrived: per memtable and digest one entry with its best row and count, sorted by digest;
+        and the number that follows the last run's."""
+        task, place = F.shiftright("arrival", 33), F.col("arrival").bitwiseAND((1 << 33) - 1)
+        memtable = F.floor(place / self.memtable_rows)
+        most, tasks = rows.agg(F.max(memtable), F.max(task)).first()
+        each = (most or 0) + 1
+        runs = (
+            rows.withColumn("run", task * each + memtable)
             .groupBy("run", "digest")
             .agg(F.min("best").alias("best"), F.count("*").alias("n"))
             .sortWithinPartitions("run", "digest")
         )
-        path = shared_path(rows.sparkSession, "runs")
-        entries.write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
-        return rows.sparkSession.read.schema(entries.schema).parquet(path)
+        return materialize(runs, "runs"), ((tasks or 0) + 1) * each
 
     def compact(self, runs: DataFrame, count: int) -> DataFrame:
         """Merge levels of runs by the fan-in until each digest has one entry."""
@@ -92,14 +94,16 @@ def exact_dedup(docs: DataFrame, index: MergeIndex | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = materialize(index.rows(docs).drop("norm"), "digests")
     total = rows.count()
-    merged = materialize(index.compact(index.flush(rows, total), -(-total // index.memtable_rows)), "index")
+    runs, count = index.flush(rows)
+    merged = materialize(index.compact(runs, count), "index")
+    discard(runs)
 
     hits = index.maybe_hits(docs, merged)
     compared = hits.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
     clashes = materialize(compared.filter("least <> most").select("digest"), "clashes")
 
     spread = F.xxhash64("doc_id", "best")
-    out = skew_join(rows, merged.withColumnRenamed("best", "keep"), "digest", "n", total, spread)
+    out = skew_join(rows.drop("arrival"), merged.withColumnRenamed("best", "keep"), "digest", "n", total, spread)
     if not clashes.isEmpty():
         out = out.join(clashes, "digest", "left_anti").unionByName(_by_text(hits.join(clashes, "digest", "left_semi")))
     return out.select(
