@@ -4,7 +4,8 @@ Rows of equal texts form one group, which is a point with the group's bytes as i
 of the tree that stands for k shards is cut, along the dimension in which its points spread
 widest, where k // 2 of its k shares of bytes are reached (the median for even k). The cut is
 found by counting bytes in bins of the dimension and refining the bin in which it falls, so the
-driver sees sums of at most BINS bins a node and never a point.
+driver sees sums of at most BINS bins a node and never a point. A cut falls between two points and so misses the
+wanted bytes by up to half a point; a few single points change sides then to make up for it (TRIMS for each cut).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ OVERHEAD = 16  # bytes that a row counts besides its text
 DIGITS, STEPS = 10, 5  # bits of a coordinate that one refinement settles; refinements
 BINS = 1 << DIGITS
 POINTS_EACH = 100_000
+TRIMS = 3  # points that change sides of a cut at most
 TIE_BITS = 25  # low bits of a coordinate, which order points of equal dimension
 
 
@@ -86,6 +88,31 @@ def _cuts(points: DataFrame, wanted: dict[int, float]) -> dict[int, int]:
     return prefix
 
 
+def _trimmed(points: DataFrame, wanted: dict[int, float]) -> Column:
+    """Whether a point is on the lesser side of its node's cut (column lesser), after single points have changed sides.
+
+    Of the side that has too much, the point goes to the other side that brings both nearest to what is wanted.
+    """
+    moved: dict[str, bool] = {}
+    own = F.col("lesser")
+    side = lambda: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in moved.items() for x in kv]), F.col("group")), own) if moved else own
+    inside = points.filter(F.col("node").isin(list(wanted)))
+    for _ in range(TRIMS):
+        now = inside.withColumn("lesser", side())
+        sums = now.filter("lesser").groupBy("node").agg(F.sum("weight").alias("w")).collect()
+        excess = {node: -w for node, w in wanted.items()}
+        for r in sums:
+            excess[r.node] += r.w
+        over = _value({n: float(x) for n, x in excess.items()}, 0.0)
+        # A point moves where that brings the sides nearer: its weight is under twice the excess, and best the excess itself.
+        movable = now.filter((F.col("lesser") == (over > 0)) & (F.col("weight") < 2 * F.abs(over)))
+        best = movable.groupBy("node").agg(F.min_by(F.struct("group", "lesser"), F.struct(F.abs(F.abs(over) - F.col("weight")), "group")).alias("p")).collect()
+        if not best:
+            break
+        moved |= {r.p.group: not r.p.lesser for r in best}
+    return side()
+
+
 def kd_leaves(groups: DataFrame, shards: int) -> DataFrame:
     """group and shard: leaves of the tree over groups (columns group, weight, one_size, source, lang)."""
     dims = _dimensions()
@@ -127,8 +154,9 @@ def kd_leaves(groups: DataFrame, shards: int) -> DataFrame:
             left[node], right[node] = fresh, fresh + 1
             following |= {fresh: k // 2, fresh + 1: k - k // 2}
             fresh += 2
-        side = F.when(at < _value(cuts, 0), _value(left, -1)).otherwise(_value(right, -1))
-        rest = rest.withColumn("node", F.when(F.col("node").isin(list(open_)), side).otherwise(F.col("node")))
+        rest = rest.withColumn("lesser", at < _value(cuts, 0))
+        side = F.when(_trimmed(rest, wanted), _value(left, -1)).otherwise(_value(right, -1))
+        rest = rest.withColumn("node", F.when(F.col("node").isin(list(open_)), side).otherwise(F.col("node"))).drop("lesser")
         rest = materialize(rest, "kd_level")
         open_ = following
     done |= open_
