@@ -2,7 +2,7 @@
 
 Each language has a codeword of bits; for each bit a binary naive Bayes classifier over hashed
 byte bigrams and trigrams of letters tells the languages with a 1 from those with a 0. A text's margins are
-decoded to the codeword of least loss, each bit's loss weighted by how sure its classifier was on
+decoded to the codeword of least loss, each bit's loss weighted by how seldom its classifier was wrong on
 the training rows; a runner-up close behind makes the answer ambiguous.
 """
 
@@ -17,28 +17,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import discard, materialize
+
 BUCKETS = 1 << 14
 SPACE = 32
-TESTED = 20  # training rows of each language and task on which the bits' errors are counted
 PIECE = 1 << 20  # bytes of a text hashed at a time
 #: ASCII letters in lower case, bytes of other characters as they are, everything else a space.
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else SPACE for c in range(256)], np.uint8)
 
 
 def gram_counts(text: bytes) -> np.ndarray:
-    """Counts of hashed byte bigrams and trigrams of the folded text; runs of spaces count as one."""
+    """Counts of hashed byte bigrams and trigrams of the folded text; runs of spaces count as one, and the text stands between spaces.
+
+    Long texts are read in pieces; the last two bytes of one begin the next, and only grams that end in a new byte are counted.
+    """
     out = np.zeros(BUCKETS, np.int64)
+    tail = np.array([SPACE], np.uint32)
     for first in range(0, max(len(text), 1), PIECE):
-        raw = FOLD[np.frombuffer(text[max(0, first - 2) : first + PIECE], np.uint8)]
-        a = np.concatenate(([SPACE], raw, [SPACE])).astype(np.uint32)
+        raw = FOLD[np.frombuffer(text[first : first + PIECE], np.uint8)].astype(np.uint32)
+        end = [SPACE] if first + PIECE >= len(text) else []
+        a = np.concatenate((tail, raw, np.array(end, np.uint32)))
         a = a[np.concatenate(([True], (a[1:] != SPACE) | (a[:-1] != SPACE)))]
-        if len(a) < 3:
-            continue
         two = a[:-1] * np.uint32(0x9E3779B1) ^ a[1:] * np.uint32(0x85EBCA6B)
         three = two[:-1] ^ a[2:] * np.uint32(0xC2B2AE35)
-        for h in (two, three):
+        for h in (two[len(tail) - 1 :], three[max(len(tail), 2) - 2 :]):
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
             out += np.bincount(h >> np.uint32(18), minlength=BUCKETS)
+        tail = a[-2:]
     return out
 
 
@@ -71,8 +76,8 @@ class LanguageCoder:
     ambiguous_gap: float = 0.2
 
     @classmethod
-    def fit(cls, counts: dict[str, np.ndarray], rows: list[tuple[str, np.ndarray]], **options) -> LanguageCoder:
-        """counts: n-gram counts of each language; rows: training rows on which bits' errors are counted."""
+    def fit(cls, counts: dict[str, np.ndarray], **options) -> LanguageCoder:
+        """counts: n-gram counts of each language. All bits are trusted alike until ``trusting`` tells their errors."""
         languages = sorted(counts)
         code = codewords(len(languages))
         share = np.array([(counts[x] + 0.5) / (counts[x].sum() + 0.5 * BUCKETS) for x in languages]) if languages else np.zeros((0, BUCKETS))
@@ -81,14 +86,19 @@ class LanguageCoder:
             for b in range(code.shape[1]):
                 one, zero = code[:, b] > 0, code[:, b] < 0
                 weights[:, b] = np.log(share[one].mean(axis=0)) - np.log(share[zero].mean(axis=0))
-        made = cls(languages, code, weights.astype(np.float32), np.ones(code.shape[1]), **options)
-        if len(languages) > 1 and rows:
-            margins = made.margins(np.array([x for _, x in rows]))
-            signs = code[[languages.index(lang) for lang, _ in rows]]
-            wrong = ((margins * signs) <= 0).mean(axis=0).clip(0.005, 0.45)
-            made.trust = np.log((1 - wrong) / wrong)
-            made.trust /= made.trust.mean()
-        return made
+        return cls(languages, code, weights.astype(np.float32), np.ones(code.shape[1]), **options)
+
+    def errors(self, lang: str, counts: np.ndarray) -> np.ndarray:
+        """Per bit 1 where its classifier is wrong on a text of the language."""
+        return (self.margins(counts[None, :])[0] * self.code[self.languages.index(lang)] <= 0).astype(np.int64)
+
+    def trusting(self, wrong: np.ndarray, rows: int) -> LanguageCoder:
+        """The same coder with bits weighted by their errors on so many training rows."""
+        if rows and len(self.languages) > 1:
+            share = (wrong / rows).clip(0.005, 0.45)
+            self.trust = np.log((1 - share) / share)
+            self.trust /= self.trust.mean()
+        return self
 
     def margins(self, counts: np.ndarray) -> np.ndarray:
         """Mean log-odds of a text's n-grams for each bit."""
@@ -119,43 +129,54 @@ def held_out():
 def fit_languages(docs: DataFrame, rows_each: int = 600, max_languages: int = 200, **options) -> LanguageCoder:
     """Fit on at most ``rows_each`` whole rows of each language, chosen by a hash of doc_id.
 
-    The bound holds for training only. Of more than ``max_languages`` languages the most frequent are learned.
+    The bound holds for training only. More than ``max_languages`` languages, which would be too much for the driver, raise.
     """
     rows = learning_rows(docs.select("doc_id", "text", "lang"))
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    counted = rows.groupBy("lang").count().limit(max_languages + 1)
     sizes = {r["lang"]: r["count"] for r in counted.collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"over {max_languages} languages to learn: raise max_languages, or map them to fewer")
     if not sizes:
-        return LanguageCoder.fit({}, [], **options)
+        return LanguageCoder.fit({}, **options)
     # A share of each language by the hash, four times what is wanted, keeps the window's groups small at any scale.
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, 4 * rows_each / n) * (1 << 30)))])
     near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.element_at(share, F.col("lang"))
-    first = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
-    chosen = rows.filter(F.col("lang").isin(list(sizes))).filter(near).withColumn("k", F.row_number().over(first))
+    first = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id", F.xxhash64("text"))
+    chosen = rows.filter(near).withColumn("k", F.row_number().over(first))
     chosen = chosen.filter(F.col("k") <= rows_each).select("lang", F.col("text").cast("binary").alias("text"))
+    chosen = materialize(chosen, "language_rows")
 
-    def count(batches):
+    def summed(batches, value):
+        """One sum of ``value(lang, text)`` for each language of a task."""
         sums: dict[str, np.ndarray] = {}
-        tests: dict[str, int] = {}
+        rows: dict[str, int] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                grams = gram_counts(text)
-                sums[lang] = sums.get(lang, 0) + grams
-                tests[lang] = tests.get(lang, 0) + 1
-                if tests[lang] <= TESTED and grams.any():
-                    yield pa.RecordBatch.from_pydict({"lang": [lang], "test": [True], "grams": [grams.tobytes()]})
-        for lang, grams in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "test": [False], "grams": [grams.tobytes()]})
-
-    # A sum for each language and task, and TESTED rows: bounded by max_languages.
-    counts: dict[str, np.ndarray] = {}
-    tested: list[tuple[str, np.ndarray]] = []
-    for r in chosen.mapInArrow(count, "lang string, test boolean, grams binary").collect():
-        grams = np.frombuffer(r.grams, np.int64)
-        if r.test:
-            tested.append((r.lang, grams))
-        elif grams.any():
-            counts[r.lang] = counts.get(r.lang, 0) + grams
-    return LanguageCoder.fit(counts, tested, **options)
+                found = value(lang, text)
+                if found is not None:
+                    sums[lang], rows[lang] = sums.get(lang, 0) + found, rows.get(lang, 0) + 1
+        for lang, total in sums.items():
+            yield pa.RecordBatch.from_pydict({"lang": [lang], "n": [rows[lang]], "sums": [total.astype(np.int64).tobytes()]})
+
+    def added(value) -> tuple[dict[str, np.ndarray], int]:
+        """Sums by language over all chosen rows, and their number; whole numbers, so the tasks' layout does not matter."""
+        total, rows = {}, 0
+        for r in chosen.mapInArrow(lambda batches: summed(batches, value), "lang string, n long, sums binary").toLocalIterator():
+            total[r.lang] = total.get(r.lang, 0) + np.frombuffer(r.sums, np.int64)
+            rows += r.n
+        return total, rows
+
+    def grams(lang, text):
+        found = gram_counts(text)
+        return found if found.any() else None
+
+    coder = LanguageCoder.fit(added(grams)[0], **options)
+    if len(coder.languages) > 1:
+        shared = docs.sparkSession.sparkContext.broadcast(coder)
+        wrong, number = added(lambda lang, text: None if (found := grams(lang, text)) is None else shared.value.errors(lang, found))
+        coder.trusting(sum(wrong.values()), number)
+    discard(chosen)
+    return coder
 
 
 def has_letter(text: str | None) -> bool:
@@ -201,8 +222,13 @@ def identify_languages(docs: DataFrame, **how) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, reject_below: float = 0.0, **how) -> DataFrame:
-    """The rows of docs, all columns, without those of no language: und, and scores below ``reject_below``."""
+    """The rows of docs, all columns, without those of no language: und, and scores below ``reject_below``.
+
+    - Null, empty and blank texts go, and texts without a letter; so do all rows where nothing could be learned.
+    - A null doc_id or lang is a value like others. Rows that repeat stay or go together.
+    - An empty table gives no rows; other columns are kept, whatever their names.
+    """
     coder = fit_languages(docs, **how)
-    found = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = docs.select(F.struct("*").alias("row"), "text")
     found = predict_columns(found, coder).filter((F.col("lang_pred") != "und") & (F.col("score") >= reject_below))
     return found.select("row.*")
