@@ -9,15 +9,19 @@ distributed, and a step exchanges one sum for each domain.
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize
+from codeloom.llm.common import materialize, skew_join
+
+log = logging.getLogger("codeloom")
 
 BUCKETS = 1 << 14  # of hashed words
+QUICK = 30  # steps towards targets that rates can meet
 TEMPER = 400  # words after which a document's evidence is averaged instead of added
 
 
@@ -86,39 +90,70 @@ def _lookup_sum(buckets: str, table: Column) -> Column:
     return F.aggregate(buckets, F.lit(0.0), lambda total, b: total + F.get(table, b))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = 40, tolerance: float = 1e-4) -> tuple[DataFrame, list[float]]:
-    """rows with a column ``rate``, and the expected tokens of each domain under these rates.
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = 200, tolerance: float = 1e-4) -> tuple[DataFrame, list[float]]:
+    """rows (n_tokens, p0, p1, ...) with a column ``rate``, and the expected tokens of each domain under these rates.
+
+    Projected gradient descent on half the squared misfit of expected domain tokens to the targets, over rates >= 0 from a start of 1.
+    First the misfit is measured in the inverse of the Gram matrix of the domains over the documents whose rate is above 0, which
+    meets targets in a few steps where rates can meet them. If it has not after QUICK steps, the least misfit is looked for
+    from the start in the inverse of the whole Gram matrix, in which a step of 1 never overshoots, with a run-up (Nesterov). It ends
+    when every domain is within ``tolerance`` of all tokens, or five steps have not lowered the misfit, as with targets that no rates
+    reach. If that has not ended after ``steps`` steps it warns; the rates are those of the last step.
 
-    Minimises half the squared misfit of expected domain tokens to the targets, measured in the
-    inverse of the domains' Gram matrix, over rates >= 0 from a start of 1. Gradients are
-    scaled by the documents' tokens; with that metric a step of 1 never overshoots. It ends
-    when every domain is within ``tolerance`` of all tokens, or no step changes the misfit any more.
+    - Rows without tokens count for nothing; their rates follow from their posteriors.
+    - Equal rows get equal rates. Without any token, and in an empty table, rates are 1 and nothing is expected.
     """
     k = len(targets)
     p = [F.col(f"p{i}") for i in range(k)]
-    gram_sums = [F.sum(F.col("n_tokens") * p[i] * p[j]) for i in range(k) for j in range(k)]
-    found = rows.agg(*[c.alias(f"g{i}") for i, c in enumerate(gram_sums)], F.sum("n_tokens").alias("all")).first()
-    total = float(found["all"] or 0)
+    of_domain = lambda rate: [F.sum(rate * F.col("n_tokens") * p[i]).alias(f"t{i}") for i in range(k)]
+    positive = F.when(F.col("rate") > 0, F.col("n_tokens"))
+    of_pairs = [F.sum(positive * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
+
+    def sums(now: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+        """Expected tokens, Gram matrix over documents of a rate above 0, and all tokens."""
+        row = now.agg(*of_domain(F.col("rate")), *of_pairs, F.sum("n_tokens").alias("all")).first()
+        gram = [[float(row[f"g{i}_{j}"] or 0) for j in range(k)] for i in range(k)]
+        return np.array([float(row[f"t{i}"] or 0) for i in range(k)]), np.array(gram).reshape(k, k), float(row["all"] or 0)
+
+    inverse = lambda gram: np.linalg.pinv(gram, rcond=1e-9)
+    step_of = lambda pull: sum((F.lit(float(pull[i])) * p[i] for i in range(1, k)), F.lit(float(pull[0])) * p[0])
+    start = rows.withColumn("rate", F.lit(1.0))
+    expected, gram, total = sums(start)
     if not total:
-        return rows.withColumn("rate", F.lit(1.0)), [0.0] * k
-    gram = np.array([float(found[f"g{i}"]) for i in range(k * k)]).reshape(k, k)
-    metric = np.linalg.pinv(gram, rcond=1e-9)
+        return start, [0.0] * k
     goal = np.array(targets, float) / sum(targets) * total
-    now = rows.withColumn("rate", F.lit(1.0))
-    last = math.inf
-    for step in range(steps):
-        sums = now.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * p[i]).alias(f"t{i}") for i in range(k)]).first()
-        expected = np.array([float(sums[f"t{i}"] or 0) for i in range(k)])
-        misfit = float((expected - goal) @ metric @ (expected - goal))
-        if np.abs(expected - goal).max() <= tolerance * total or misfit >= last * (1 - 1e-9) and step > 0:
-            break
-        last = misfit
-        pull = metric @ (expected - goal)
-        moved = F.col("rate") - sum((F.lit(float(pull[i])) * p[i] for i in range(1, k)), F.lit(float(pull[0])) * p[0])
-        now = now.withColumn("rate", F.greatest(F.lit(0.0), moved))
+    met = lambda x: np.abs(x - goal).max() <= tolerance * total
+    now, whole = start, inverse(gram)
+    for step in range(QUICK):
+        if met(expected):
+            return now, expected.tolist()
+        now = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - step_of(inverse(gram) @ (expected - goal))))
         if step % 10 == 9:
             now = materialize(now, "rates")
-    return now, expected.tolist()
+        expected, gram, _ = sums(now)
+
+    now = start.withColumn("before", F.col("rate"))
+    best, idle, speed, passed = math.inf, 0, 1.0, None
+    for step in range(steps + 1):
+        expected = sums(now)[0]
+        misfit = float((expected - goal) @ whole @ (expected - goal))
+        idle = idle + 1 if misfit >= best * (1 - 1e-4) else 0
+        if met(expected) or idle == 5:
+            break
+        if step == steps:
+            log.warning("rates have not settled after %d steps: expected %s, wanted %s", steps, expected, goal)
+            break
+        # The gradient is taken ahead of the rates, in the direction of the last step; a step that did harm ends the run-up.
+        if misfit > best:
+            speed = 1.0
+        best = min(best, misfit)
+        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+        ahead, speed = (speed - 1) / faster if passed is not None else 0.0, faster
+        pull = whole @ (expected + ahead * (expected - (expected if passed is None else passed)) - goal)
+        point = F.col("rate") + F.lit(ahead) * (F.col("rate") - F.col("before"))
+        now = now.withColumns({"rate": F.greatest(F.lit(0.0), point - step_of(pull)), "before": F.col("rate")})
+        now, passed = materialize(now, "rates"), expected  # written, as the next step names the rate more than once
+    return now.drop("before"), expected.tolist()
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -148,7 +183,7 @@ def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], max_ro
     return rated.withColumn("copies", F.floor(F.col("rate") + unit).cast("int")), domains
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], max_rows: int = 20_000, steps: int = 40) -> DataFrame:
+def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], max_rows: int = 20_000, steps: int = 200) -> DataFrame:
     """One row per document: doc_id, n_tokens, p_<domain> for each learned domain, rate, copies.
 
     ``labels`` names the domain of some doc_ids. ``targets`` are weights of domains; those that were not
@@ -165,9 +200,16 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     return rated.select("doc_id", "n_tokens", *own, "rate", "copies")
 
 
-def take_mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], max_rows: int = 20_000, steps: int = 40) -> DataFrame:
-    """Rows of docs, all columns, each as often as its copies say."""
+def take_mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], max_rows: int = 20_000, steps: int = 200) -> DataFrame:
+    """Rows of docs, all columns, each as often as its copies say; see ``mix_documents``.
+
+    - A null or empty text has no tokens and stays as often as its rate says, by the hash of its doc_id.
+    - A null doc_id is kept like others. Rows that repeat are each taken as often.
+    - Without labels or targets every row stays once; an empty table gives no rows.
+    - Other columns are kept, whatever their names: rows are packed while they are joined.
+    """
     rated, _ = _mixed(docs, labels, targets, max_rows, steps)
-    copies = rated.filter("copies > 0").groupBy("__u").agg(F.max("copies").alias("__copies"))
-    joined = docs.withColumn("__u", F.xxhash64("doc_id", "text")).join(copies, "__u")
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__u", "__k", "__copies")
+    copies = rated.filter("copies > 0").groupBy(F.col("__u").alias("row")).agg(F.max("copies").alias("copies"), F.count("*").alias("n"))
+    packed = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.struct("*").alias("doc"))
+    joined = skew_join(packed, copies, "row", "n", docs.count(), F.monotonically_increasing_id())
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
