@@ -174,12 +174,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     """Encode whole texts into shard files in ascending doc_id order; returns their manifest.
 
     Manifest: shard, path, n_docs, n_ids. Null texts are empty documents, null doc_ids come first,
-    rows that repeat a doc_id are kept in any order among themselves. Rows are dealt to shards by
-    sampled ranges of doc_id, so a shard has about ``shard_rows`` rows however the ids lie.
+    rows that repeat a doc_id are kept in the order of the input among themselves. Rows are dealt to shards by
+    sampled ranges of doc_id and, within a doc_id, of that order, so a shard has about ``shard_rows`` rows however the ids lie.
     """
-    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.monotonically_increasing_id().alias("place"))
     shards = max(1, -(-docs.select("doc_id").count() // shard_rows))
-    dealt = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = (F.col("doc_id").asc_nulls_first(), F.col("place"))
+    dealt = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order).drop("place")
     dealt = dealt.withColumn("shard", F.spark_partition_id())
 
     def write(batches):

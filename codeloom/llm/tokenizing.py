@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from array import array
@@ -13,6 +14,25 @@ MAX_CACHED = 450_000
 #: ASCII marks that the pre-tokenizer keeps in one piece apart from letters; no apostrophe, which may join letters.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
+# The front of the tokenizer for which texts may be cut at white space and plain words sent to the model.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_space(settings: dict) -> bool:
+    """Whether a tokenizer file's front is the known one: white space ends pieces and is dropped, letters are lowered."""
+    normal, before = settings.get("normalizer") or {}, settings.get("pre_tokenizer") or {}
+    steps, parts = normal.get("normalizers") or [], before.get("pretokenizers") or []
+    return (
+        [x.get("type") for x in steps] == NORMALIZERS
+        and steps[1].get("pattern") == {"Regex": r"\s+"}
+        and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+        and (parts[0]["pattern"], parts[0]["behavior"], parts[0]["invert"]) == ({"Regex": SPLIT}, "Removed", True)
+        and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+        and settings.get("post_processor") is None
+        and all(x["content"].startswith("<|") for x in settings.get("added_tokens") or ())
+    )
+
 
 def _byte_alphabet() -> dict[int, str]:
     """The printable stand-ins of byte-level tokenizers: printable Latin-1 for itself, others from U+0100 on."""
@@ -24,9 +44,10 @@ def _byte_alphabet() -> dict[int, str]:
 class WordEncoder:
     """Encodes UTF-8 texts to token ids, identically to the tokenizer on the whole text.
 
-    Only for tokenizers that never join characters over white space, such as ``word_bpe_49k.json``,
-    whose pre-tokenizer drops white space: the ids of a text are then those of its pieces between
-    ASCII white space, one after the other, and frequent pieces are encoded once.
+    Of a tokenizer that never joins characters over white space, such as ``word_bpe_49k.json``,
+    the ids of a text are those of its pieces between
+    ASCII white space, one after the other, and frequent pieces are encoded once. The tokenizer's file tells whether it is
+    one of these (``splits_at_space``); others get every text as a whole.
     """
 
     def __init__(self, path: str, max_cached: int = MAX_CACHED):
@@ -36,6 +57,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.in_pieces = splits_at_space(json.loads(self.tokenizer.to_str()))
         self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
         self.max_cached, self.cache = max_cached, {}
 
@@ -57,6 +79,8 @@ class WordEncoder:
     def encode(self, text: bytes | None) -> bytes:
         """The ids as little-endian integers of ``self.dtype``; null counts as empty."""
         text = text or b""
+        if not self.in_pieces:
+            return array(self.code, self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
         # ASCII letters are lowered by the tokenizer too, but not in the name of a special token.
         words = (text if b"<|" in text else text.lower()).split()
         if new := set(words).difference(self.cache):
