@@ -159,7 +159,9 @@ def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     rows = []
     for k, rule in enumerate(rules):
         for c, clause in enumerate(sorted(map(sorted, trigram_query(rule.pattern)))):
-            rows += [(k, c, t, 1 << i, (1 << len(clause)) - 1) for i, t in enumerate(clause[:62])]
+            # A long has 62 bits to spare; documents with all of the first trigrams are a sound choice, too.
+            first = clause[:62]
+            rows += [(k, c, t, 1 << i, (1 << len(first)) - 1) for i, t in enumerate(first)]
     spark = docs.sparkSession
     # One row for each trigram of each clause: as many as the rules have, whatever the documents.
     clauses = spark.createDataFrame(rows, "rule int, clause int, trigram string, bit long, all_bits long")
@@ -206,7 +208,7 @@ def _tight(rule: Rule) -> Rule:
     the class ends.
     """
     if rule.group == 0 and rule.least and rule.pattern.endswith("]+"):
-        literal = len(rule.pattern[: rule.pattern.rindex("[")].replace("[pousr]", "x"))
+        literal = sre_parser.parse(rule.pattern).getwidth()[0] - 1
         return Rule(rule.kind, f"{rule.pattern[:-1]}{{{rule.least - literal},}}", 0, rule.least)
     return rule
 
