@@ -5,7 +5,7 @@ presentations (sequences of child elements) seen under each, and its leaves the
 path. An element is worth little where all pages present it alike and show the same texts in it,
 and much where pages differ: importance is one less the normalised entropy with which
 texts repeat over pages, combined with that of its presentations. A single text is worth little where most pages that have
-its element show it, too. Pages are told apart by their longest text, so that copies of a page say nothing of what pages share.
+its element show it, too. Pages are told apart by their two longest texts, so that copies of a page say nothing of what pages share.
 
 Names are a prior that weighs as much as some pages: article and main speak for an element and all in it, a
 part of a class name like ``footer`` in ``site-footer`` against it; without either the tree of all hosts is the prior.
@@ -19,6 +19,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -178,9 +179,9 @@ def _spaced(text: str) -> str:
 
 
 def tree_rows(root: Node) -> tuple[int, set[tuple[int, float | None, int, int]]]:
-    """Hash of the page's longest text, and (path, prior, what, feature) of its presentations (0) and texts (1), hashed."""
+    """Hash of the page's two longest texts, and (path, prior, what, feature) of its presentations (0) and texts (1), hashed."""
     todo: list[tuple[Node, int, float | None]] = [(root, 0, None)]
-    found, longest = set(), ""
+    found, told = set(), set()
     while todo:
         node, path, prior = todo.pop()
         names = []
@@ -191,15 +192,16 @@ def tree_rows(root: Node) -> tuple[int, set[tuple[int, float | None, int, int]]]
                     todo.append((child, path_id(path, child.name), _prior(child, prior)))
             elif said := _spaced(child):
                 found.add((path, prior, 1, _hash(said)))
-                longest = max(longest, said, key=len)
+                told.add(said)
         # Repeats of a child present alike, however many there are.
         kinds = [n for k, n in enumerate(names) if not k or names[k - 1] != n]
         found.add((path, prior, 0, _hash(" ".join(kinds))))
-    return _hash(longest), found
+    longest = nlargest(2, told, key=lambda t: (len(t), t))
+    return _hash("\n".join(longest)), found
 
 
 def page_features(pages: DataFrame) -> DataFrame:
-    """host, page (hash of the html), story (hash of the longest text), path, prior, what, feature; distinct."""
+    """host, page (hash of the html), story (hash of the two longest texts), path, prior, what, feature; distinct."""
 
     def rows(batches):
         for batch in batches:
