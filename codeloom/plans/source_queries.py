@@ -92,7 +92,7 @@ def parse_dynamic_imports(spark, d):
 
 @query(
     _made(
-        "('named', 'y,z', NULL, NULL, 6), ('all', NULL, './all', NULL, 7), ('default', NULL, NULL, NULL, 8), ('named', '', NULL, NULL, 9), ('commonjs', NULL, NULL, 'thing', 18), ('commonjs', NULL, NULL, NULL, 19)",
+        "('named', 'y,z', NULL, NULL, 6), ('all', NULL, './all', NULL, 7), ('default', 'default', NULL, NULL, 8), ('named', '', NULL, NULL, 9), ('commonjs', NULL, NULL, 'thing', 18), ('commonjs', NULL, NULL, NULL, 19)",
         "c0 AS type, c1 AS specifiers, c2 AS source, c3 || p_partkey AS property, c4 AS line",
     )
 )
