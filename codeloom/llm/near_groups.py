@@ -2,7 +2,7 @@
 
 One SimHash of 64 bits misses most pairs of a shingle similarity near 0.8. Texts therefore meet by several
 shorter fingerprints of independent hashes, each with its ball of variants. What meets is a candidate and is told as memberships (key, node),
-never as the pairs of a large key. Every node is compared with one that it meets; that joins most of a group. Of keys with few nodes
+one for each node and table at most, never as the pairs of a large key. Every node is compared with one that it meets; that joins most of a group. Of keys with few nodes
 the pairs of different components are compared then. Larger keys that still
 hold several components are open. Their nodes, and all sets of few shingles, whose bits do not follow the angle, are
 compared through a prefix index:
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import Scratch, hash_filter, materialize, passes, rows_of, skew_join, with_filter
 from codeloom.llm.components import components
-from codeloom.llm.simhash import SEED, majority_bits, met_in_balls, named_texts, remixed, row_name, shingle_hashes, variant_members
+from codeloom.llm.simhash import SEED, majority_bits, meeting_links, met_in_balls, named_texts, remixed, row_name, shingle_hashes
 
 SMALL = 64  # sets of at most so many shingles are found by shared shingles
 FEW = 8  # nodes of a key whose pairs are told
@@ -84,21 +84,21 @@ def sets_of(docs: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
 
 
 def _meetings(nodes: DataFrame, bits: int, tables: int, distance: int, scratch: Scratch) -> DataFrame:
-    """key, node and n: nodes of one key meet by the top ``bits`` of a fingerprint in some table; every meeting is told."""
+    """key, node and n: nodes that meet by the top ``bits`` of a fingerprint in some table are under one key.
+
+    A key stands for all values of a table that meetings join, so a node has one key a table at most, however dense its group.
+    """
     # The table's number takes the place of the lower bits, so that tables never meet and one pass does for all.
     of_hash = 64 // bits
     cut = lambda t: F.shiftleft(F.shiftrightunsigned(F.get("sketch", F.lit(t // of_hash)), t % of_hash * bits), 64 - bits).bitwiseOR(t)
     each = nodes.select("node", "n", F.explode(F.array(*map(cut, range(tables)))).alias("fp"))
     values = scratch.write(each.groupBy("fp").agg(F.count("*").alias("nodes")), "values")
-    shared = met_in_balls(values.select("fp"), distance, 100_000, 40_000, bits, variant_members)
-    # A value has few variants, so its keys are one row and only its nodes may be many.
-    keys = shared.groupBy(F.col("b").alias("fp")).agg(F.collect_set("a").alias("keys"))
-    none = F.array().cast("array<long>")
-    own = F.when(F.col("nodes") > 1, F.array("fp")).otherwise(none)
-    keyed = values.join(keys, "fp", "left").select("fp", "nodes", F.array_union(F.coalesce("keys", none), own).alias("keys"))
-    keyed = scratch.write(keyed.filter(F.size("keys") > 0), "keys")
-    met = skew_join(each, keyed, "fp", "nodes", tables * rows_of(nodes), F.col("node"))
-    return met.select(F.explode("keys").alias("key"), "node", "n")
+    links = scratch.write(met_in_balls(values.select("fp"), distance, 100_000, 40_000, bits, meeting_links).distinct(), "value_links")
+    clusters = components(links, write=scratch.write).withColumnRenamed("node", "fp")
+    key = F.coalesce("root", F.when(F.col("nodes") > 1, F.col("fp")))  # a value that meets no other is met by its own nodes
+    keyed = values.join(clusters, "fp", "left").select("fp", "nodes", key.alias("key")).filter("key IS NOT NULL")
+    met = skew_join(each, scratch.write(keyed, "keyed"), "fp", "nodes", tables * rows_of(nodes), F.col("node"))
+    return met.select("key", "node", "n")
 
 
 def _needed(similarity: float, a: Column, b: Column) -> Column:
@@ -297,8 +297,8 @@ def keep_one_of_group(
     from text to text. Linked texts are found where ``bits`` of their fingerprints differ in at most
     ``distance`` in any of ``tables`` tables: by chance 96 of 100 pairs at a similarity of 0.8, 99.6 at 0.85. Sets of
     up to SMALL shingles and those near them are found by shared shingles as well, without exception. Strangers
-    meet by chance, in number with the square of the distinct texts: 30 bits suit some ten
-    million of them; larger corpora take more bits and more tables.
+    meet by chance, too: beyond some two million distinct texts 30 bits join most values of a table, and nearly all texts go through the
+    prefix index; more bits and more tables keep them apart.
 
     - Null, empty and blank texts have no shingles; they are copies of each other and of nothing else.
     - Texts of fewer words than a shingle are one shingle of all their words.
@@ -310,7 +310,7 @@ def keep_one_of_group(
     rows = scratch.write(shingle_sketches(docs, shingle, -(-tables // (64 // bits)), small), "sketches")
     first = [F.first(c).alias(c) for c in ("sketch", "size", "set")]
     nodes = scratch.write(rows.groupBy("node").agg(F.min(row_name()).alias("least"), F.count("*").alias("n"), *first), "nodes")
-    met = scratch.write(_meetings(nodes, bits, tables, distance, scratch).distinct(), "meetings")
+    met = scratch.write(_meetings(nodes, bits, tables, distance, scratch), "meetings")
     links = similar_links(docs, nodes, met, similarity, shingle, scratch)
     rooted = nodes.select("node", "least").join(components(links, write=scratch.write), "node", "left")
     firsts = rooted.groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("first"))

@@ -165,11 +165,6 @@ def meeting_links(fp: np.ndarray, base: np.ndarray, left: np.ndarray, low: range
     return a[near], b[near]
 
 
-def variant_members(fp: np.ndarray, base: np.ndarray, left: np.ndarray, low: range, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Variants that several fingerprints share, and each of those fingerprints."""
-    return _shared_variants(fp, base, left, low)[:2]
-
-
 def _links_of(batches: Iterator[pa.RecordBatch], reach: int, rows_at_once: int, bits: int, meet=meeting_links) -> Iterator[pa.RecordBatch]:
     """What ``meet`` makes of a partition sorted by hot and key; whole keys are handled together."""
     held: list[pa.RecordBatch] = []
