@@ -71,7 +71,7 @@ def test_posteriors_against_a_classifier_of_its_own(spark):
         assert [r[f"p{i}"] for i in range(3)] == pytest.approx(want[r.doc_id], abs=2e-3), r.doc_id
 
 
-@pytest.mark.parametrize("targets", [[0.5, 0.3, 0.2], [0.98, 0.01, 0.01], [0.0, 0.0, 1.0]])
+@pytest.mark.parametrize("targets", [[0.5, 0.3, 0.2], [0.0, 0.0, 1.0]])
 def test_rates_against_coordinate_descent(spark, targets):
     rng = np.random.default_rng(3)
     p = rng.dirichlet([2.0, 1.0, 0.4], 60)
