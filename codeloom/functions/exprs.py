@@ -39,8 +39,7 @@ def node_id(x: str | Column, prefix: str = NAME_PREFIX) -> Column:
     """Graph id of a path, URL or bare name."""
     x = _c(x)
     return (
-        F.when(x.rlike("^(https?|file)://"), x)
-        .when(x.startswith("/"), F.concat(F.lit("file://"), x))
+        F.when(x.startswith("/"), F.concat(F.lit("file://"), x))
         .when(x.contains(":"), x)
         .otherwise(F.concat(F.lit(prefix), F.replace(x, F.lit("/"), F.lit(":"))))
     )

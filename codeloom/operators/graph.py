@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import exprs as X
+from codeloom.tables import written
 
 #: Namespaces of the triple view; pass others to ``quads`` for graphs that use them.
 NAMESPACES = {
@@ -34,8 +37,8 @@ def resolved_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 def missing_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Targets of internal imports that were not scanned."""
-    targets = imports.filter(~F.col("is_external")).select(F.col("dst").alias("path"))
-    return targets.join(files.select("path"), "path", "left_anti").distinct()
+    targets = imports.filter(~F.col("is_external")).select(F.col("dst").alias("path")).distinct()
+    return targets.join(files.select("path"), "path", "left_anti")
 
 
 def file_nodes(files: DataFrame, imports: DataFrame) -> DataFrame:
@@ -126,6 +129,69 @@ class Triple:
     def count(self) -> Column:
         return F.lit(1) if self.values is None else F.size(self.values)
 
+    def property(self) -> str:
+        """Local name of the predicate, as ``exprs.local_name`` has it."""
+        return re.search(r"[^#/]*$", self.p).group()
+
+    def present(self) -> Column:
+        """Whether a row before gathering makes this triple, its object then being ``o``."""
+        return F.lit(True) if self.values is None else self.o.isNotNull()
+
+
+@dataclass(eq=False)
+class Described:
+    """Rows before gathering that describe the node ``s``: one value at most of each property."""
+
+    df: DataFrame
+    s: Column
+    kinds: dict[str, list[Triple]]
+
+    def value(self, name: str) -> Column:
+        """A property's value in a struct, as values may be null; null without the property."""
+        found = [F.when(k.present(), F.struct(k.o.cast("string").alias("value"))) for k in self.kinds[name]]
+        return found[0] if len(found) == 1 else F.greatest(*found)
+
+    def told(self, name: str) -> tuple[Column, Column]:
+        """Whether there is a value, which may be null, and the value."""
+        if len(self.kinds[name]) == 1:
+            return self.kinds[name][0].present(), self.kinds[name][0].o.cast("string")
+        return self.value(name).isNotNull(), self.value(name)["value"]
+
+
+#: Rows of 64 bits in the filter of repeated nodes, which is broadcast.
+FILTER_ROWS = 1 << 17
+
+
+def _metadata_of(described: list[Described]) -> DataFrame:
+    """node, property, value of nodes that may be described by several rows, of one relation or of several.
+
+    What is shuffled for all rows is a hash of the node. Nodes whose hash is met once are described by one row, and that row's values are
+    theirs; only rows of other nodes, and the few that a filter of fixed size takes for such, are brought together.
+    """
+    names = sorted({name for d in described for name in d.kinds})
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    if len(names) == 1:
+        rows = union([d.df.select(d.s.alias("node"), d.value(names[0]).alias("t")) for d in described]).filter("t IS NOT NULL")
+        return rows.groupBy("node").agg(F.max("t.value").alias("value")).select("node", F.lit(names[0]).alias("property"), "value")
+
+    def told(df: DataFrame, values: dict[str, tuple[Column, Column]]) -> DataFrame:
+        pairs = [F.when(present, F.struct(F.lit(name).alias("property"), o.alias("value"))) for name, (present, o) in values.items()]
+        return df.select("node", F.explode(F.array(*pairs)).alias("t")).filter("t IS NOT NULL").select("node", "t.*")
+
+    bucket, bit = F.shiftright("hash", 6).bitwiseAND(F.lit(FILTER_ROWS - 1)), F.expr("shiftleft(1L, cast(hash & 63 AS int))")
+    hashes = union([d.df.select(F.xxhash64(d.s).alias("hash")) for d in described])
+    repeated = hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    bits = written(repeated.groupBy(bucket.alias("bucket")).agg(F.bit_or(bit).alias("bits")), "repeated")
+    alone, more = [], []
+    for d in described:
+        rows = d.df.withColumn("node", d.s).withColumn("hash", F.xxhash64("node")).withColumn("bucket", bucket)
+        rows = rows.join(F.broadcast(bits), "bucket", "left").withColumn("repeated", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False)))
+        alone.append(told(rows.filter("NOT repeated"), {name: d.told(name) for name in d.kinds}))
+        none = F.lit(None).cast("struct<value:string>")
+        more.append(rows.filter("repeated").select("node", *[(d.value(name) if name in d.kinds else none).alias(name) for name in names]))
+    gathered = union(more).groupBy("node").agg(*[F.max(name).alias(name) for name in names])
+    return union([*alone, told(gathered, {name: (F.col(name).isNotNull(), F.col(name)["value"]) for name in names})])
+
 
 @dataclass
 class Facts:
@@ -137,6 +203,7 @@ class Facts:
 
     parts: list[tuple[DataFrame, list[Triple]]]
     namespaces: dict[str, str]
+    stated: list[tuple[DataFrame, list[Triple]]]  # the parts before gathering
 
     def triples(self, p: str | None = None, o: str | None = None) -> DataFrame:
         """s, p, o, o_kind (iri or literal), o_dt (datatype of literals); of one predicate and, of constant objects, one object."""
@@ -150,6 +217,22 @@ class Facts:
             raise ValueError(f"no triple has the predicate {p}")
         return found
 
+    def metadata(self) -> DataFrame:
+        """``metadata`` of all triples, from the relations themselves: no triple is made before its value is known to count."""
+        described: list[Described] = []
+        for (df, kinds), (own, _) in zip(self.parts, self.stated):
+            distinct = written(own, "named") if own is df else own  # read several times
+            subjects: dict[int, Described] = {}
+            for k in kinds:
+                d = subjects.setdefault(id(k.s), Described(distinct, k.s, {}))
+                d.kinds.setdefault(k.property(), []).append(k)
+            described += subjects.values()
+        groups: list[list[Described]] = []  # relations of one group share properties, those of different groups none
+        for d in described:
+            near = [g for g in groups if any(d.kinds.keys() & x.kinds.keys() for x in g)]
+            groups = [g for g in groups if g not in near] + [[d, *(x for g in near for x in g)]]
+        return reduce(DataFrame.unionByName, map(_metadata_of, groups))
+
     def stats(self) -> DataFrame:
         """One row of ten counters, without making a triple."""
         N = self.namespaces
@@ -193,12 +276,21 @@ def facts(
     def values(s: Column, p: str, name: str, datatype: str = "string") -> Triple:
         return Triple(s, p, F.col(name), datatype=datatype, values=F.col(name))
 
-    def gathered(df: DataFrame, keys: list[str], numbers=(), texts=(), flags=()) -> DataFrame:
-        """One row for each key, with the set of present values of each attribute that the relation has."""
-        own = [F.collect_set(F.when(F.col(c) != 0, F.col(c))).alias(c) for c in numbers if c in df.columns]
-        own += [F.collect_set(F.when(F.col(c) != "", F.col(c))).alias(c) for c in texts if c in df.columns]
-        own += [F.collect_set(c).alias(c) for c in flags if c in df.columns]
-        return df.groupBy(*keys).agg(*own) if own else df.select(*keys).distinct()
+    def gathered(df: DataFrame, keys: list[str], numbers=(), texts=(), flags=()) -> tuple[DataFrame, DataFrame]:
+        """One row for each key, with the set of present values of each attribute that the relation has; and the rows before."""
+        own = {c: F.when(F.col(c) != 0, F.col(c)) for c in numbers if c in df.columns}
+        own |= {c: F.when(F.col(c) != "", F.col(c)) for c in texts if c in df.columns}
+        own |= {c: F.col(c) for c in flags if c in df.columns}
+        sets = [F.collect_set(value).alias(c) for c, value in own.items()]
+        stated = df.select(*keys, *[value.alias(c) for c, value in own.items()])
+        return df.groupBy(*keys).agg(*sets) if own else stated.distinct(), stated
+
+    parts, stated = [], []
+
+    def part(rows: tuple[DataFrame, DataFrame] | DataFrame, kinds: list[Triple]) -> None:
+        after, before = rows if isinstance(rows, tuple) else (rows, rows)
+        parts.append((after, kinds))
+        stated.append((before, kinds))
 
     def of(df: DataFrame, s: Column, named: dict[str, tuple[str, str]]) -> list[Triple]:
         return [values(s, p, name, datatype) for name, (p, datatype) in named.items() if name in df.columns]
@@ -211,21 +303,19 @@ def facts(
         "size": (code("size"), "integer"), "modified": (code("lastModified"), "string"), "loc": (code("loc"), "integer"),
         "parse_error": (graph("parseError"), "boolean"), "parse_error_message": (graph("parseErrorMessage"), "string"),
     }
-    parts = [
-        (scanned, [a(path, "File"), *of(scanned, path, attributes)]),
-        (missing_files(imports, files), [a(path, "File"), flag(path, "isMissing")]),
-        (external_modules(imports), [a(node, "Module"), flag(node, "isExternal")]),
-    ]
+    part(scanned, [a(path, "File"), *of(scanned[0], path, attributes)])
+    part(missing_files(imports, files), [a(path, "File"), flag(path, "isMissing")])
+    part(external_modules(imports), [a(node, "Module"), flag(node, "isExternal")])
 
-    stated = gathered(imports, ["src", "dst"], ["line"], ["type"])
+    links = gathered(imports, ["src", "dst"], ["line"], ["type"])
     edge = X.node_id(F.concat("src", F.lit("-imports-"), "dst"))
-    described = of(stated, edge, {"line": (code("line"), "integer"), "type": (graph("importType"), "string")})
-    parts.append((stated, [link(src, graph("imports"), dst), a(edge, "Import"), link(edge, graph("from"), src), link(edge, graph("to"), dst), *described]))
+    described = of(links[0], edge, {"line": (code("line"), "integer"), "type": (graph("importType"), "string")})
+    part(links, [link(src, graph("imports"), dst), a(edge, "Import"), link(edge, graph("from"), src), link(edge, graph("to"), dst), *described])
 
     exported = gathered(exports, ["src", "name"], ["line"], ["export_type"])
     export, label = X.node_id(export_id()), F.when(F.col("name") != "", F.array("name")).otherwise(F.array().cast("array<string>"))
-    described = of(exported, export, {"export_type": (graph("exportType"), "string"), "line": (code("line"), "integer")})
-    parts.append((exported, [link(src, graph("exports"), export), Triple(export, N["rdfs"] + "label", F.col("name"), datatype="string", values=label), *described]))
+    described = of(exported[0], export, {"export_type": (graph("exportType"), "string"), "line": (code("line"), "integer")})
+    part(exported, [link(src, graph("exports"), export), Triple(export, N["rdfs"] + "label", F.get(label, F.lit(0)), datatype="string", values=label), *described])
 
     told = gathered(
         functions.withColumn("id", F.concat_ws("#", "file", "name")), ["id"], ["line", "loc", "complexity"],
@@ -238,22 +328,23 @@ def facts(
         "is_static": (graph("static"), "boolean"), "kind": (graph("kind"), "string"), "class_name": (graph("className"), "string"),
         "method_name": (graph("methodName"), "string"),
     }
-    parts.append((told, [a(node, "Function"), *of(told, node, attributes)]))
-    parts.append((entries.select("id").distinct(), [flag(node, "isEntryPoint")]))
+    part(told, [a(node, "Function"), *of(told[0], node, attributes)])
+    part(entries.select("id").distinct(), [flag(node, "isEntryPoint")])
 
     if calls is not None:
-        made = gathered(calls, ["caller", "callee"], ["line"])
+        made, said = gathered(calls, ["caller", "callee"], ["line"])
         caller, callee = X.node_id("caller"), X.node_id("callee")
         call = X.node_id(F.concat("caller", F.lit("-calls-"), "callee"))
-        parts.append((made, [link(caller, graph("calls"), callee)]))
+        part((made, said), [link(caller, graph("calls"), callee)])
         # Only calls with a line are nodes.
-        parts.append((made.filter(F.size("line") > 0), [a(call, "Call"), link(call, graph("from"), caller), link(call, graph("to"), callee), values(call, code("line"), "line", "integer")]))
+        called = [a(call, "Call"), link(call, graph("from"), caller), link(call, graph("to"), callee), values(call, code("line"), "line", "integer")]
+        part((made.filter(F.size("line") > 0), said.filter("line IS NOT NULL")), called)
     if classes is not None:
         made = gathered(classes, ["id"], ["loc"], ["name"])
-        parts.append((made, [a(node, "Class"), *of(made, node, {"name": (N["rdfs"] + "label", "string"), "loc": (code("loc"), "integer")})]))
+        part(made, [a(node, "Class"), *of(made[0], node, {"name": (N["rdfs"] + "label", "string"), "loc": (code("loc"), "integer")})])
     if references is not None:
-        parts.append((references.select("src", "dst").distinct(), [link(src, graph("references"), dst)]))
-    return Facts(parts, N)
+        part(references.select("src", "dst").distinct(), [link(src, graph("references"), dst)])
+    return Facts(parts, N, stated)
 
 
 def export_id(src: str = "src", name: str = "name") -> Column:

@@ -268,7 +268,7 @@ _RELATIONS = ("nodes", "files", "missing", "externals", "edges", "imports", "exp
 
 @query(f"SELECT s AS node, regexp_extract(p, '[^#/]*$') AS property, max(o) AS value FROM {_TRIPLES} GROUP BY ALL", *_RELATIONS)
 def metadata_all(spark, d):
-    return graph.metadata(Graph(spark, d).facts.triples())
+    return Graph(spark, d).facts.metadata()
 
 
 @query(
